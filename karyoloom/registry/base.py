@@ -54,8 +54,9 @@ def with_views(sql: str) -> str:
     if not order:
         return text
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({re.sub(r'[{}]', '', VIEWS[n][1])})" for n in order)
-    if text[:5].lower() == "with ":
-        return f"WITH {ctes},\n{text[5:]}"
+    head = re.match(r"with\s+(recursive\s+)?", text, re.I)
+    if head:
+        return f"WITH {head.group(1) or ''}{ctes},\n{text[head.end():]}"
     return f"WITH {ctes}\n{text}"
 
 
