@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..core import col
+from ..core import col, cut
 
 PARTS = 64
 
@@ -17,8 +17,9 @@ def value_buckets(df: DataFrame, by: list[str], order: str, parts: int = PARTS)
     """Add `_b`, the bucket of `order` among approximate quantiles of its group."""
     edges = df.groupBy(*by).agg(
         F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"))
-    return (df.join(edges, by)
-            .withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges"))
+    # written once: the scans read it several times and must not repeat the work behind `df`
+    return cut(df.join(edges, by)
+               .withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges"))
 
 
 def scan(bucketed: DataFrame, by: list[str], order: str, what: Column, out: str, how: str = "sum",
@@ -53,8 +54,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 3, out:
              n_out: str = "n") -> DataFrame:
     """Rank correlation per group over rows where both are present; NULL below `min_n` or without spread."""
     by = list(by)
-    cells = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
+    cells = cut(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+                .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
     rx = value_ranks(cells, by, "_x", "_w", "_rx").drop("ties")
     ry = value_ranks(cells, by, "_y", "_w", "_ry").drop("ties")
     r = cells.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
@@ -67,13 +68,18 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 3, out:
     return s.select(*by, n.alias(n_out), F.when((n >= min_n) & (va > 0) & (vb > 0), rho).alias(out))
 
 
-def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", out: str = "q") -> DataFrame:
-    """Rows with the false-discovery q-value of `p` inside each family; NULL p-values get NULL."""
+def bh_table(df: DataFrame, by: list[str], p: str = "p", out: str = "q") -> DataFrame:
+    """(by, p, out): false-discovery q-value of every distinct p of each family."""
     counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.groupBy(*by).agg(F.sum("_c").alias("_m"))
-    b = scan(value_buckets(counts, by, p), by, p, F.col("_c"), "_cum").join(total, by)
+    b = value_buckets(counts, by, p)
+    b = cut(scan(b, by, p, F.col("_c"), "_cum").join(b.groupBy(*by).agg(F.sum("_c").alias("_m")), by))
     q = scan(b, by, p, F.col(p) * F.col("_m") / F.col("_cum"), "_q", "min", reverse=True)
-    return df.join(q.select(*by, p, F.least(F.col("_q"), F.lit(1.0)).alias(out)), [*by, p], "left")
+    return q.select(*by, p, F.least(F.col("_q"), F.lit(1.0)).alias(out))
+
+
+def benjamini_hochberg(df: DataFrame, by: list[str], p: str = "p", out: str = "q") -> DataFrame:
+    """Rows with the q-value of `p` inside each family; NULL p-values get NULL."""
+    return df.join(bh_table(df, by, p, out), [*by, p], "left")
 
 
 def share_at_or_below(df: DataFrame, by: list[str], value: str, reference: DataFrame, ref_value: str,
@@ -98,15 +104,14 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) ->
     """Exact interpolated quantiles per group for continuous values of any number: the built-in `percentile` keeps all
     distinct values of a group in one buffer, this keeps them in buckets."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = scan(value_buckets(counts, by, value), by, value, F.col("_c"), "_cum")
-    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    d = cum.join(total, by)
+    b = value_buckets(counts, by, value)
+    d = scan(b, by, value, F.col("_c"), "_cum").join(b.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     aggs, outs = [], []
     for name, q in qs.items():
-        h = (F.col("_n") - 1) * F.lit(float(q))
+        h = F.round((F.col("_n") - 1) * F.lit(float(q)), 9)
         for side, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             # value of 0-based order k: the first value whose running count exceeds k
             aggs.append(F.min(F.when(F.col("_cum") > k, F.col(value))).alias(f"_{name}_{side}"))
-        frac = (F.col("_n") - 1) * F.lit(float(q)) % 1
+        frac = h - F.floor(h)
         outs.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * frac).alias(name))
     return d.groupBy(*by, "_n").agg(*aggs).select(*by, *outs)

@@ -14,9 +14,16 @@ from .maps import balanced, bins_of, median_scale, mirrored
 
 
 def _row_sums(px: DataFrame, bias: DataFrame, by: list[str], power: int) -> DataFrame:
-    """Sum over partners of cnt * bias(partner)^power per bin."""
-    b = bias.select(*by, F.col("bin").alias("partner"), F.pow("b", F.lit(power)).alias("_b"))
-    return px.join(b, [*by, "partner"]).groupBy(*by, "bin").agg(F.sum(F.col("cnt") * F.col("_b")).alias("_s"))
+    """(by, bin, b, _s): each bin's own value and the sum over partners of cnt * b(partner)^power. The pixels carry one
+    empty self pixel per bin, so the own value comes with the same join and the plan stays linear in the rounds."""
+    v = px.join(bias.select(*by, F.col("bin").alias("partner"), "b"), [*by, "partner"])
+    return v.groupBy(*by, "bin").agg(F.max(F.when(F.col("bin") == F.col("partner"), F.col("b"))).alias("b"),
+                                     F.sum(F.col("cnt") * F.pow("b", F.lit(power))).alias("_s"))
+
+
+def _prepare(px: DataFrame, good: DataFrame, by: list[str]) -> DataFrame:
+    own = good.select(*by, "bin", F.col("bin").alias("partner"), F.lit(0.0).alias("cnt"))
+    return cut(_keep_pixels(px.select(*by, "bin", "partner", "cnt"), good, by).unionByName(own).repartition(*by, "partner"))
 
 
 def _keep_pixels(px: DataFrame, good: DataFrame, by: list[str]) -> DataFrame:
@@ -50,13 +57,13 @@ def ice(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 2, min_nnz: i
     by = list(by)
     px = mirrored(contacts.filter(F.col("j") - F.col("i") >= ignore_diags), by)
     good = ice_mask(px, min_nnz, mad_max, by)
-    px = cut(_keep_pixels(px, good, by).repartition(*by, "partner"))
+    px = _prepare(px, good, by)
     bias = good.withColumn("b", F.lit(1.0))
     mapw = W.partitionBy(*by)
     done, var = 0, None
     while done < max_iter:
         for _ in range(min(rounds, max_iter - done)):
-            s = bias.join(_row_sums(px, bias, by, -1), [*by, "bin"]).withColumn("_s", F.col("_s") / F.col("b"))
+            s = _row_sums(px, bias, by, -1).withColumn("_s", F.col("_s") / F.col("b"))
             s = s.withColumn("_s", F.col("_s") / F.avg("_s").over(mapw))
             bias = s.select(*by, "bin", (F.col("b") * F.col("_s")).alias("b"), F.var_pop("_s").over(mapw).alias("_v"))
             done += 1
@@ -64,7 +71,7 @@ def ice(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 2, min_nnz: i
         bias = var.select(*by, "bin", "b")
         if var.filter(F.col("_v") >= tol).isEmpty():
             break
-    final = bias.join(_row_sums(px, bias, by, -1), [*by, "bin"]).withColumn("_r", F.col("_s") / F.col("b"))
+    final = _row_sums(px, bias, by, -1).withColumn("_r", F.col("_s") / F.col("b"))
     report = (final.groupBy(*by).agg((F.stddev_pop("_r") / F.avg("_r")).alias("row_sum_cv"), F.count(F.lit(1)).alias("kept_bins"))
               .join(var.groupBy(*by).agg((F.max("_v") < tol).alias("converged")), by).withColumn("iterations", F.lit(done)))
     out = bins_of(sizes, by).join(bias, [*by, "bin"], "left").select(
@@ -74,33 +81,32 @@ def ice(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 2, min_nnz: i
 
 def kr(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 1, min_coverage_quantile: float = 0.02, tol: float = 1e-6,
        max_iter: int = 300, by: list[str] = MAP, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Weights x with x * (A x) = 1 on the scale of the mean row sum, by x <- sqrt(x / (A x)): the fixed point of
+    """Weights x with x * (A x) = 1, by x <- sqrt(x / (A x)): the fixed point of
     Knight-Ruiz balancing. Bins without contacts or in the lowest coverage quantile are masked."""
     by = list(by)
     px = mirrored(contacts.filter((F.col("j") - F.col("i") >= ignore_diags) & (F.col("cnt") > 0)), by)
     cov = px.groupBy(*by, "bin").agg(F.sum("cnt").alias("cov"))
     thr = cov.groupBy(*by).agg(F.percentile("cov", F.lit(float(min_coverage_quantile))).alias("_t"), F.count(F.lit(1)).alias("_k"))
     good = cut(cov.join(thr, by).filter((F.col("_k") <= 10) | (F.col("cov") >= F.col("_t"))).select(*by, "bin"))
-    px = cut(_keep_pixels(px, good, by).repartition(*by, "partner"))
-    m = good.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    scale = px.groupBy(*by).agg(F.sum("cnt").alias("_t")).join(m, by).filter("_m >= 3").select(*by, (F.col("_t") / F.col("_m")).alias("_sc"))
-    x = cut(good.join(scale, by).select(*by, "bin", "_sc", F.lit(1.0).alias("b")))
+    px = _prepare(px, good, by)
+    # start at one over the root of the mean row sum; maps with fewer than three bins are left out
+    m = px.groupBy(*by).agg(F.sum("cnt").alias("_t"), F.count_if(F.col("bin") == F.col("partner")).alias("_m")).filter("_m >= 3")
+    x = good.join(m, by).select(*by, "bin", F.sqrt(F.col("_m") / F.col("_t")).alias("b"))
     done, res = 0, None
     while done < max_iter:
         for _ in range(min(rounds, max_iter - done)):
-            ax = x.join(_row_sums(px, x, by, 1), [*by, "bin"]).withColumn("_a", F.col("_s") / F.col("_sc"))
-            x = ax.select(*by, "bin", "_sc", F.sqrt(F.col("b") / F.col("_a")).alias("b"),
-                          F.abs(F.col("b") * F.col("_a") - 1).alias("_e"))
+            x = _row_sums(px, x, by, 1).select(*by, "bin", F.sqrt(F.col("b") / F.col("_s")).alias("b"),
+                                               F.abs(F.col("b") * F.col("_s") - 1).alias("_e"))
             done += 1
         res = cut(x)
         x = res.drop("_e")
         # the residual of the last round is from before its update, so the result is at least as good
         if res.filter(F.col("_e") >= tol).isEmpty():
             break
-    rs = x.join(_row_sums(px, x, by, 1), [*by, "bin"]).withColumn("_r", F.col("b") * F.col("_s") / F.col("_sc"))
+    rs = _row_sums(px, x, by, 1).withColumn("_r", F.col("b") * F.col("_s"))
     report = (rs.groupBy(*by).agg((F.stddev_pop("_r") / F.avg("_r")).alias("row_sum_cv"), F.count(F.lit(1)).alias("kept_bins"))
               .join(res.groupBy(*by).agg((F.max("_e") < tol).alias("converged")), by).withColumn("iterations", F.lit(done)))
-    out = bins_of(sizes, by).join(x, [*by, "bin"], "left").select(*by, "bin", (F.col("b") / F.sqrt("_sc")).alias("weight"))
+    out = bins_of(sizes, by).join(x, [*by, "bin"], "left").select(*by, "bin", F.col("b").alias("weight"))
     return out, report
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..core import MAP, idiv
-from ..functions import special
 from ..functions.groups import greedy
+from ..functions.special import normal_upper, rank_sum_upper
 from .maps import bins_of
 
 
@@ -103,12 +104,12 @@ def rank_sum_boundaries(contacts: DataFrame, sizes: DataFrame, w: int = 5, alpha
     z = F.when(F.col("kinds") > 1, (u2 - n1 * n2 / 2.0 - 0.5) / sd)
     exact = F.lit(min(n1, n2) <= 8) & (F.col("ties") == 0)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def p_value(z: pd.Series, u: pd.Series, ex: pd.Series) -> pd.Series:
-        p = special.normal_upper(z.to_numpy(float))
+        p = normal_upper(z.to_numpy(float))
         use = ex.to_numpy(bool)
         if use.any():
-            p[use] = special.rank_sum_upper(np.nan_to_num(u.to_numpy(float)[use]), n1, n2)
+            p[use] = rank_sum_upper(np.nan_to_num(u.to_numpy(float)[use]), n1, n2)
         return pd.Series(p)
 
     out = r.select(*by, "bin", z.alias("z"), u2.alias("u"), exact.alias("_ex")).filter(F.col("z").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..core import MAP, cut, idiv
 from ..functions.groups import components, greedy
 from ..functions.intervals import within
-from ..functions.ranks import benjamini_hochberg, top_k
+from ..functions.ranks import bh_table, top_k
 from ..functions.special import poisson_upper
 from .maps import expected, expected_balanced, observed_over_expected
 
@@ -116,7 +116,7 @@ def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFram
         up = (cols[None, inner] - rows[inner, None])
         hit = (up >= dmin) & (up < depth) & (raw[inner, inner] > 0) & ok_r[inner, None] & ok_c[None, inner]
         ty, tx = np.nonzero(hit)
-        out = {b: [pdf[b].iloc[0]] * len(ty) for b in by}
+        out = {b: np.full(len(ty), pdf[b].iloc[0], dtype=object) for b in by}
         obs, here = raw[inner, inner][ty, tx], ex[inner, inner][ty, tx]
         scale = np.zeros((size, size))
         scale[y, x] = np.nan_to_num(d["wr"] * d["wc"])
@@ -143,14 +143,18 @@ def call_loops(contacts: DataFrame, sizes: DataFrame, weights: DataFrame, resolu
     of each neighbourhood form one false-discovery family per map."""
     by = list(by)
     tests = cut(neighbourhood_tests(contacts, sizes, weights, resolution, by=by, **settings))
-    q = tests
-    for k in KERNELS:
-        q = benjamini_hochberg(q, by, f"p_{k}", f"q_{k}")
+    # all four families in one pass over the distinct p-values; only enriched pixels look their q-values up
+    long = tests.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("kernel"), F.col(f"p_{k}").alias("p")) for k in KERNELS])))
+    table = cut(bh_table(long, [*by, "kernel"], "p"))
     oe = {k: F.when(F.col(f"e_{k}") > 0, F.col("obs") / F.col(f"e_{k}")).otherwise(0.0) for k in KERNELS}
     ok = F.greatest(oe["donut"], oe["lower_left"]) >= 2.0
     for k, floor in zip(KERNELS, (1.75, 1.75, 1.5, 1.5)):
-        ok = ok & (F.col(f"q_{k}") <= fdr) & (oe[k] >= floor)
-    peaks = cut(q.filter(ok).select(*by, "i", "j", "obs", F.col("e_donut").alias("expected_donut"), oe["donut"].alias("oe_donut"),
+        ok = ok & (oe[k] >= floor)
+    q = tests.filter(ok)
+    for k in KERNELS:
+        one = table.filter((F.col("kernel") == k) & (F.col("q") <= fdr)).select(*by, F.col("p").alias(f"p_{k}"), F.col("q").alias(f"q_{k}"))
+        q = q.join(one, [*by, f"p_{k}"])
+    peaks = cut(q.select(*by, "i", "j", "obs", F.col("e_donut").alias("expected_donut"), oe["donut"].alias("oe_donut"),
                                     sum((F.col(f"q_{k}") for k in KERNELS), F.lit(0.0)).alias("q_sum"),
                                     *[f"q_{k}" for k in KERNELS], F.concat_ws(":", "i", "j").alias("node")))
     radius = max(1.0, cluster_bp / resolution)

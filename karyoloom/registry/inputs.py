@@ -4,11 +4,13 @@ from .base import view
 
 SPAN, RES, N = 2_000_000, 20_000, 100          # bp, bp per bin, bins
 
-# one read pair per line item; short separations are more frequent than long ones
+# one read pair per line item; short separations are more frequent than long ones, discounted items join five loop anchors
 view("v_pairs", """
 SELECT concat('s', cast(l_suppkey % 4 AS varchar(9))) AS sample, concat('chr', l_returnflag) AS chrom1,
-       CASE WHEN l_tax > 0.075 THEN 'chrN' ELSE concat('chr', l_returnflag) END AS chrom2, p AS pos1,
-       CASE WHEN p + 2 * k * k < 2000000 THEN p + 2 * k * k ELSE abs(p - 2 * k * k) END AS pos2
+       CASE WHEN l_tax > 0.075 THEN 'chrN' ELSE concat('chr', l_returnflag) END AS chrom2,
+       CASE WHEN l_discount > 0.085 THEN 280000 + (l_partkey % 5) * 320000 + l_orderkey * 7919 % 60000 ELSE p END AS pos1,
+       CASE WHEN l_discount > 0.085 THEN 580000 + (l_partkey % 5) * 320000 + l_orderkey * 104729 % 60000
+            WHEN p + 2 * k * k < 2000000 THEN p + 2 * k * k ELSE abs(p - 2 * k * k) END AS pos2
 FROM (SELECT *, (l_partkey * 9973 + l_suppkey * 7919 + l_orderkey * 131) % 2000000 AS p,
              (l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 1000 AS k FROM {lineitem}) t""")
 view("v_contacts", """

@@ -107,7 +107,7 @@ BOUND_TAIL = """cand AS (SELECT sample, chrom, bin, n, least(l, rr) - v AS depth
   WHERE v IS NOT NULL AND v <= m AND l IS NOT NULL AND rr IS NOT NULL AND least(l, rr) - v >= 0.15),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom ORDER BY depth DESC, bin) AS rk FROM cand),
 pick AS (SELECT sample, chrom, 0 AS rk, cast([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT sample, chrom FROM ordered)
-  UNION ALL SELECT p.sample, p.chrom, o.rk, CASE WHEN len(list_filter(p.kept, x -> abs(x - o.bin) < 6)) = 0 THEN list_append(p.kept, o.bin) ELSE p.kept END
+  UNION ALL SELECT p.sample, p.chrom, o.rk, CASE WHEN len(list_filter(p.kept, lambda x: abs(x - o.bin) < 6)) = 0 THEN list_append(p.kept, o.bin) ELSE p.kept END
   FROM pick p JOIN ordered o ON p.sample = o.sample AND p.chrom = o.chrom AND o.rk = p.rk + 1),
 bounds AS (SELECT sample, chrom, unnest(kept) AS bin FROM (SELECT sample, chrom, arg_max(kept, rk) AS kept FROM pick GROUP BY ALL))"""
 
@@ -288,7 +288,7 @@ def _(t):
 cand AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom ORDER BY oe DESC, i, j) AS rk FROM band JOIN (
   SELECT sample, chrom, quantile_cont(cnt, 0.9) AS f FROM band GROUP BY ALL) q USING (sample, chrom) WHERE oe >= 2 AND cnt >= greatest(f, 2.0)),
 pick AS (SELECT sample, chrom, 0 AS rk, cast([] AS STRUCT(i BIGINT, j BIGINT)[]) AS kept FROM (SELECT DISTINCT sample, chrom FROM cand)
-  UNION ALL SELECT p.sample, p.chrom, o.rk, CASE WHEN len(list_filter(p.kept, x -> abs(x.i - o.i) <= 4 AND abs(x.j - o.j) <= 4)) = 0
+  UNION ALL SELECT p.sample, p.chrom, o.rk, CASE WHEN len(list_filter(p.kept, lambda x: abs(x.i - o.i) <= 4 AND abs(x.j - o.j) <= 4)) = 0
     THEN list_append(p.kept, struct_pack(i := o.i, j := o.j)) ELSE p.kept END FROM pick p JOIN cand o ON p.sample = o.sample AND p.chrom = o.chrom AND o.rk = p.rk + 1),
 kept AS (SELECT sample, chrom, unnest(kept) AS k FROM (SELECT sample, chrom, arg_max(kept, rk) AS kept FROM pick GROUP BY ALL))
 SELECT * FROM (SELECT k.sample, k.chrom, c.i, c.j, round(c.oe, 6) AS oe, row_number() OVER (PARTITION BY k.sample, k.chrom ORDER BY c.oe DESC, c.i, c.j) AS rank
@@ -311,7 +311,7 @@ target AS (SELECT c.sample, c.chrom, i, j, cnt AS obs, a.weight * b.weight AS ww
   JOIN expb e ON e.sample = c.sample AND e.chrom = c.chrom AND e.d = c.j - c.i
   WHERE j - i BETWEEN 4 AND 40 AND a.weight * b.weight IS NOT NULL),
 cell AS (SELECT t.*, y, x, t.i + y AS r, t.j + x AS c FROM target t CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS y) a CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS x) b),
-val AS (SELECT q.sample, q.chrom, q.i, q.j, q.obs, q.ww, q.e0, y, x, coalesce(p.cnt * a.weight * b.weight, 0) AS bal, e.expected AS ex FROM cell q
+val AS (SELECT q.sample, q.chrom, q.i, q.j, q.obs, q.ww, q.e0, y, x, coalesce(p.cnt * a.weight * b.weight, 0) AS bal, CASE WHEN abs(q.c - q.r) < 45 THEN e.expected ELSE 0 END AS ex FROM cell q
   JOIN v_weights a ON a.sample = q.sample AND a.chrom = q.chrom AND a.bin = q.r AND a.weight IS NOT NULL
   JOIN v_weights b ON b.sample = q.sample AND b.chrom = q.chrom AND b.bin = q.c AND b.weight IS NOT NULL
   JOIN expb e ON e.sample = q.sample AND e.chrom = q.chrom AND e.d = abs(q.c - q.r)
