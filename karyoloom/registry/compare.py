@@ -36,13 +36,13 @@ def _(t):
 
 
 @query("pixel_strata", "C4", f"""WITH {TESTED}, edges AS (
-  SELECT chrom, list_distinct(quantile_cont((ma + mb) / 2, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS e FROM stat GROUP BY chrom)
+  SELECT chrom, list_distinct(quantile_cont(round((ma + mb) / 2, 6), [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS e FROM stat GROUP BY chrom)
 SELECT s.chrom, i, j, round(mb - ma, 6) AS log2_fc, round(s2, 6) AS s2,
-  cast(least(len(list_filter(e, lambda x: x <= (ma + mb) / 2 + 1e-12)) - 1, greatest(len(e) - 2, 0)) AS INTEGER) AS stratum
+  cast(least(len(list_filter(e, lambda x: x <= round((ma + mb) / 2, 6) + 1e-9)) - 1, greatest(len(e) - 2, 0)) AS INTEGER) AS stratum
 FROM stat s JOIN edges USING (chrom)""")
 def _(t):
     y = X.centre_by_distance(X.log_cpm(t("v_reps"), tested(t)))
-    s = X.two_means(y, ["chrom"], ["i", "j"]).withColumn("ab", (F.col("mean_a") + F.col("mean_b")) / 2)
+    s = X.two_means(y, ["chrom"], ["i", "j"]).withColumn("ab", F.round((F.col("mean_a") + F.col("mean_b")) / 2, 6))
     return r(X.strata(s, ["chrom"], "ab"), "log2_fc", "s2").select("chrom", "i", "j", "log2_fc", "s2", "stratum")
 
 
