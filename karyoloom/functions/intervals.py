@@ -22,7 +22,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str],
     iv = (intervals.filter(size > 0).withColumn("_lv", level)
           .withColumn("_bk", F.explode(F.sequence(idiv(F.col(start), width), idiv(F.col(end) - 1, width)))))
     cells = F.array(*[F.struct(F.lit(k).alias("_lv"), idiv(F.col(pos), w).alias("_bk")) for k, w in enumerate(WIDTHS)])
-    pt = points.withColumn("_c", F.explode(cells)).select("*", "_c._lv", "_c._bk").drop("_c")
+    pt = points.select("*", F.inline(cells))
     hit = pt.join(iv, [*by, "_lv", "_bk"])
     return hit.filter((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_lv", "_bk")
 

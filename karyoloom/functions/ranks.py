@@ -115,3 +115,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) ->
         frac = h - F.floor(h)
         outs.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * frac).alias(name))
     return d.groupBy(*by, "_n").agg(*aggs).select(*by, *outs)
+
+
+def count_below(places: DataFrame, counted: DataFrame, by: list[str], place: str, value: str, out: str) -> DataFrame:
+    """(by, place, out): how many rows of `counted` lie strictly below each distinct place."""
+    a = places.select(*by, F.col(place).alias("_v")).distinct().withColumn("_c", F.lit(0).cast("long"))
+    b = counted.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    merged = a.unionByName(b).groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
+    cum = scan(value_buckets(merged, by, "_v"), by, "_v", F.col("_c"), "_cum")
+    return cum.select(*by, F.col("_v").alias(place), (F.col("_cum") - F.col("_c")).alias(out))

@@ -107,8 +107,6 @@ def message_graph(contacts: DataFrame, sizes: DataFrame, k: int = 8, by: list[st
     top = strongest(contacts.filter(F.col("j") - F.col("i") > 2), by, k)
     ends = F.array(F.struct(F.col("bin").alias("dst"), F.col("partner").alias("src")))
     far = top.select(*by, "cnt", F.lit(0.0).alias("backbone"), F.inline(ends)).select(*back.columns)
-    # the strongest list of a bin names its sources as destinations too
-    far = far.select(*by, F.col("src").alias("dst"), F.col("dst").alias("src"), "cnt", "backbone")
     edges = back.unionByName(far)
     high = contacts.groupBy(*by).agg(F.greatest(F.max("cnt"), F.lit(1.0)).alias("_m"))
     deg = edges.groupBy(*by, "dst").agg(F.count(F.lit(1)).alias("degree"))

@@ -302,7 +302,7 @@ def _(t):
 
 @query("message_graph", "E23", """WITH back AS (SELECT a.sample, a.chrom, a.bin AS dst, b.bin AS src, coalesce(c.cnt, 0) AS cnt, 1.0 AS backbone FROM v_bins a JOIN v_bins b ON a.sample = b.sample AND a.chrom = b.chrom AND abs(a.bin - b.bin) BETWEEN 1 AND 2
   LEFT JOIN v_contacts c ON c.sample = a.sample AND c.chrom = a.chrom AND c.i = least(a.bin, b.bin) AND c.j = greatest(a.bin, b.bin)),
-far AS (SELECT sample, chrom, b AS dst, a AS src, cnt, 0.0 AS backbone FROM (SELECT *, row_number() OVER (PARTITION BY sample, chrom, a ORDER BY cnt DESC, b) AS k FROM (
+far AS (SELECT sample, chrom, a AS dst, b AS src, cnt, 0.0 AS backbone FROM (SELECT *, row_number() OVER (PARTITION BY sample, chrom, a ORDER BY cnt DESC, b) AS k FROM (
   SELECT sample, chrom, i AS a, j AS b, cnt FROM v_contacts WHERE j - i > 2 UNION ALL SELECT sample, chrom, j, i, cnt FROM v_contacts WHERE j - i > 2) m) q WHERE k <= 8),
 e AS (SELECT * FROM back UNION ALL SELECT * FROM far)
 SELECT e.sample, e.chrom, dst, src, round(ln(1 + cnt) / ln(1 + m), 6) AS strength, round(ln(1 + abs(dst - src)) / ln(101), 6) AS separation, backbone, count(*) OVER (PARTITION BY e.sample, e.chrom, dst) AS degree
