@@ -28,13 +28,13 @@ def scan(bucketed: DataFrame, by: list[str], order: str, what: Column, out: str,
     agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     join = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "min": F.least, "max": F.greatest}[how]
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    src = bucketed.withColumn("_v", what)
+    src = bucketed.withColumn("_scan", what)
     before = W.partitionBy(*by).orderBy(direction("_b")).rowsBetween(W.unboundedPreceding, -1)
-    offset = (src.groupBy(*by, "_b").agg(agg("_v").alias("_t"))
+    offset = (src.groupBy(*by, "_b").agg(agg("_scan").alias("_t"))
               .withColumn("_o", agg("_t").over(before)).drop("_t"))
     inside = W.partitionBy(*by, "_b").orderBy(direction(order))
     return (src.join(offset, [*by, "_b"])
-            .withColumn(out, join(F.col("_o"), agg("_v").over(inside))).drop("_o", "_v"))
+            .withColumn(out, join(F.col("_o"), agg("_scan").over(inside))).drop("_o", "_scan"))
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, weight: str | None = None, out: str = "rank") -> DataFrame:

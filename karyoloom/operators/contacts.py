@@ -115,9 +115,11 @@ def track_slice(track: DataFrame, windows: DataFrame, by: list[str] = MAP) -> Da
 
 
 def clamp_region(df: DataFrame, size: str, start: str = "start", end: str = "end", min_size: int = 1) -> DataFrame:
-    """Regions pushed inside [0, size) and kept at least `min_size` long where the axis allows."""
-    s = F.greatest(F.lit(0), F.least(F.col(start), F.col(size) - min_size))
-    return df.withColumn(start, s).withColumn(end, F.least(F.col(size), F.greatest(F.col(end), F.col(start) + min_size)))
+    """Half-open regions pushed inside [0, size), at least `min_size` long where the axis allows; swapped ends are put right."""
+    least = F.greatest(F.lit(1), F.least(F.lit(min_size), F.col(size)))
+    lo, hi = F.least(start, end), F.greatest(start, end)
+    a = F.greatest(F.lit(0), F.least(lo, F.col(size) - least))
+    return df.withColumns({start: a, end: F.greatest(a + least, F.least(hi, F.col(size)))})
 
 
 def validate(contacts: DataFrame, sizes: DataFrame, by: list[str] = MAP) -> DataFrame:
