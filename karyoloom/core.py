@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,3 +54,14 @@ def same(a: str, b: str, keys) -> Column:
     for k in keys:
         out = out & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
     return out
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns computed exactly once per row: a generator keeps the optimiser from copying their expressions into every
+    later use, which would repeat pattern matching many times over."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """New path below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"

@@ -33,10 +33,11 @@ def run_sheet(spark: SparkSession, pairs: DataFrame, sheet: DataFrame, sizes: Da
     maps = C.bin_pairs(pairs.join(todo, "sample", "left_semi"), resolution)
     n = sizes.join(todo, "sample", "left_semi")
     tables = suite.analyze(maps, n, resolution, window, call=False)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    save = lambda df, name: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample")       # noqa: E731
+                             .parquet(f"{path}/{name}"))
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("sample").parquet(f"{path}/{name}")
-    suite.summary(tables, n).write.mode("overwrite").partitionBy("sample").parquet(f"{path}/summary")
+        save(df, name)
+    save(suite.summary(tables, n), "summary")
     return todo
 
 

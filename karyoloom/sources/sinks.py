@@ -5,21 +5,20 @@ from __future__ import annotations
 import datetime
 import platform
 
+import pandas as pd
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 
-def significant(c: str | Column, digits: int = 6) -> Column:
-    """Number with `digits` significant digits and no trailing zeros, as '%g' prints it in C."""
-    v = (F.col(c) if isinstance(c, str) else c).cast("double")
-    mant = F.format_string(f"%.{digits - 1}e", v)
-    exp = F.regexp_extract(mant, r"e([+-]\d+)$", 1).cast("int")
-    trim = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")             # noqa: E731
-    sci = F.concat(trim(F.regexp_extract(mant, r"^([^e]+)e", 1)), F.regexp_extract(mant, r"(e[+-]\d+)$", 1))
-    plain = F.lit("")
-    for k in range(-4, digits):
-        plain = F.when(exp == k, trim(F.format_string(f"%.{digits - 1 - k}f", v)) if digits - 1 - k > 0 else F.format_string("%.0f", v)).otherwise(plain)
-    return F.when(v == 0, "0").when((exp < -4) | (exp >= digits), sci).otherwise(plain)
+@F.pandas_udf(StringType())
+def six_digits(v: pd.Series) -> pd.Series:
+    """'%.6g' of C: six significant digits of the exact binary value, no trailing zeros (Java's %g keeps them)."""
+    return pd.Series([None if x is None or x != x else "%.6g" % x for x in v], dtype=object)
+
+
+def significant(c: str | Column) -> Column:
+    return six_digits((F.col(c) if isinstance(c, str) else c).cast("double"))
 
 
 def _line(*cols, sep: str = "\t") -> Column:

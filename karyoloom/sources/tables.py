@@ -120,7 +120,7 @@ def classify_tables(lines: DataFrame) -> DataFrame:
     k, n = F.col("k"), [F.col(f"n{q}") for q in range(4)]
     any_num = n[1] | ((k >= 3) & n[2]) | ((k >= 4) & n[3])
     kind = (F.when((k == 2) & ~n[0] & n[1], "expression").when((k == 3) & n[0] & n[1] & n[2], F.when(F.col("bins"), "contacts").otherwise("unknown"))
-            .when((k >= 3) & F.col("c0") & n[1] & n[2] & (k >= 6) & F.col("c3"), "contacts").when((k == 5) & F.col("c0") & n[1] & n[3] & F.col("c2"), "contacts")
+            .when((k >= 5) & F.col("c0") & n[1] & n[2] & F.when(k >= 6, F.col("c3")).otherwise(F.col("c2")), "contacts")
             .when((k >= 3) & F.col("c0") & n[1] & n[2], "track").when((k >= 2) & ~n[0] & any_num, "expression").otherwise("unknown"))
     return g.select("file", kind.alias("kind"))
 
