@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..core import cut
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -14,11 +16,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 VIEWS: dict[str, tuple[str, str]] = {}        # name -> (Spark SQL, DuckDB SQL)
+STORED: set[str] = set()                      # views that are written once per query, as maps and tracks are in practice
 
 
-def view(name: str, sql: str, duck: str | None = None) -> None:
+def view(name: str, sql: str, duck: str | None = None, stored: bool = False) -> None:
     """Input view derived from the given tables; other tables and views are written {name} in the text."""
     VIEWS[name] = (sql, duck or sql)
+    if stored:
+        STORED.add(name)
 
 
 class Inputs:
@@ -32,7 +37,8 @@ class Inputs:
             if name in VIEWS:
                 text = VIEWS[name][0]
                 deps = {d: self(d) for d in set(re.findall(r"\{(\w+)\}", text))}
-                self._made[name] = self.spark.sql(text, **deps)
+                made = self.spark.sql(text, **deps)
+                self._made[name] = cut(made) if name in STORED else made
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._made[name]

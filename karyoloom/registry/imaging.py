@@ -42,7 +42,7 @@ def _(t):
 
 # two positive maps of the same pairs: pooled counts of both conditions turned into distances
 view("v_maps", """SELECT a.chrom, a.i, a.j, a.j - a.i AS sep, 300 / (a.cnt + 1) + (a.i * 13) % 7 AS pred, 280 / (b.cnt + 1) + (a.j * 5) % 9 AS truth, 290 / (a.cnt + b.cnt) + (a.j * 3) % 5 AS other
-FROM {v_pooled} a JOIN {v_pooled} b ON a.chrom = b.chrom AND a.i = b.i AND a.j = b.j AND a.sample = 'a' AND b.sample = 'b' WHERE a.i < a.j""")
+FROM {v_pooled} a JOIN {v_pooled} b ON a.chrom = b.chrom AND a.i = b.i AND a.j = b.j AND a.sample = 'a' AND b.sample = 'b' WHERE a.i < a.j""", stored=True)
 RANKS = """{p} AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {k} ORDER BY {y}) + (count(*) OVER (PARTITION BY {k}, {y}) - 1) / 2.0 AS ry,
   rank() OVER (PARTITION BY {k} ORDER BY {xf}) + (count(*) OVER (PARTITION BY {k}, {xf}) - 1) / 2.0 AS fx, rank() OVER (PARTITION BY {k} ORDER BY {yf}) + (count(*) OVER (PARTITION BY {k}, {yf}) - 1) / 2.0 AS fy FROM {src})"""
 

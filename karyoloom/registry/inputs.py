@@ -16,7 +16,7 @@ FROM (SELECT *, (l_partkey * 9973 + l_suppkey * 7919 + l_orderkey * 131) % 20000
 view("v_contacts", """
 SELECT sample, chrom1 AS chrom, least(a, b) AS i, greatest(a, b) AS j, cast(count(*) AS double) AS cnt
 FROM (SELECT sample, chrom1, cast(floor(pos1 / 20000.0) AS bigint) AS a, cast(floor(pos2 / 20000.0) AS bigint) AS b
-      FROM {v_pairs} WHERE chrom1 = chrom2) t GROUP BY sample, chrom1, least(a, b), greatest(a, b)""")
+      FROM {v_pairs} WHERE chrom1 = chrom2) t GROUP BY sample, chrom1, least(a, b), greatest(a, b)""", stored=True)
 view("v_sizes", "SELECT sample, chrom, cast(100 AS bigint) AS n FROM {v_contacts} GROUP BY sample, chrom")
 view("v_bins", "SELECT sample, chrom, n, explode(sequence(cast(0 AS bigint), n - 1)) AS bin FROM {v_sizes}",
      "SELECT sample, chrom, n, unnest(generate_series(cast(0 AS bigint), n - 1)) AS bin FROM {v_sizes}")
@@ -24,11 +24,11 @@ view("v_cover", """
 SELECT b.sample, b.chrom, b.bin, b.n, coalesce(sum(c.cnt), 0) AS cov FROM {v_bins} b LEFT JOIN (
   SELECT sample, chrom, i AS bin, cnt FROM {v_contacts} UNION ALL
   SELECT sample, chrom, j AS bin, cnt FROM {v_contacts} WHERE i <> j) c
-  ON b.sample = c.sample AND b.chrom = c.chrom AND b.bin = c.bin GROUP BY b.sample, b.chrom, b.bin, b.n""")
+  ON b.sample = c.sample AND b.chrom = c.chrom AND b.bin = c.bin GROUP BY b.sample, b.chrom, b.bin, b.n""", stored=True)
 # one weight per bin, missing where the bin is thin
 view("v_weights", """
 SELECT sample, chrom, bin, CASE WHEN cov >= 0.6 * m THEN 1 / sqrt(cov) END AS weight
-FROM (SELECT *, avg(cov) OVER (PARTITION BY sample, chrom) AS m FROM {v_cover}) t""")
+FROM (SELECT *, avg(cov) OVER (PARTITION BY sample, chrom) AS m FROM {v_cover}) t""", stored=True)
 view("v_off", "SELECT * FROM {v_contacts} WHERE i < j")
 view("v_pooled", """
 SELECT CASE WHEN sample IN ('s0', 's1') THEN 'a' ELSE 'b' END AS sample, chrom, i, j, sum(cnt) AS cnt FROM {v_contacts}

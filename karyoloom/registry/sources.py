@@ -79,7 +79,7 @@ def _(t):
     return T.parse_expression(t("v_expr_lines"))
 
 
-@query("classify_tables", "A12", "SELECT * FROM (VALUES ('a.bedGraph', 'track'), ('b.bed', 'track'), ('c.bed', 'track'), ('e1.tsv', 'expression'), ('e2.csv', 'unknown'), ('t0', 'contacts'), ('t1', 'expression'), ('t2', 'contacts')) v(file, kind)")
+@query("classify_tables", "A12", "SELECT * FROM (VALUES ('a.bedGraph', 'track'), ('b.bed', 'track'), ('c.bed', 'contacts'), ('e1.tsv', 'expression'), ('e2.csv', 'unknown'), ('t0', 'contacts'), ('t1', 'unknown'), ('t2', 'contacts')) v(file, kind)")
 def _(t):
     lines = t("v_track_lines").unionByName(t("v_expr_lines")).unionByName(t("v_contact_lines"))
     return T.classify_tables(lines)

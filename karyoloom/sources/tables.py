@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..core import idiv
+from ..core import idiv, once
 from ..functions.intervals import last_before
 from ..functions.stats import median
 from ..operators.contacts import sum_contacts
@@ -44,14 +44,12 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def parse_contacts(lines: DataFrame, resolution: int) -> DataFrame:
     """Contacts (file, chrom, i, j, cnt) of text tables: three columns are bins and a count, five are chr pos chr pos count,
     six or more are paired intervals with the count in column seven or 1. Duplicates are summed, the diagonal dropped."""
-    d = data_lines(lines).withColumn("p", fields())
+    d = once(data_lines(lines), p=fields())
     k = F.size("p")
-    p1, p2 = whole(at("p", 1)), F.when(k == 5, whole(at("p", 3))).otherwise(whole(at("p", 4)))
-    c1, c2 = simple_name(at("p", 0)), simple_name(F.when(k == 5, at("p", 2)).otherwise(at("p", 3)))
-    n = F.when(k == 5, number(at("p", 4))).when(k >= 7, number(at("p", 6)))
-    rows = d.select("file", F.when(k > 3, c1).alias("chrom"), F.when(k == 3, whole(at("p", 0))).otherwise(idiv(p1, resolution)).alias("i"),
-                    F.when(k == 3, p1).otherwise(idiv(p2, resolution)).alias("j"), F.when(k == 3, number(at("p", 2))).otherwise(F.coalesce(n, F.lit(1.0))).alias("cnt"),
-                    ((k == 3) | (c1 == c2)).alias("_cis"))
+    d = once(d, c1=simple_name(at("p", 0)), c2=simple_name(F.when(k == 5, at("p", 2)).otherwise(at("p", 3))), f0=whole(at("p", 0)), f1=whole(at("p", 1)),
+             f3=F.when(k == 5, whole(at("p", 3))).otherwise(whole(at("p", 4))), n=F.when(k == 3, number(at("p", 2))).otherwise(F.coalesce(F.when(k == 5, number(at("p", 4))).when(k >= 7, number(at("p", 6))), F.lit(1.0))))
+    rows = d.select("file", F.when(k > 3, F.col("c1")).alias("chrom"), F.when(k == 3, F.col("f0")).otherwise(idiv("f1", resolution)).alias("i"),
+                    F.when(k == 3, F.col("f1")).otherwise(idiv("f3", resolution)).alias("j"), F.col("n").alias("cnt"), ((k == 3) | (F.col("c1") == F.col("c2"))).alias("_cis"))
     rows = rows.filter(F.col("_cis") & F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("cnt").isNotNull())
     return sum_contacts(rows.withColumn("chrom", F.coalesce("chrom", F.lit(""))), ["file", "chrom"])
 
