@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranks import quantiles
+
 POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
              0.9994058151824183, 0.9999167588507119, 0.9999897508033253]        # cumulative Poisson(1), 0..7
 
@@ -31,15 +33,17 @@ def robust_z(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFr
 
 
 def agreement(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson, Lin's concordance and median ratio y / x over rows where both are present."""
+    """Pearson, Lin's concordance and median ratio y / x over rows where both are present. The ratio takes any number of
+    distinct values, so its median comes from bucketed quantiles."""
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     mx, my, vx, vy = F.avg(x), F.avg(y), F.var_pop(x), F.var_pop(y)
     den = vx + vy + (mx - my) ** 2
-    return ok.groupBy(*by).agg(
+    s = ok.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.when((vx > 0) & (vy > 0), F.covar_pop(x, y) / F.sqrt(vx * vy)).alias("pearson"),
-        F.when(den > 0, 2 * F.covar_pop(x, y) / den).alias("ccc"),
-        median(F.when(F.col(x) > 0, F.col(y) / F.col(x))).alias("scale"))
+        F.when(den > 0, 2 * F.covar_pop(x, y) / den).alias("ccc"))
+    ratio = ok.filter(F.col(x) > 0).select(*by, (F.col(y) / F.col(x)).alias("_ratio"))
+    return s.join(quantiles(ratio, list(by), "_ratio", {"scale": 0.5}), list(by), "left")
 
 
 def uniform(*parts) -> Column:

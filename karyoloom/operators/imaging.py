@@ -224,8 +224,8 @@ def input_scores(pairs: DataFrame, by: list[str], r_c: float) -> DataFrame:
     """Reliability scores of a pair from its input frequency f, count and model spread: input error, misfit, both. Higher is
     better; a pair without input has misfit -infinity."""
     seen = F.col("f").isNotNull() & (F.coalesce("counts", F.lit(0.0)) > 0)
-    fill = pairs.groupBy(*by).agg(F.coalesce(median("f"), F.lit(0.1)).alias("_fill"))
-    d = pairs.join(fill, list(by)).withColumn("_f", F.when(seen, F.col("f")).otherwise(F.col("_fill")))
+    fill = quantiles(pairs, list(by), "f", {"_fill": 0.5})
+    d = pairs.join(fill, list(by), "left").withColumn("_f", F.when(seen, F.col("f")).otherwise(F.coalesce("_fill", F.lit(0.1))))
     f = F.greatest(F.lit(1e-6), F.least(F.lit(0.999), F.col("_f")))
     up, down = F.least(f * F.exp(F.lit(0.01)), F.lit(0.9995)), f * F.exp(F.lit(-0.01))
     slope = F.abs(F.ln(sigma_of(up)) - F.ln(sigma_of(down))) / (F.ln(up) - F.ln(down))

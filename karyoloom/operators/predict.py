@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import cut
 from ..functions.intervals import pair_tiles, points_in_intervals
-from ..functions.ranks import count_below, spearman
+from ..functions.ranks import count_below, quantiles, spearman
 from ..functions.regress import least_squares, ridge, ridge_with_missing
-from ..functions.stats import median
 from .ensemble import median_distance
 
 BASE = ("convergent", "divergent", "tandem", "anchor", "between", "gc")
@@ -109,7 +108,7 @@ def compare_maps(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     j = cut(ratio_to_trend(ratio_to_trend(j, by, "x", "xr"), by, "y", "yr").withColumns({"xr": F.round("xr", 12), "yr": F.round("yr", 12)}))
     raw = spearman(j, by, "x", "y", out="spearman", n_out="pairs")
     free = spearman(j, by, "xr", "yr", out="spearman_trend_removed", n_out="_n").drop("_n")
-    ratio = j.groupBy(*by).agg(median(F.col("y") / F.col("x")).alias("median_ratio"))
+    ratio = quantiles(j.withColumn("_q", F.col("y") / F.col("x")), by, "_q", {"median_ratio": 0.5})
     return raw.join(free, by).join(ratio, by)
 
 

@@ -79,9 +79,9 @@ def _(t):
     return r(X.track_test(insulation_tracks(t)), "t", "p", "q", "mean_a", "mean_b", "difference")
 
 
-# features of two conditions: the bins with the most coverage in each sample pair
-view("v_marks", """SELECT sample, chrom, bin FROM (SELECT CASE WHEN sample IN ('s0', 's1') THEN 'a' ELSE 'b' END AS sample, chrom, bin,
-  max(cov) AS cov FROM {v_cover} GROUP BY CASE WHEN sample IN ('s0', 's1') THEN 'a' ELSE 'b' END, chrom, bin) t WHERE cov % 5 = 0""")
+# features of two conditions: bins covered more than both neighbours in their sample pair
+view("v_marks", """SELECT sample, chrom, bin FROM (SELECT *, lag(cov) OVER (PARTITION BY sample, chrom ORDER BY bin) AS l, lead(cov) OVER (PARTITION BY sample, chrom ORDER BY bin) AS r FROM (
+  SELECT CASE WHEN sample IN ('s0', 's1') THEN 'a' ELSE 'b' END AS sample, chrom, bin, max(cov) AS cov FROM {v_cover} GROUP BY CASE WHEN sample IN ('s0', 's1') THEN 'a' ELSE 'b' END, chrom, bin) m) t WHERE cov > l AND cov > r""")
 
 
 @query("boundary_changes", "C7", """WITH a AS (SELECT chrom, bin FROM v_marks WHERE sample = 'a'), b AS (SELECT chrom, bin FROM v_marks WHERE sample = 'b')

@@ -172,8 +172,9 @@ def _(t):
     return r(D.rank_sum_boundaries(t("v_contacts"), t("v_sizes")).drop("p"), "z")
 
 
-# every tenth boundary of a fixed grid keeps the candidate list independent of the boundary caller
-view("v_grid_bounds", "SELECT sample, chrom, bin FROM {v_bins} WHERE bin % 9 = 4")
+# candidate boundaries: bins covered less than both neighbours
+view("v_grid_bounds", """SELECT sample, chrom, bin FROM (SELECT *, lag(cov) OVER (PARTITION BY sample, chrom ORDER BY bin) AS l, lead(cov) OVER (PARTITION BY sample, chrom ORDER BY bin) AS r FROM {v_cover}) t
+WHERE cov < l AND cov < r""")
 
 
 @query("domain_scores", "B17", """WITH edges AS (SELECT sample, chrom, bin FROM v_grid_bounds UNION SELECT sample, chrom, 0 FROM v_sizes UNION SELECT sample, chrom, n FROM v_sizes),

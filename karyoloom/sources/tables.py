@@ -31,7 +31,7 @@ def parse_pairs(lines: DataFrame) -> DataFrame:
     joined; the pair lines themselves are split in place."""
     cols = pair_columns(lines)
     default = F.array(*[F.lit(c) for c in DEFAULT_PAIR_COLUMNS])
-    d = lines.filter(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).join(F.broadcast(cols), "file", "left")       # one header per file
+    d = lines.filter(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).join(cols, "file", "left")
     d = d.withColumns({"p": F.split("value", "\t"), "columns": F.coalesce("columns", default)})
     get = lambda c: F.try_element_at("p", F.array_position("columns", c).cast("int"))                                           # noqa: E731
     return d.select("file", get("chrom1").alias("chrom1"), whole(get("pos1")).alias("pos1"), get("chrom2").alias("chrom2"), whole(get("pos2")).alias("pos2"))
@@ -96,11 +96,11 @@ def parse_expression(lines: DataFrame) -> DataFrame:
     non-finite values dropped."""
     d = data_lines(lines, ("#",)).withColumn("p", F.when(F.contains("value", F.lit("\t")), F.split("value", "\t")).otherwise(F.split("value", ",")))
     first = d.groupBy("file").agg(F.min("line_no").alias("_head"))
-    d = d.join(F.broadcast(first), "file").filter(F.col("line_no") > F.col("_head"))                                             # one row per file
+    d = d.join(first, "file").filter(F.col("line_no") > F.col("_head"))
     cells = d.select("file", F.posexplode("p").alias("k", "v"))
     kinds = cells.groupBy("file", "k").agg(F.bool_and(number(F.col("v")).isNotNull() | (F.trim("v") == "")).alias("_num"))
     pick = kinds.groupBy("file").agg(F.min(F.when(F.col("_num"), F.col("k"))).alias("_v"), F.min(F.when(~F.col("_num"), F.col("k"))).alias("_g"))
-    rows = d.join(F.broadcast(pick), "file").select("file", "line_no", F.trim(F.try_element_at("p", F.col("_g") + 1)).alias("gene"), number(F.try_element_at("p", F.col("_v") + 1)).alias("value"))
+    rows = d.join(pick, "file").select("file", "line_no", F.trim(F.try_element_at("p", F.col("_g") + 1)).alias("gene"), number(F.try_element_at("p", F.col("_v") + 1)).alias("value"))
     one = rows.groupBy("file", "gene").agg(F.min_by(F.struct("value"), "line_no")["value"].alias("value"))
     return one.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
 
