@@ -9,7 +9,7 @@ from ..functions.groups import runs
 from ..functions.intervals import overlaps, points_in_intervals
 from ..functions.ranks import spearman, top_k
 from ..functions.stats import zscore
-from .structures import XYZ, local_density, neighbor_pairs
+from .structures import local_density, neighbor_pairs
 
 OPEN, MIDDLE, BURIED = "Hyper-accessible (predicted active)", "Intermediate", "Buried (predicted silenced)"
 # fixed values: curated symbols that are flagged

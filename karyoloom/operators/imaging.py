@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..core import cut, idiv
 from ..functions.intervals import pair_tiles
 from ..functions.ranks import quantiles, spearman, value_ranks
-from ..functions.stats import agreement, bootstrap_mean, median
+from ..functions.stats import agreement, median
 from .ensemble import central_interval, maxwell_cdf, maxwell_quantile, sigma_of
 from .predict import ratio_to_trend
 from .structures import XYZ, dist

@@ -15,8 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..core import idiv
 from ..functions.groups import greedy
 from ..functions.intervals import pair_tiles
-from ..functions.ranks import spearman, top_k
-from ..functions.stats import median, robust_z, uniform
+from ..functions.ranks import top_k
+from ..functions.stats import median, uniform
 from .maps import log_grid
 
 ONE = ("structure",)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..core import MAP, cut
-from ..operators import balance, compartments, compare, domains, loops, maps
+from ..operators import compartments, compare, domains, loops, maps
 from ..sources import sinks
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import compartments as COMP, domains as D, genes as G, liftover as L, maps as M, sequence as Q
+from ..operators import compartments as COMP, domains as D, genes as G, liftover as L, sequence as Q
 from .base import query, view
 from .maps import r
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..core import scratch
-from ..operators import domains as D, variants as V
+from ..operators import variants as V
 from ..plans import jobs as J, suite as SU
 from ..sources import variants as RV
 from ..streaming import pairs as SP
