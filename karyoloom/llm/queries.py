@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, lookup_shards, token_store
+from . import disclosure, line_dedup, lookup_shards, token_store, vantage_simhash
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -26,12 +26,25 @@ def op2_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_shards.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op8_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = vantage_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = disclosure.sanitise(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")     # noqa: E731
+    return clean.select("doc_id", *[number(k) for k in ("email", "ip", "card", "phone")],
+                        F.sha2(disclosure.digest(base).cast("binary"), 256).alias("base_sha256"), disclosure.digest(F.col("spans")).alias("spans"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": r"""
