@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import disclosure, line_dedup, lookup_shards, mixing, token_store, vantage_simhash
+from . import crf_language, disclosure, line_dedup, lookup_shards, mixing, projection_dedup, token_store, vantage_simhash
+from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -26,10 +27,21 @@ def op2_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_shards.place(table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_part("doc_id", 5) == 0
+    field = crf_language.train_field(docs, ~held_out)
+    return crf_language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), field).drop("text")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = vantage_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op4_source_mix, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": r"""
