@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core import scratch
 
-LETTER = r"\p{L}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` once below the shared checkpoint folder and read it back: later readers prune its columns, nothing is
     computed twice, and a lost executor costs no more than a read."""
@@ -24,8 +21,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reread(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
+    """`docs` as one struct column _row, with the given columns beside it: no name of the input can clash with one of ours."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def field(name: str, row: Column | str = "_row") -> Column:
+    return (F.col(row) if isinstance(row, str) else row).getField(name)
 
 
 def partitions(df: DataFrame) -> int:

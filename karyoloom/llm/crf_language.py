@@ -198,9 +198,10 @@ def train_field(docs: DataFrame, train: Column, lang: str = "lang", doc_id: str
     return fit(chains) if chains else None
 
 
-def predict(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred (string) and score (double): the mean share of the language over the words."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all by default) with lang_pred (string) and score (double): the mean share of the
+    language over the words."""
+    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
     if field is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 

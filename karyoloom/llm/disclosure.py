@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import stored, whole
+from .common import field, rows_of, stored, whole
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # patterns of the base kinds; the guards in front only spare starts that can not match, and possessive counts spare retries
@@ -146,10 +146,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_do
     fixed = F.filter("_all", lambda s: s["kind"] != "term")
     free = F.filter("_all", lambda s: (s["kind"] != "term") | ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     listed = listed.select(*KEY, F.when(F.exists("_all", lambda s: s["kind"] == "term"), free).otherwise(F.col("_all")).alias("spans"))
-    rows = docs.drop("spans").withColumns({"_id": F.col(doc_id), "_tie": F.xxhash64(whole(text))})
+    rows = rows_of(docs, _id=F.col(doc_id), _tie=F.xxhash64(whole(text)))
     out = rows.alias("d").join(listed.alias("s"), F.col("d._id").eqNullSafe(F.col("s._id")) & (F.col("d._tie") == F.col("s._tie")), "left")
     spans = F.coalesce(F.col("s.spans"), F.array().cast(listed.schema["spans"].dataType))
-    old = whole(F.col(f"d.{text}"))
+    old = whole(field(text))
     shown = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(       # noqa: E731
         s["share"] >= remove_share, "").otherwise("[TERM]")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -161,7 +161,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_do
 
     rest = lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(old, (a["at"] + 1).cast("int"), F.length(old)))), "")
     new = F.when(F.size(spans) == 0, old).otherwise(F.aggregate(spans, start, step, rest))
-    same = [new.alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns if c != "spans"]
+    same = [(new if c == text else field(c)).alias(c) for c in docs.columns if c != "spans"]
     return out.select(*same, spans.alias("spans"))
 
 

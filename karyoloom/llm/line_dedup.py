@@ -4,14 +4,14 @@ the documents are put together again from the lines that stay, by position. Data
 Defined cases: a null or empty text is one empty line; a key shorter than `min_chars` is never dropped; several copies of a
 line in one document count once; rows with the same id and text are one document in the count and each give a row of the
 result; a null id is an id like any other; a document may lose all its lines and then has the empty text; other columns are
-kept as they are. A line is told by 128 bits of hash.
+kept, but n_lines and n_dropped are replaced. A line is told by 128 bits of hash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import whole
+from .common import field, rows_of, whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 32                       # parts of a line that most documents have
@@ -53,11 +53,12 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
     salted = lines.withColumn("_salt", F.pmod(F.hash("_id", "_tie"), F.lit(SALTS)))
     dropped = (salted.join(shared, ["h1", "h2", "_salt"]).select("_id", "_tie", "pos").distinct()
                .groupBy("_id", "_tie").agg(F.collect_list("pos").alias("_gone")))
-    rows = docs.withColumns({"_id": F.col(doc_id), "_tie": F.xxhash64(whole(text))})
+    rows = rows_of(docs, _id=F.col(doc_id), _tie=F.xxhash64(whole(text)))
     joined = rows.alias("d").join(dropped.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id")) & (F.col("d._tie") == F.col("g._tie")), "left")
-    gone = F.coalesce(F.col("g._gone"), F.array().cast("array<int>"))
-    all_lines = _lines(whole(F.col(f"d.{text}")))
+    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    old = whole(field(text))
+    all_lines = _lines(old)
     kept = F.filter(all_lines, lambda _, k: ~F.array_contains(gone, k))
-    new = F.when(F.size(gone) == 0, whole(F.col(f"d.{text}"))).otherwise(F.array_join(kept, "\n"))
-    same = [F.col(f"d.{c}") if c != text else new.alias(text) for c in docs.columns]
+    new = F.when(F.size(gone) == 0, old).otherwise(F.array_join(kept, "\n"))
+    same = [(new if c == text else field(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*same, F.size(all_lines).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"))

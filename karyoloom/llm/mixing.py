@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import mix64, stored, whole
+from .common import field, mix64, rows_of, stored, whole
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4_096
@@ -197,16 +197,16 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_ti
     id, text and source become one row with the words that all of them give."""
     taken = mix(docs, weights, most_times, block_words, seed, doc_id, text, source).filter("taken > 0")
     listed = taken.groupBy("_tie", F.xxhash64("doc_id").alias("_key")).agg(F.flatten(F.collect_list("takes")).alias("_takes"))
-    keyed = docs.withColumns({"_tie": F.xxhash64(whole(text), source), "_key": F.xxhash64(doc_id)})
+    keyed = rows_of(docs, _tie=F.xxhash64(whole(text), source), _key=F.xxhash64(doc_id))
     joined = keyed.join(listed, ["_tie", "_key"]).dropDuplicates(["_tie", "_key"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, x) for t, x in zip(texts, lists)], dtype=object)
 
-    takes = F.col("_takes")
+    takes, old = F.col("_takes"), field(text)
     once = F.forall(takes, lambda t: t["round"] == 0) & (
-        F.aggregate(takes, F.lit(0).cast("bigint"), lambda a, t: a + t["words"]) == words_in(text))
+        F.aggregate(takes, F.lit(0).cast("bigint"), lambda a, t: a + t["words"]) == words_in(old))
     split = joined.withColumn("_once", once)
-    new = lambda c: [c.alias(n) if n == text else F.col(n) for n in docs.columns]          # noqa: E731
-    return split.filter("_once").select(*new(F.col(text))).unionByName(split.filter("not _once").select(*new(cut(F.col(text), takes))))
+    new = lambda c: [(c if n == text else field(n)).alias(n) for n in docs.columns]          # noqa: E731
+    return split.filter("_once").select(*new(old)).unionByName(split.filter("not _once").select(*new(cut(old, takes))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf_language, disclosure, line_dedup, lookup_shards, mixing, projection_dedup, token_store, vantage_simhash
+from . import crf_language, disclosure, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,13 +31,19 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_part("doc_id", 5) == 0
     field = crf_language.train_field(docs, ~held_out)
-    return crf_language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), field).drop("text")
+    return crf_language.predict(docs.withColumn("held_out", held_out), field, keep=["doc_id", "held_out"])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2            # noqa: E731
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -60,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": r"""

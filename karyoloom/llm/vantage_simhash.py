@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.groups import components
-from .common import slices, stored, whole
+from .common import rows_of, slices, stored, whole
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 SAMPLE, LEAF_ROWS = 8_192, 2_048
@@ -230,5 +230,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     groups = near_duplicates(docs, doc_id, text, **options)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("m"))
     chosen = best.select(F.col("m.tie").alias("_tie")).distinct()
-    keyed = docs.withColumn("_tie", F.xxhash64(doc_id, whole(text)))
-    return keyed.join(chosen, "_tie", "left_semi").dropDuplicates(["_tie"]).select(*docs.columns)
+    keyed = rows_of(docs, _tie=F.xxhash64(doc_id, whole(text)))
+    return keyed.join(chosen, "_tie", "left_semi").dropDuplicates(["_tie"]).select("_row.*")
