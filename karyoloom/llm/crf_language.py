@@ -207,7 +207,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list
 
     def label(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for a, b in slices(texts, 6_000_000):
                 codes, words, offsets = coded_words(texts.slice(a, b - a))
                 plain = [letters(w) for w in words.to_pylist()]
@@ -225,10 +225,10 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list
                 name = [field.labels[k] if m else UNKNOWN for k, m in zip(best, n)]
                 score = np.where(n > 0, np.minimum(means[np.arange(b - a), best], 1.0), 0.0)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(name, pa.string()), pa.array(score)], names=out_names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(name, pa.string()), pa.array(score)], names=out_names)
 
     out_names = [*keep, "lang_pred", "score"]
-    # the text that is read travels last, so that the kept columns may have any names
-    given = docs.select(*keep, whole(text).alias("_words_of"))
+    at = keep.index(text) if text in keep else len(keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [whole(text).alias("_text")]))
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
     return given.mapInArrow(label, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crf_language, disclosure, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
+from . import crf_language, disclosure, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = latent_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "share", "answer", "kind")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2            # noqa: E731
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
@@ -66,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": r"""
