@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..core import scratch
 
@@ -31,9 +31,9 @@ def field(name: str, row: Column | str = "_row") -> Column:
     return (F.col(row) if isinstance(row, str) else row).getField(name)
 
 
-def partitions(df: DataFrame) -> int:
+def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number the user sizes with the input."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def whole(text: Column | str) -> Column:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import field, mix64, rows_of, stored, whole
+from .common import field, mix64, partitions, rows_of, stored, whole
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4_096
@@ -105,7 +105,8 @@ def draw_slots(spark, table: pd.DataFrame, seed: int = 0, shard_slots: int = SHA
     total = int(slots.sum())
     volumes = max(1, math.ceil(total / VOLUME_SLOTS))
     per_volume = max(1, math.ceil(total / volumes / shard_slots))
-    numbers = spark.range(0, volumes * per_volume, 1, max(1, min(volumes * per_volume, 1_000)))
+    shards = volumes * per_volume
+    numbers = spark.range(0, shards, 1, max(1, min(shards, partitions(spark))))
 
     def draw(batches):
         for batch in batches:
@@ -164,7 +165,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_times: int =
     light = stored(sized)
     table = plan(_source_sizes(light, "source"), weights, most_times, block_words)
     rows = stored(pack(_with_sources(spark, light, table)))
-    chosen = draw_slots(spark, table, seed).groupBy("source_no", "block").agg(F.collect_list("round").alias("rounds"))
+    # the planner takes the drawn slots for as few as the shards, and would broadcast them
+    chosen = draw_slots(spark, table, seed).groupBy("source_no", "block").agg(F.collect_list("round").alias("rounds")).hint("merge")
     met = pieces(rows, block_words).join(chosen, ["source_no", "block"]).select(
         "source_no", "_first", "doc_id", "_tie", F.explode("rounds").alias("round"), "_from", "_words")
     # documents without words share their _first with the next one, and take nothing

@@ -66,7 +66,7 @@ def codes(classes: DataFrame, number: int, dims: int, seed: int) -> DataFrame:
 def ranked(coded: DataFrame, block_rows: int) -> DataFrame:
     """(cls, block): the rank of a vector in the order of (code, along, cls), in blocks. The order is cut into ranges of even
     size, which are counted and ordered each on its own, whatever codes are common."""
-    rows = stored(coded.repartitionByRange(partitions(coded), "code", "along", "cls").withColumn("_part", F.spark_partition_id()))
+    rows = stored(coded.repartitionByRange(partitions(coded.sparkSession), "code", "along", "cls").withColumn("_part", F.spark_partition_id()))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)            # a row for each range
     base = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inner = F.row_number().over(W.partitionBy("_part").orderBy("code", "along", "cls")) - 1

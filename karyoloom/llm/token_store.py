@@ -232,7 +232,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     checkpoint folder by default). Shards are ranges of (key, hash of the text): a repeated key is split like any other."""
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
-    shards = shards or partitions(docs)
+    shards = shards or partitions(spark)
     from tokenizers import Tokenizer
     dtype = id_type(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole(text).alias("text"))
