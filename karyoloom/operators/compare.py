@@ -96,7 +96,7 @@ def moderated_t(stats: DataFrame, by: list[str], family: list[str] | None = None
     flat = F.col("d0") == float("inf")
     post = F.when(flat, F.col("s0")).otherwise((F.col("d0") * F.col("s0") + d * F.col("s2")) / (F.col("d0") + d))
     se = F.sqrt(F.greatest(post, F.lit(1e-12)) * (1 / F.col("n_a") + 1 / F.col("n_b")))
-    out = (stats.join(prior, key).withColumns({"t": F.col("log2_fc") / se, "_df": F.when(flat, F.lit(1e6)).otherwise(d + F.col("d0"))})
+    out = (stats.join(prior, key).withColumns({"t": F.col("log2_fc") / se, "_df": F.when(flat, F.lit(float("inf"))).otherwise(d + F.col("d0"))})
            .withColumn("p", t_tail("t", "_df")))
     return benjamini_hochberg(cut(out.drop("d0", "s0", "_df")), list(family or by))
 
