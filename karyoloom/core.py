@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,8 @@ MAP = ("sample", "chrom")          # default grouping of a contact map
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the session's own setting, or a temporary folder on a local master only."""
+    """Shared folder for cut lineage: the session's own setting, or, on a local master only, a temporary one
+    that goes with the process."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
@@ -21,6 +24,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
         folder = tempfile.mkdtemp(prefix="karyoloom-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 

@@ -15,14 +15,17 @@ WIDTHS = tuple(1024 * 16 ** k for k in range(6))      # 1 kb ... 1.07 Gb
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], pos: str = "pos",
                         start: str = "start", end: str = "end") -> DataFrame:
-    """Every (point, interval) with start <= pos < end. Column names other than `by` must differ."""
+    """Every (point, interval) with start <= pos < end. Column names other than `by` must differ. A point looks up only
+    the widths that some interval has."""
     size = F.col(end) - F.col(start)
     level = sum((F.when(size > w, 1).otherwise(0) for w in WIDTHS[:-1]), F.lit(0))
     width = F.element_at(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), F.col("_lv") + 1)
-    iv = (intervals.filter(size > 0).withColumn("_lv", level)
-          .withColumn("_bk", F.explode(F.sequence(idiv(F.col(start), width), idiv(F.col(end) - 1, width)))))
+    sized = intervals.filter(size > 0).withColumn("_lv", level)
+    iv = sized.withColumn("_bk", F.explode(F.sequence(idiv(F.col(start), width), idiv(F.col(end) - 1, width))))
+    present = sized.agg(F.collect_set("_lv").alias("_present"))                        # one row of at most six numbers
     cells = F.array(*[F.struct(F.lit(k).alias("_lv"), idiv(F.col(pos), w).alias("_bk")) for k, w in enumerate(WIDTHS)])
-    pt = points.select("*", F.inline(cells))
+    used = F.filter(cells, lambda c: F.array_contains("_present", c["_lv"]))
+    pt = points.join(F.broadcast(present), F.lit(True)).select(*points.columns, F.inline(used))
     hit = pt.join(iv, [*by, "_lv", "_bk"])
     return hit.filter((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_lv", "_bk")
 
@@ -37,14 +40,15 @@ def overlaps(a: DataFrame, b: DataFrame, by: list[str], a_span=("a_start", "a_en
     return one.unionByName(two)
 
 
-def last_before(points: DataFrame, events: DataFrame, by: list[str], pos: str, at: str,
-                open_end: int = 2 ** 40) -> DataFrame:
+def last_before(points: DataFrame, events: DataFrame, by: list[str], pos: str, at: str) -> DataFrame:
     """As-of join: each point with the last event at or before it (none = NULL). `events` holds one row per place, so
-    its window is bounded by the length of the axis; the points are never sorted."""
-    spans = events.withColumn("_end", F.coalesce(F.lead(at).over(W.partitionBy(*by).orderBy(at)), F.lit(open_end)))
+    its window is bounded by the length of the axis; the points are never sorted. The last event of a group has no end."""
+    spans = events.withColumn("_end", F.lead(at).over(W.partitionBy(*by).orderBy(at)))
     places = points.select(*by, pos).distinct()
-    hit = points_in_intervals(places, spans, by, pos, at, "_end").drop("_end")
-    return points.join(hit, [*by, pos], "left")
+    hit = points_in_intervals(places, spans.filter(F.col("_end").isNotNull()), by, pos, at, "_end").drop("_end")
+    last = spans.filter(F.col("_end").isNull()).drop("_end")                            # a row for each group
+    after = places.join(last, by).filter(F.col(pos) >= F.col(at)).select(*hit.columns)
+    return points.join(hit.unionByName(after), [*by, pos], "left")
 
 
 def within(a: DataFrame, b: DataFrame, by: list[str], pairs: list[tuple[str, str]], tolerance: list[int],

@@ -10,16 +10,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import col, cut
 
-PARTS = 64
+BUCKET_ROWS = 50_000          # distinct values that a window orders
 
 
-def value_buckets(df: DataFrame, by: list[str], order: str, parts: int = PARTS) -> DataFrame:
-    """Add `_b`, the bucket of `order` among approximate quantiles of its group."""
-    edges = df.groupBy(*by).agg(
-        F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"))
+def value_buckets(df: DataFrame, by: list[str], order: str, rows: int | None = None) -> DataFrame:
+    """Add `_b`, the bucket of `order` among approximate quantiles of its group: as many buckets as the largest group needs to
+    have about BUCKET_ROWS rows in each."""
     # written once: the scans read it several times and must not repeat the work behind `df`
-    return cut(df.join(edges, by)
-               .withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges"))
+    made = cut(df)
+    largest = made.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    parts = -(-largest // (rows or BUCKET_ROWS))
+    if parts < 2:
+        return made.withColumn("_b", F.lit(0))
+    edges = made.groupBy(*by).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 20 * parts).alias("_edges"))
+    return made.join(edges, by).withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
 
 
 def scan(bucketed: DataFrame, by: list[str], order: str, what: Column, out: str, how: str = "sum",

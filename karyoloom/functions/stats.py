@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .ranks import quantiles
 
-POISSON_1 = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.9999167588507119, 0.9999897508033253]        # cumulative Poisson(1), 0..7
+
+
+def _poisson_1() -> list[float]:
+    """Cumulative Poisson(1) up to the last value that a double tells from 1."""
+    out, k = [math.exp(-1)], 0
+    while out[-1] < 1:
+        k += 1
+        out.append(min(1.0, math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1))))
+    return out[:-1]
+
+
+POISSON_1 = _poisson_1()
 
 
 def median(c) -> Column:

@@ -11,6 +11,7 @@ from ..functions.ranks import spearman, top_k
 from ..functions.stats import zscore
 from .structures import local_density, neighbor_pairs
 
+# fixed values: readings of accessibility
 OPEN, MIDDLE, BURIED = "Hyper-accessible (predicted active)", "Intermediate", "Buried (predicted silenced)"
 # fixed values: curated symbols that are flagged
 CANCER_GENES = """

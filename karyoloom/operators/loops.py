@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..core import MAP, cut, idiv
 from ..functions.groups import components, greedy
@@ -13,8 +15,8 @@ from ..functions.ranks import bh_table, top_k
 from ..functions.special import poisson_upper
 from .maps import expected, expected_balanced, observed_over_expected
 
-# fixed values: resolution (bp) -> (peak half-width p, window half-width w) in bins; kernel order
-PEAK_WINDOW = {5_000: (4, 7), 10_000: (2, 5), 25_000: (1, 3)}
+# fixed values: half-widths in bins of the peak and of the window at 5 kb, at other resolutions below 25 kb, and from there on
+FINE, MEDIUM, COARSE = (4, 7), (2, 5), (1, 3)
 KERNELS = ("donut", "lower_left", "horizontal", "vertical")
 
 
@@ -31,10 +33,14 @@ def quick_loop_candidates(contacts: DataFrame, sizes: DataFrame, min_sep: int =
     return band.join(floor, by).filter((F.col("oe") >= min_oe) & (F.col("cnt") >= F.col("_floor"))).select(*by, "i", "j", "oe")
 
 
-def quick_loops(contacts: DataFrame, sizes: DataFrame, suppress: int = 4, top: int = 30, by: list[str] = MAP, **floors) -> DataFrame:
-    """Strongest candidates, one per neighbourhood, at most `top` per map (a report of the best)."""
+def quick_loops(contacts: DataFrame, sizes: DataFrame, suppress: int = 4, top: int | None = None, by: list[str] = MAP, **floors) -> DataFrame:
+    """Candidates, one per neighbourhood, with their rank in the map; only the best `top` where that is given."""
     kept = greedy(quick_loop_candidates(contacts, sizes, by=by, **floors), list(by), ["i", "j"], [suppress, suppress], "oe")
-    return top_k(kept, list(by), [F.desc("oe"), F.asc("i"), F.asc("j")], top)
+    order = [F.desc("oe"), F.asc("i"), F.asc("j")]
+    if top is not None:
+        return top_k(kept, list(by), order, top)
+    # loops kept per neighbourhood: their number is bounded by the places of a map
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
 def _box(total: np.ndarray, y0: int, y1: int, x0: int, x1: int, w: int) -> np.ndarray:
@@ -64,10 +70,11 @@ def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFram
     The map is cut into tiles with a margin of w bins; each pixel travels once, a few percent twice, and one task sees at
     most (tile + 2 w)^2 cells of any map however deep it is sequenced."""
     by = list(by)
-    p0, w0 = PEAK_WINDOW.get(resolution, (2, 5) if resolution < 25_000 else (1, 3))
-    p, w = p or p0, w or w0
-    depth = max(w + 2, max_sep_bp // resolution + 1)
-    dmin = max(w + 1, -(-min_sep_bp // resolution))
+    usual = COARSE if resolution >= 25_000 else FINE if resolution == 5_000 else MEDIUM
+    p, w = usual[0] if p is None else p, usual[1] if w is None else w
+    # separations dmin .. depth - 1 are tested: from the first that keeps the window off the diagonal, whole bins of the band
+    dmin = max(w + 1, math.ceil(min_sep_bp / resolution))
+    depth = 1 + max(w + 1, math.floor(max_sep_bp / resolution))
     reach = depth + w + 1
     exp = expected_balanced(contacts, sizes, weights, reach, by).select(*by, "d", "expected")
     ed = exp.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "expected"))), lambda s: s["expected"]).alias("ed"))

@@ -293,7 +293,7 @@ pick AS (SELECT sample, chrom, 0 AS rk, cast([] AS STRUCT(i BIGINT, j BIGINT)[])
     THEN list_append(p.kept, struct_pack(i := o.i, j := o.j)) ELSE p.kept END FROM pick p JOIN cand o ON p.sample = o.sample AND p.chrom = o.chrom AND o.rk = p.rk + 1),
 kept AS (SELECT sample, chrom, unnest(kept) AS k FROM (SELECT sample, chrom, arg_max(kept, rk) AS kept FROM pick GROUP BY ALL))
 SELECT * FROM (SELECT k.sample, k.chrom, c.i, c.j, round(c.oe, 6) AS oe, row_number() OVER (PARTITION BY k.sample, k.chrom ORDER BY c.oe DESC, c.i, c.j) AS rank
-  FROM kept k JOIN cand c ON k.sample = c.sample AND k.chrom = c.chrom AND k.k.i = c.i AND k.k.j = c.j) t WHERE rank <= 30""")
+  FROM kept k JOIN cand c ON k.sample = c.sample AND k.chrom = c.chrom AND k.k.i = c.i AND k.k.j = c.j) t""")
 def _(t):
     return r(L.quick_loops(t("v_contacts"), t("v_sizes"), min_oe=2.0, min_count=2.0), "oe")
 

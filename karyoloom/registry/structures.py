@@ -323,8 +323,8 @@ def _(t):
 view("v_states", """SELECT p_brand AS state, avg(p_retailprice) AS rg, avg(p_size) / 100 AS nu, avg(p_retailprice) / 9000 AS packing, avg(p_size) / 60 AS dense_fraction FROM {part} GROUP BY p_brand""")
 
 
-@query("compaction_class", "E24", """SELECT state, CASE WHEN nu < 0.28 THEN 'over-compacted or confined' WHEN nu < 0.36 AND packing > 1.4 * 0.19 THEN 'densely packed globule' WHEN nu < 0.36 THEN 'compact globule-like fold'
-  WHEN nu < 0.45 THEN 'intermediate compaction' WHEN nu < 0.56 THEN 'relaxed, ideal-chain-like fold' ELSE 'swollen or extended fold' END AS compaction,
+@query("compaction_class", "E24", """SELECT state, CASE WHEN nu < 0.28 THEN 'over-compacted / confined (ν below the fractal-globule value)' WHEN nu < 0.36 AND packing > 1.4 * 0.19 THEN 'densely packed globule (heterochromatin-like)' WHEN nu < 0.36 THEN 'compact fractal-globule-like fold (typical interphase chromatin)'
+  WHEN nu < 0.45 THEN 'intermediate compaction between a globule and an ideal chain' WHEN nu < 0.56 THEN 'relaxed, ideal-chain-like fold (decompacted relative to a globule)' ELSE 'swollen / extended fold (strong decompaction or stretching)' END AS compaction,
   CASE WHEN nu < 0.28 THEN -1 WHEN nu < 0.36 AND packing > 1.4 * 0.19 THEN -1 WHEN nu < 0.45 THEN 0 ELSE 1 END AS direction FROM (SELECT state, nu + (rg - 1300) / 500 AS nu, packing FROM v_states) t""")
 def _(t):
     s = t("v_states").withColumn("nu", F.col("nu") + (F.col("rg") - 1300) / 500)

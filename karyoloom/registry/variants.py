@@ -16,7 +16,7 @@ view("v_vcf", """SELECT 'cohort.vcf' AS file, o_orderkey + 1 AS line_no, CASE WH
   CASE o_orderpriority WHEN '1-URGENT' THEN '<DEL>' WHEN '2-HIGH' THEN '<DUP:TANDEM>' WHEN '3-MEDIUM' THEN concat('N[chr2:', cast(o_custkey % 3000 * 1000 + 7 AS varchar(20)), '[') WHEN '4-NOT SPECIFIED' THEN '<INV>' ELSE '<CNV>' END, '.', 'PASS',
   CASE WHEN o_custkey % 2 = 0 THEN concat('END=', cast(o_orderkey % 4000 * 1000 + 5001 + o_custkey % 90 * 7000 AS varchar(20)), ';CN=', cast(o_custkey % 5 AS varchar(20)))
        WHEN o_custkey % 3 = 0 THEN concat('SVLEN=-', cast(o_custkey % 90 * 7000 AS varchar(20))) ELSE 'IMPRECISE' END, 'GT:CN',
-  concat(CASE o_custkey % 4 WHEN 0 THEN '0/1' WHEN 1 THEN '1|1' WHEN 2 THEN './.' ELSE '1/2' END, ':', CASE WHEN o_custkey % 7 = 0 THEN '.' ELSE cast(o_custkey % 6 AS varchar(20)) END)) END AS value FROM {orders}""")
+  concat(CASE o_custkey % 4 WHEN 0 THEN '0/1' WHEN 1 THEN '1|1' WHEN 2 THEN './.' ELSE '1/2' END, ':', CASE WHEN o_custkey % 7 = 0 THEN '.' ELSE cast(o_custkey % 6 AS varchar(20)) END), CASE WHEN o_custkey % 5 = 0 THEN '0|0:2' ELSE '1/1' END) END AS value FROM {orders}""")
 view("v_sv", """SELECT *, CASE pr WHEN '1-URGENT' THEN 'DEL' WHEN '2-HIGH' THEN 'DUP' WHEN '3-MEDIUM' THEN 'BND' WHEN '4-NOT SPECIFIED' THEN 'INV' ELSE '' END AS kind FROM (
  SELECT o_orderkey + 1 AS source_line, o_custkey, o_orderpriority AS pr, o_custkey % 41 = 0 AS short, CASE o_orderkey % 3 WHEN 0 THEN 'chr1' WHEN 1 THEN 'chr2' ELSE 'chrM' END AS chrom, o_orderkey % 4000 * 1000 + 5000 AS p0,
   CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 4000 * 1000 + 5001 + o_custkey % 90 * 7000 WHEN o_custkey % 3 = 0 THEN o_orderkey % 4000 * 1000 + 5001 + o_custkey % 90 * 7000 END AS e, concat('v', cast(o_orderkey AS varchar(20))) AS vid,
@@ -48,8 +48,10 @@ def _(t):
     return RV.read_bedpe(t("v_bedpe"))[0].drop("file")
 
 
-@query("genotypes", "A21", """SELECT o_orderkey + 1 AS source_line, CASE o_custkey % 4 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' WHEN 2 THEN './.' ELSE '1/2' END AS gt,
-  CASE WHEN o_custkey % 7 <> 0 THEN cast(o_custkey % 6 AS DOUBLE) WHEN o_custkey % 2 = 0 THEN cast(o_custkey % 5 AS DOUBLE) END AS cn, CASE WHEN o_custkey % 4 IN (1, 3) THEN 'homozygous' ELSE 'heterozygous' END AS zygosity FROM orders WHERE o_custkey % 41 <> 0""")
+@query("genotypes", "A21", """WITH o AS (SELECT *, CASE WHEN o_custkey % 2 = 0 THEN cast(o_custkey % 5 AS DOUBLE) END AS info FROM orders WHERE o_custkey % 41 <> 0)
+SELECT o_orderkey + 1 AS source_line, 1 AS sample_no, CASE o_custkey % 4 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' WHEN 2 THEN './.' ELSE '1/2' END AS gt,
+  CASE WHEN o_custkey % 7 <> 0 THEN cast(o_custkey % 6 AS DOUBLE) ELSE info END AS cn, CASE WHEN o_custkey % 4 IN (1, 3) THEN 'homozygous' ELSE 'heterozygous' END AS zygosity FROM o
+UNION ALL SELECT o_orderkey + 1, 2, CASE WHEN o_custkey % 5 = 0 THEN '0/0' ELSE '1/1' END, CASE WHEN o_custkey % 5 = 0 THEN 2.0 ELSE info END, CASE WHEN o_custkey % 5 = 0 THEN 'heterozygous' ELSE 'homozygous' END FROM o""")
 def _(t):
     return RV.genotypes(t("v_vcf")).drop("file")
 

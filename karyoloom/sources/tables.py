@@ -15,7 +15,7 @@ DEFAULT_PAIR_COLUMNS = ["readID", "chrom1", "pos1", "chrom2", "pos2", "strand1",
 def pair_columns(lines: DataFrame) -> DataFrame:
     """(file, columns) from '#columns:' header lines."""
     h = lines.filter(F.startswith("value", F.lit("#columns:")))
-    return h.groupBy("file").agg(F.min_by(F.slice(F.split(F.trim("value"), r"\s+"), 2, 1000), "line_no").alias("columns"))
+    return h.groupBy("file").agg(F.min_by(F.slice(F.split(F.trim("value"), r"\s+"), F.lit(2), F.size(F.split(F.trim("value"), r"\s+"))), "line_no").alias("columns"))
 
 
 def chromosome_sizes(lines: DataFrame) -> DataFrame:

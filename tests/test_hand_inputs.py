@@ -48,9 +48,12 @@ def test_tracks(spark):
 
 
 def test_false_discovery_values(spark):
-    p = spark.createDataFrame([(1, 0.01), (1, 0.04), (1, 0.03), (1, 0.5)], "f int, p double")
-    got = {r.p: r.q for r in ranks.benjamini_hochberg(p, ["f"]).collect()}
-    assert got == {0.01: pytest.approx(0.04), 0.04: pytest.approx(0.16 / 3), 0.03: pytest.approx(0.16 / 3), 0.5: pytest.approx(0.5)}
+    values = {1: [0.002, 0.2, 0.018, 0.019, 0.7], 2: [0.3]}
+    p = spark.createDataFrame([(f, x) for f, xs in values.items() for x in xs], "f int, p double")
+    got = {(r.f, r.p): r.q for r in ranks.benjamini_hochberg(p, ["f"]).collect()}
+    # 5 p / rank, and no more than that of a larger p: 0.018 takes the value of 0.019
+    want = {(1, 0.002): 0.01, (1, 0.018): 0.095 / 3, (1, 0.019): 0.095 / 3, (1, 0.2): 0.25, (1, 0.7): 0.7, (2, 0.3): 0.3}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
 def test_names_and_assembly(spark):
@@ -115,7 +118,8 @@ def test_result_does_not_depend_on_partitions(spark):
     assert out[0] == out[1] == out[2]
 
 
-def test_hot_group_ranks_are_exact(spark):
+def test_hot_group_ranks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 40)
     rng = np.random.default_rng(0)
     v = np.round(rng.normal(size=4000), 2)
     df = spark.createDataFrame([("hot", float(x)) for x in v] + [("cold", 1.0)], "g string, v double")
