@@ -111,10 +111,16 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id",
     pairs = (near.select(*KEY, "entity", F.explode(words).alias("term")).filter(F.length("term") >= min_chars).distinct()
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_docs).join(seen, "entity"))
     pairs = stored(pairs)
-    wanted = pairs.select("term").distinct()
-    every = _rows(docs, doc_id, text).select(*KEY, F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
-    counts = every.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("t_docs"))
-    total = _rows(docs, doc_id, text).select(*KEY).distinct().agg(F.count(F.lit(1)).alias("n"))
+    # every term is counted before the candidates are looked up: occurrences shrink to one row per term and task
+    rows = _rows(docs, doc_id, text)
+    keys = stored(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_times")))
+    total = keys.agg(F.count(F.lit(1)).alias("n"))
+    again = keys.filter("_times > 1")
+    same = (rows["_id"].eqNullSafe(again["_id"])) & (rows["_tie"] == again["_tie"])
+    extra = rows.join(again, same).select(rows["_text"], rows["_id"], rows["_tie"], "_times").dropDuplicates(KEY)
+    terms = lambda d: d.withColumn("term", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))))        # noqa: E731
+    counts = (terms(rows).select("term", F.lit(1).cast("bigint").alias("k"))
+              .unionByName(terms(extra).select("term", (1 - F.col("_times")).alias("k"))).groupBy("term").agg(F.sum("k").alias("t_docs")))
     share = F.col("both") / F.col("t_docs")
     told = pairs.join(counts, "term").join(total, F.lit(True)).select(
         "term", "entity", share.alias("share"), F.log2(share * F.col("n") / F.col("e_docs")).alias("bits"))
