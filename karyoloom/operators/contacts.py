@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..core import MAP, idiv
-from ..functions.intervals import last_before
+from ..functions.intervals import last_before, points_in_intervals
 
 FACTORS = (1, 2, 5, 10, 25)
 PIXEL = ["i", "j"]
@@ -28,8 +28,8 @@ def bin_pairs(pairs: DataFrame, resolution: int, by: list[str] = ("sample",)) ->
 def bin_pairs_in_regions(pairs: DataFrame, regions: DataFrame, resolution: int, by: list[str] = ("sample",)) -> DataFrame:
     """Contacts of `regions` (region, chrom, start, end): both ends inside, bins counted from start div resolution."""
     cis = pairs.filter(F.col("chrom1") == F.col("chrom2")).withColumn("chrom", F.col("chrom1"))
-    inside = (cis.join(regions, "chrom").filter(
-        (F.least("pos1", "pos2") >= F.col("start")) & (F.greatest("pos1", "pos2") < F.col("end"))))
+    inside = points_in_intervals(cis.withColumn("_first", F.least("pos1", "pos2")), regions, ["chrom"], "_first").filter(
+        F.greatest("pos1", "pos2") < F.col("end"))
     lo = idiv("start", resolution)
     binned = inside.select(*by, "region", "chrom", (idiv("pos1", resolution) - lo).alias("a"),
                            (idiv("pos2", resolution) - lo).alias("b"))
@@ -76,10 +76,9 @@ def coarsen(contacts: DataFrame, k: int, by: list[str] = MAP, sizes: DataFrame |
     return c.groupBy(*by, "i", "j").agg(F.sum("cnt").alias("cnt"))
 
 
-def coarsen_windows(contacts: DataFrame, windows: DataFrame, max_px: int, by: list[str] = MAP) -> DataFrame:
-    """Block sums of windows (window, by, lo, hi) with at most max_px blocks a side; both triangles are returned."""
-    k = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / max_px)).cast("long")
-    c = (contacts.join(windows, list(by)).filter((F.col("i") >= F.col("lo")) & (F.col("j") < F.col("hi"))).withColumn("k", k)
+def coarsen_windows(contacts: DataFrame, windows: DataFrame, by: list[str] = MAP) -> DataFrame:
+    """Sums of k x k blocks of windows (window, by, lo, hi, k); both triangles are returned."""
+    c = (points_in_intervals(contacts, windows, list(by), "i", "lo", "hi").filter(F.col("j") < F.col("hi"))
          .groupBy("window", *by, "k", idiv(F.col("i") - F.col("lo"), F.col("k")).alias("i"),
                   idiv(F.col("j") - F.col("lo"), F.col("k")).alias("j")).agg(F.sum("cnt").alias("cnt")))
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
@@ -103,15 +102,15 @@ def pick_resolution(available: DataFrame, requested: int, by: list[str] = ("file
 
 def window_slice(contacts: DataFrame, windows: DataFrame, by: list[str] = MAP) -> DataFrame:
     """Contacts of each window (window, by, bin0, n) in window-local bins: both ends inside, no diagonal."""
-    i, j = F.col("i") - F.col("bin0"), F.col("j") - F.col("bin0")
-    c = contacts.join(windows, list(by)).select("window", *by, "n", i.alias("i"), j.alias("j"), "cnt")
-    return ordered(c).filter((F.col("i") >= 0) & (F.col("j") < F.col("n")) & (F.col("i") != F.col("j")) & (F.col("cnt") > 0)).drop("n")
+    shown = ordered(contacts.select(*by, "i", "j", "cnt")).filter((F.col("i") != F.col("j")) & (F.col("cnt") > 0))
+    spans = windows.select(*by, "window", "bin0", (F.col("bin0") + F.col("n")).alias("_end"))
+    hit = points_in_intervals(shown, spans, list(by), "i", "bin0", "_end").filter(F.col("j") < F.col("_end"))
+    return hit.select("window", *by, (F.col("i") - F.col("bin0")).alias("i"), (F.col("j") - F.col("bin0")).alias("j"), "cnt")
 
 
 def track_slice(track: DataFrame, windows: DataFrame, by: list[str] = MAP) -> DataFrame:
-    b = F.col("bin") - F.col("bin0")
-    return (track.join(windows, list(by)).withColumn("bin", b)
-            .filter((F.col("bin") >= 0) & (F.col("bin") < F.col("n"))).drop("bin0", "n"))
+    spans = windows.withColumn("_end", F.col("bin0") + F.col("n"))
+    return points_in_intervals(track, spans, list(by), "bin", "bin0", "_end").withColumn("bin", F.col("bin") - F.col("bin0")).drop("bin0", "n", "_end")
 
 
 def clamp_region(df: DataFrame, size: str, start: str = "start", end: str = "end", min_size: int = 1) -> DataFrame:

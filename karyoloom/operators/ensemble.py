@@ -11,31 +11,54 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..core import MAP
+from ..functions.special import gamma_p
 from .contacts import strongest
 
-# fixed values: mean, standard deviation and median of |N(0, I3)|, and the grid of the tabulated law
+# fixed values: mean, standard deviation and median of |N(0, I3)|
 MAXWELL_MEAN, MAXWELL_SD, MAXWELL_MEDIAN = math.sqrt(8 / math.pi), math.sqrt(3 - 8 / math.pi), 1.5381722544550522
-GRID_LOW, GRID_HIGH, GRID_POINTS = 1e-3, 30.0, 20_000
+LOWEST, HIGHEST = 1e-3, 30.0          # fixed values: range of the quantiles, beyond which the law is 0 or 1 to a double
 
 
-def maxwell_grid() -> tuple[np.ndarray, np.ndarray]:
-    """x and P(|r| < x) on a geometric grid."""
-    x = np.geomspace(GRID_LOW, GRID_HIGH, GRID_POINTS)
-    p = np.array([math.erf(v / math.sqrt(2)) - math.sqrt(2 / math.pi) * v * math.exp(-v * v / 2) for v in x])
-    return x, p
+UNSTATED_OBSERVATIONS = 1000.0        # fixed value: observations of a frequency that comes without their number
+
+
+def maxwell_p(x: np.ndarray) -> np.ndarray:
+    """P(|r| < x): half the square of |r| has the gamma law of shape 3/2."""
+    v = np.maximum(np.asarray(x, float), 0.0)
+    return gamma_p(np.full(v.shape, 1.5), v * v / 2)
+
+
+def maxwell_x(p: np.ndarray) -> np.ndarray:
+    """x with P(|r| < x) = p, by Newton steps kept inside a shrinking bracket."""
+    p = np.asarray(p, float)
+    low, high = np.full(p.shape, LOWEST), np.full(p.shape, HIGHEST)
+    x = np.clip(np.cbrt(3 * np.sqrt(np.pi / 2) * p), LOWEST, 5.0)          # the law near zero
+    for _ in range(60):
+        miss = maxwell_p(x) - p
+        low, high = np.where(miss < 0, x, low), np.where(miss > 0, x, high)
+        slope = math.sqrt(2 / math.pi) * x * x * np.exp(-x * x / 2)
+        step = x - miss / np.maximum(slope, 1e-300)
+        new = np.where((step > low) & (step < high), step, (low + high) / 2)
+        if np.all(np.abs(new - x) <= 1e-14 * x):
+            break
+        x = new
+    return x
 
 
 @F.pandas_udf(DoubleType())
 def maxwell_cdf(x: pd.Series) -> pd.Series:
-    gx, gp = maxwell_grid()
-    v = x.to_numpy(float)
-    return pd.Series(np.where(v <= 0, 0.0, np.interp(v, gx, gp))).where(x.notna().to_numpy())
+    known = x.notna().to_numpy()
+    out = np.full(len(x), np.nan)
+    out[known] = maxwell_p(x.to_numpy(float)[known])
+    return pd.Series(out).where(known)
 
 
 @F.pandas_udf(DoubleType())
 def maxwell_quantile(q: pd.Series) -> pd.Series:
-    gx, gp = maxwell_grid()
-    return pd.Series(np.interp(np.clip(q.to_numpy(float), gp[0], gp[-1]), gp, gx)).where(q.notna().to_numpy())
+    known = q.notna().to_numpy()
+    out = np.full(len(q), np.nan)
+    out[known] = maxwell_x(q.to_numpy(float)[known])
+    return pd.Series(out).where(known)
 
 
 def contact_probability(sigma: Column, r_c: float = 1.0) -> Column:
@@ -53,8 +76,8 @@ def median_distance(p: Column, r_c: float = 1.0) -> Column:
 
 def central_interval(level: float) -> tuple[float, float]:
     """Multiples of sigma that bound the central share `level` of distances."""
-    x, p = maxwell_grid()
-    return float(np.interp((1 - level) / 2, p, x)), float(np.interp((1 + level) / 2, p, x))
+    low, high = maxwell_x(np.array([(1 - level) / 2, (1 + level) / 2]))
+    return float(low), float(high)
 
 
 def summarise_sigma(df: DataFrame, r_c: float, level: float = 0.8, bounds: tuple[float, float] | None = None, sigma: str = "sigma") -> DataFrame:
@@ -73,14 +96,15 @@ def symmetric_frequency(freq: DataFrame, by: list[str]) -> DataFrame:
 def fit_targets(freq: DataFrame, weighting: str = "binomial", by: list[str] = ("map",)) -> DataFrame:
     """Clipped frequency, target log variance (in r_c^2) and weight, normalised to mean 1, per observed pair."""
     by = list(by)
-    n = F.greatest(F.coalesce("n_obs", F.lit(1000.0)), F.lit(1.0))
-    f = F.greatest(0.5 / n, F.least(1 - 0.5 / n, F.col("f")))
-    d = symmetric_frequency(freq, by).withColumns({"n_obs": n}).withColumn("clipped", f)
-    raw = F.col("clipped") * F.col("n_obs") / (1 - F.col("clipped")) if weighting == "binomial" else F.lit(1.0)
-    d = d.withColumn("_w", raw)
-    mean = d.groupBy(*by).agg(F.avg("_w").alias("_m"))
-    return (d.join(mean, by).withColumn("weight", F.col("_w") / F.col("_m")).drop("_w", "_m")
-            .withColumn("log_target", 2.0 * F.ln(sigma_of(F.col("clipped")))))
+    seen = F.greatest(F.lit(1.0), F.coalesce("n_obs", F.lit(UNSTATED_OBSERVATIONS)))
+    half = 0.5 / F.col("n_obs")                              # half an observation away from never and always
+    pairs = symmetric_frequency(freq, by).withColumn("n_obs", seen)
+    pairs = pairs.withColumn("clipped", F.least(F.greatest(F.col("f"), half), 1 - half))
+    odds = F.col("clipped") / (1 - F.col("clipped"))
+    pairs = pairs.withColumn("_raw", F.col("n_obs") * odds if weighting == "binomial" else F.lit(1.0))
+    pairs = pairs.withColumn("log_target", 2.0 * F.ln(sigma_of(F.col("clipped"))))
+    scale = pairs.groupBy(*by).agg((F.count(F.lit(1)) / F.sum("_raw")).alias("_scale"))
+    return pairs.join(scale, by).withColumn("weight", F.col("_raw") * F.col("_scale")).drop("_raw", "_scale")
 
 
 def bead_reliability(targets: DataFrame, model: DataFrame, beads: DataFrame, r_c: float, tau: float = 0.25, by: list[str] = ("map",)) -> DataFrame:

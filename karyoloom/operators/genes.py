@@ -107,8 +107,9 @@ def accessibility_table(genes: DataFrame, scores: DataFrame, windows: DataFrame,
     """One row per gene whose TSS lies in the window of a structure (by, chrom, first_bin, beads): bead, rounded scores,
     status, category, expression by upper-case symbol, and the rank by score with missing scores last."""
     by = list(by)
-    g = genes.withColumn("_bin", idiv("tss", resolution)).join(windows, "chrom")
-    g = g.withColumn("bead", F.col("_bin") - F.col("first_bin")).filter((F.col("bead") >= 0) & (F.col("bead") < F.col("beads")))
+    spans = windows.withColumn("_last", F.col("first_bin") + F.col("beads"))
+    g = points_in_intervals(genes.withColumn("_bin", idiv("tss", resolution)), spans, ["chrom"], "_bin", "first_bin", "_last")
+    g = g.withColumn("bead", F.col("_bin") - F.col("first_bin")).drop("_last")
     s = scores.select(*by, "bead", F.round("crowding", 2).alias("crowding"), F.round("signal", 3).alias("signal"), F.round("score", 3).alias("score"))
     t = g.join(s, [*by, "bead"]).join(categories.withColumnRenamed("gene", "name"), "name", "left")
     t = t.select(*by, F.col("name").alias("gene"), F.format_string("%s:%s", "chrom", F.format_number(F.col("tss") + 1, 0)).alias("locus"), "bead", "biotype",

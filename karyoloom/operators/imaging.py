@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import cut, idiv
-from ..functions.intervals import pair_tiles
+from ..functions.intervals import pair_tiles, points_in_intervals
 from ..functions.ranks import quantiles, spearman, value_ranks
 from ..functions.stats import agreement, median
 from .ensemble import central_interval, maxwell_cdf, maxwell_quantile, sigma_of
@@ -257,8 +257,9 @@ def mean_by_separation(pairs: DataFrame, by: list[str], value: str = "value", ma
 def loops_in_windows(loops: DataFrame, windows: DataFrame, min_sep: int, max_sep: int) -> DataFrame:
     """Loops (chrom, a, b) wholly inside a window (window, chrom, start, span) and within the separation range."""
     d = F.col("b") - F.col("a")
-    j = loops.filter(d.between(min_sep, max_sep)).join(windows, "chrom")
-    return j.filter((F.col("a") >= F.col("start")) & (F.col("b") < F.col("start") + F.col("span")))
+    spans = windows.withColumn("_stop", F.col("start") + F.col("span"))
+    hit = points_in_intervals(loops.filter(d.between(min_sep, max_sep)), spans, ["chrom"], "a", "start", "_stop")
+    return hit.filter(F.col("b") < F.col("_stop")).drop("_stop")
 
 
 def pooled_f1(counts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -279,20 +280,20 @@ def roc_auc(df: DataFrame, by: list[str], label: str = "label", score: str = "sc
     return s.select(*by, F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))
 
 
-def tile_of(n: Column, locus: Column, max_size: int = 400) -> Column:
-    """Index of the equal window of at most max_size loci that holds a locus (edges rounded half to even)."""
-    k = F.ceil(n / max_size)
+def tile_of(n: Column, locus: Column, k: Column) -> Column:
+    """Index of the one of k equal windows over n loci that holds a locus (edges rounded half to even)."""
     guess = F.floor(locus * k / n)
     edge = lambda t: F.bround(n * t / k)                                                     # noqa: E731
     return F.when(locus < edge(guess), guess - 1).when(locus >= edge(guess + 1), guess + 1).otherwise(guess)
 
 
-def share_of_ceiling(pairs: DataFrame, by: list[str], max_size: int = 400) -> DataFrame:
-    """Trend-removed agreement of a prediction with half b over that of half a with half b, for all pairs and, when the loci
-    need several tiles, for pairs inside one tile (pairs: by, i, j, sep, pred, median_a, median_b, n)."""
+def share_of_ceiling(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Trend-removed agreement of a prediction with half b over that of half a with half b, for all pairs and for pairs inside
+    one of the `tiles` equal tiles of the loci (pairs: by, i, j, sep, pred, median_a, median_b, n, tiles)."""
     by = list(by)
-    d = pairs.withColumn("_in", tile_of(F.col("n"), F.col("i"), max_size) == tile_of(F.col("n"), F.col("j"), max_size))
-    sets = F.when(F.col("n") > max_size, F.when(F.col("_in"), F.array(F.lit("all_pairs"), F.lit("within_tiles"))).otherwise(F.array(F.lit("all_pairs")))).otherwise(F.array(F.lit("all_pairs")))
+    tile = lambda c: tile_of(F.col("n"), F.col(c), F.col("tiles"))                            # noqa: E731
+    d = pairs.withColumn("_in", tile("i") == tile("j"))
+    sets = F.when(F.col("_in"), F.array(F.lit("all_pairs"), F.lit("within_tiles"))).otherwise(F.array(F.lit("all_pairs")))
     d = cut(d.withColumn("pair_set", F.explode(sets)))
     key = [*by, "pair_set"]
     top = map_scores(d, key, "median_a", "median_b").select(*key, F.col("spearman_trend_removed").alias("ceiling"))

@@ -119,7 +119,7 @@ SELECT "window", sample, chrom, k, i, j, cnt FROM (
   FROM v_contacts c JOIN v_windows w ON c.sample = w.sample AND c.chrom = w.chrom WHERE i >= lo AND j < hi GROUP BY ALL)
 SELECT * FROM (""", 1))
 def _(t):
-    return C.coarsen_windows(t("v_contacts"), t("v_windows"), 20)
+    return C.coarsen_windows(t("v_contacts"), t("v_windows").withColumn("k", F.ceil((F.col("hi") - F.col("lo")) / 20)))
 
 
 @query("pyramid", "A8", """

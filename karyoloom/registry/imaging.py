@@ -247,8 +247,8 @@ kk AS (SELECT *, rank() OVER (PARTITION BY chrom, pair_set ORDER BY a) + (count(
 
 @query("share_of_ceiling", "H14", f"WITH {TILED} SELECT chrom, pair_set, count(*) AS pairs, round(corr(ra, rb), 6) AS ceiling, round(corr(rp, rb), 6) AS spearman_trend_removed, round(100 * corr(rp, rb) / corr(ra, rb), 3) AS percent_of_ceiling FROM kk GROUP BY chrom, pair_set")
 def _(t):
-    p = t("v_maps").select("chrom", "i", "j", "sep", "pred", F.col("other").alias("median_a"), F.col("truth").alias("median_b"), F.lit(100).alias("n"))
-    s = H.share_of_ceiling(p, ["chrom"], 40)
+    p = t("v_maps").select("chrom", "i", "j", "sep", "pred", F.col("other").alias("median_a"), F.col("truth").alias("median_b"), F.lit(100).alias("n"), F.lit(3).alias("tiles"))
+    s = H.share_of_ceiling(p, ["chrom"])
     return r(s, "ceiling", "spearman_trend_removed").select("chrom", "pair_set", "pairs", "ceiling", "spearman_trend_removed", F.round("percent_of_ceiling", 3).alias("percent_of_ceiling"))
 
 
