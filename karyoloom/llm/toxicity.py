@@ -1,6 +1,6 @@
 """Toxicity of documents by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon is learned first: of all labelled training documents, how much more often toxic ones have a word, or a word that
+At most `train_rows` labelled rows teach. A lexicon is learned first: of the documents of those rows, how much more often toxic ones have a word, or a word that
 begins with some stem. Features then describe a text: density, number and strength of lexicon words and stems, how many stand
 near a second-person pronoun, capitals, punctuation, obfuscated spellings (letters replaced by signs, split by dots) and
 those among them that spell a lexicon word. Trees are fitted by Spark on the training rows outside the calibration part (a
@@ -33,6 +33,7 @@ NEAR = 4                              # words on either side of a pronoun
 NAMES = ("word_density", "word_count", "word_most", "stem_density", "stem_count", "stem_most", "near_person", "capitals", "shouted",
          "marks", "repeated_marks", "obfuscated", "obfuscated_hits", "length", "variety")
 TREES, DEPTH = 30, 3
+TRAIN_ROWS = 20_000                   # labelled rows that teach, chosen by hash where there are more
 
 
 def plain(word: str) -> tuple[str, bool]:
@@ -50,7 +51,7 @@ def keys_of(word: str) -> list[str]:
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Log-odds of the strongest entries; `train` has text and label. Documents are counted over all training rows."""
+    """Log-odds of the strongest entries; `train` has text and label. Documents are counted over all its rows."""
     def count(batches):
         for batch in batches:
             for a, b in slices(batch.column(0), 6_000_000):
@@ -137,10 +138,20 @@ def describe(docs: DataFrame, lexicon: dict[str, float], doc_id: str, text: str)
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text")).mapInArrow(rows, "doc_id bigint, features array<double>")
 
 
-def score(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of every document. train: function of the id column that tells which labelled rows may teach."""
+def teaching_rows(labels: DataFrame, train, label: str, doc_id: str, most: int) -> DataFrame:
+    """(doc_id, label) of at most `most` rows with label 0 or 1 for which `train` holds, the first by a hash of the id."""
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")) \
         .filter(F.col("label").isin(0, 1) & train(F.col("doc_id")))
+    lot = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = min(1.0, 1.2 * most / max(known.count(), 1))
+    return stored(known.withColumn("_lot", lot).filter(F.col("_lot") <= share).orderBy("_lot", "doc_id", "label").limit(most).drop("_lot"))
+
+
+def score(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text",
+          train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, score, predicted) of every document. train: function of the id column that tells which labelled rows may teach."""
+    # train_rows rows at most, so they go to the texts and not the texts to them
+    known = F.broadcast(teaching_rows(labels, train, label, doc_id, train_rows))
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     shares = known.join(texts.select("doc_id"), "doc_id").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).first()
     if not shares.n or shares.y in (0, shares.n):
