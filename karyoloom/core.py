@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 MAP = ("sample", "chrom")          # default grouping of a contact map
 
 
+def plain_unions(spark: SparkSession) -> SparkSession:
+    """Spark 4.1 lets a union pass on the partitioning of its inputs; under adaptive execution a window or an aggregate over
+    such a union can then see one key in several partitions. Off, unions are dealt out anew like in earlier versions."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the session's own setting, or, on a local master only, a temporary one
     that goes with the process."""

@@ -2,7 +2,8 @@
 
 Every round needs one join (partner bin -> its bias) and one aggregation. The mirrored pixels are written once, hashed by
 their join key, so a round shuffles bias values and partial row sums but never the pixels. Rounds are grouped between
-checkpoints; all maps run until the slowest one has converged (further rounds do not move a converged map).
+checkpoints. A map that has converged is set aside, so its weights do not depend on the other maps of the job; a map that
+does not converge within the rounds it is given gets no weights, and the report says so.
 """
 
 from __future__ import annotations
@@ -51,63 +52,78 @@ def ice_mask(px: DataFrame, min_nnz: int, mad_max: float, by: list[str]) -> Data
         size = new
 
 
+def _until_settled(start: DataFrame, step, by: list[str], tol: float, max_iter: int, rounds: int) -> DataFrame:
+    """Repeat `step` on (by, bin, b); it adds _e, the error of each bin or of its map. Returns the last state of every map with
+    converged and iterations; maps leave when their largest error is below `tol`."""
+    live, out, done = start, None, 0
+    while done < max_iter:
+        for _ in range(min(rounds, max_iter - done)):
+            live = step(live)
+            done += 1
+        ok = F.coalesce(F.max("_e").over(W.partitionBy(*by)) < tol, F.lit(False))
+        state = cut(live.select(*by, "bin", "b", ok.alias("converged"), F.lit(done).alias("iterations")))
+        over = state if done >= max_iter else state.filter("converged")
+        out = over if out is None else out.unionByName(over)
+        live = state.filter("not converged").select(*by, "bin", "b")
+        if live.isEmpty():
+            break
+    return out
+
+
+def _report(settled: DataFrame, residual: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, row_sum_cv, kept_bins, converged, iterations, reason) of every map; residual holds _r per kept bin."""
+    spread = residual.groupBy(*by).agg((F.stddev_pop("_r") / F.avg("_r")).alias("row_sum_cv"), F.count(F.lit(1)).alias("kept_bins"))
+    ends = settled.groupBy(*by).agg(F.bool_and("converged").alias("converged"), F.max("iterations").alias("iterations"))
+    reason = F.when(F.col("kept_bins").isNull(), "too few bins with contacts").when(~F.col("converged"), "not converged")
+    return (sizes.select(*by).distinct().join(spread.join(ends, by), by, "left").withColumns({
+        "converged": F.coalesce("converged", F.lit(False)), "reason": reason}))
+
+
 def ice(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 2, min_nnz: int = 10, mad_max: float = 5.0,
         max_iter: int = 5000, tol: float = 1e-5, by: list[str] = MAP, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Iterative correction. Returns (by, bin, bias, weight), NULL for masked bins, and one report row per map."""
+    """Iterative correction. Returns (by, bin, bias, weight), NULL for masked bins and for maps that do not converge, and one
+    report row per map."""
     by = list(by)
     px = mirrored(contacts.filter(F.col("j") - F.col("i") >= ignore_diags), by)
     good = ice_mask(px, min_nnz, mad_max, by)
     px = _prepare(px, good, by)
-    bias = good.withColumn("b", F.lit(1.0))
     mapw = W.partitionBy(*by)
-    done, var = 0, None
-    while done < max_iter:
-        for _ in range(min(rounds, max_iter - done)):
-            s = _row_sums(px, bias, by, -1).withColumn("_s", F.col("_s") / F.col("b"))
-            s = s.withColumn("_s", F.col("_s") / F.avg("_s").over(mapw))
-            bias = s.select(*by, "bin", (F.col("b") * F.col("_s")).alias("b"), F.var_pop("_s").over(mapw).alias("_v"))
-            done += 1
-        var = cut(bias)
-        bias = var.select(*by, "bin", "b")
-        if var.filter(F.col("_v") >= tol).isEmpty():
-            break
-    final = _row_sums(px, bias, by, -1).withColumn("_r", F.col("_s") / F.col("b"))
-    report = (final.groupBy(*by).agg((F.stddev_pop("_r") / F.avg("_r")).alias("row_sum_cv"), F.count(F.lit(1)).alias("kept_bins"))
-              .join(var.groupBy(*by).agg((F.max("_v") < tol).alias("converged")), by).withColumn("iterations", F.lit(done)))
-    out = bins_of(sizes, by).join(bias, [*by, "bin"], "left").select(
+
+    def step(bias: DataFrame) -> DataFrame:
+        s = _row_sums(px, bias, by, -1).withColumn("_s", F.col("_s") / F.col("b"))
+        s = s.withColumn("_s", F.col("_s") / F.avg("_s").over(mapw))
+        return s.select(*by, "bin", (F.col("b") * F.col("_s")).alias("b"), F.var_pop("_s").over(mapw).alias("_e"))
+
+    settled = _until_settled(good.withColumn("b", F.lit(1.0)), step, by, tol, max_iter, rounds)
+    final = _row_sums(px, settled, by, -1).withColumn("_r", F.col("_s") / F.col("b"))
+    out = bins_of(sizes, by).join(settled.filter("converged"), [*by, "bin"], "left").select(
         *by, "bin", F.col("b").alias("bias"), (1 / F.col("b")).alias("weight"))
-    return out, report
+    return out, _report(settled, final, sizes, by)
 
 
 def kr(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 1, min_coverage_quantile: float = 0.02, tol: float = 1e-6,
        max_iter: int = 300, by: list[str] = MAP, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """Weights x with x * (A x) = 1, by x <- sqrt(x / (A x)): the fixed point of
-    Knight-Ruiz balancing. Bins without contacts or in the lowest coverage quantile are masked."""
+    Knight-Ruiz balancing. Bins without contacts or in the lowest coverage quantile are masked; maps with fewer than three
+    bins, and those that do not converge, have NULL weights and a reason in the report."""
     by = list(by)
     px = mirrored(contacts.filter((F.col("j") - F.col("i") >= ignore_diags) & (F.col("cnt") > 0)), by)
     cov = px.groupBy(*by, "bin").agg(F.sum("cnt").alias("cov"))
     thr = cov.groupBy(*by).agg(F.percentile("cov", F.lit(float(min_coverage_quantile))).alias("_t"), F.count(F.lit(1)).alias("_k"))
     good = cut(cov.join(thr, by).filter((F.col("_k") <= 10) | (F.col("cov") >= F.col("_t"))).select(*by, "bin"))
     px = _prepare(px, good, by)
-    # start at one over the root of the mean row sum; maps with fewer than three bins are left out
+    # start at one over the root of the mean row sum
     m = px.groupBy(*by).agg(F.sum("cnt").alias("_t"), F.count_if(F.col("bin") == F.col("partner")).alias("_m")).filter("_m >= 3")
     x = good.join(m, by).select(*by, "bin", F.sqrt(F.col("_m") / F.col("_t")).alias("b"))
-    done, res = 0, None
-    while done < max_iter:
-        for _ in range(min(rounds, max_iter - done)):
-            x = _row_sums(px, x, by, 1).select(*by, "bin", F.sqrt(F.col("b") / F.col("_s")).alias("b"),
-                                               F.abs(F.col("b") * F.col("_s") - 1).alias("_e"))
-            done += 1
-        res = cut(x)
-        x = res.drop("_e")
-        # the residual of the last round is from before its update, so the result is at least as good
-        if res.filter(F.col("_e") >= tol).isEmpty():
-            break
-    rs = _row_sums(px, x, by, 1).withColumn("_r", F.col("b") * F.col("_s"))
-    report = (rs.groupBy(*by).agg((F.stddev_pop("_r") / F.avg("_r")).alias("row_sum_cv"), F.count(F.lit(1)).alias("kept_bins"))
-              .join(res.groupBy(*by).agg((F.max("_e") < tol).alias("converged")), by).withColumn("iterations", F.lit(done)))
-    out = bins_of(sizes, by).join(x, [*by, "bin"], "left").select(*by, "bin", F.col("b").alias("weight"))
-    return out, report
+
+    def step(x: DataFrame) -> DataFrame:
+        # the error is from before the update, so the result is at least as good
+        return _row_sums(px, x, by, 1).select(*by, "bin", F.sqrt(F.col("b") / F.col("_s")).alias("b"), F.abs(F.col("b") * F.col("_s") - 1).alias("_e"))
+
+    settled = _until_settled(x, step, by, tol, max_iter, rounds)
+    rs = _row_sums(px, settled, by, 1).withColumn("_r", F.col("b") * F.col("_s"))
+    out = bins_of(sizes, by).join(settled.filter("converged"), [*by, "bin"], "left").select(*by, "bin", F.col("b").alias("weight"))
+    return out, _report(settled, rs, sizes, by)
 
 
 def balanced_contacts(contacts: DataFrame, weights: DataFrame, by: list[str] = MAP) -> DataFrame:

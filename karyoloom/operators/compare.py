@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..core import cut
-from ..functions.special import digamma, inverse_trigamma, t_tail, trigamma
+from ..functions.special import beta_i, digamma, gamma_p, inverse_trigamma, t_tail, trigamma
 from ..functions.intervals import within
 from ..functions.ranks import benjamini_hochberg, quantiles
 from ..functions.stats import poisson_weight, uniform
@@ -177,28 +177,30 @@ def measured_change(u: DataFrame, a: DataFrame, by: list[str] = CHROM, min_reads
     return both.filter(F.col("u") + F.col("a") >= min_reads).join(tot, list(by)).select(*by, "i", "j", change.alias("change"))
 
 
+def _first_at(cdf, u: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Smallest whole number at which the distribution function reaches u, by bisection below `top`."""
+    low, high = np.full(u.shape, -1.0), top.copy()
+    while np.any(high - low > 1):
+        mid = np.floor((low + high) / 2)
+        mid = np.where(high - low > 1, mid, high)
+        reached = cdf(np.maximum(mid, 0.0)) >= u
+        low, high = np.where(reached, low, mid), np.where(reached, mid, high)
+    return high
+
+
 @F.pandas_udf(DoubleType())
 def _draw(count: pd.Series, fold: pd.Series, u: pd.Series) -> pd.Series:
-    """Binomial (fold < 1) or added Poisson (fold > 1) count by inverting the distribution at u; means above 500 use the
-    rounded normal law."""
-    c, f, u = count.to_numpy(float), fold.to_numpy(float), u.to_numpy(float)
-    thin = f < 1
-    n, mean = np.rint(c), np.where(thin, np.rint(c) * f, c * (f - 1))
-    big = mean > 500
-    q = np.where(thin, f, 0.5)
-    pmf = np.where(thin, np.power(1 - q, np.where(big, 0, n)), np.exp(-np.where(big, 0, mean)))
-    cdf, k, live = pmf.copy(), np.zeros(len(c)), ~big
-    while live.any():
-        live &= (cdf < u) & (pmf > 0) | (live & (cdf < u) & (k < mean))
-        if not live.any():
-            break
-        pmf = np.where(thin, pmf * (n - k) / (k + 1) * q / np.maximum(1 - q, 1e-12), pmf * mean / (k + 1))
-        k, cdf = np.where(live, k + 1, k), np.where(live, cdf + pmf, cdf)
-    if big.any():
-        from statistics import NormalDist
-        z = np.array([NormalDist().inv_cdf(min(max(v, 1e-15), 1 - 1e-15)) for v in u[big]])
-        k[big] = np.clip(np.rint(mean[big] + z * np.sqrt(np.where(thin[big], mean[big] * (1 - q[big]), mean[big]))), 0, None)
-    return pd.Series(np.where(thin, np.minimum(k, n), c + k))
+    """Binomial (fold < 1) or added Poisson (fold > 1) count at which the distribution function reaches u, for any mean."""
+    c, f, u = count.to_numpy(float), fold.to_numpy(float), np.minimum(u.to_numpy(float), 1 - 1e-15)
+    out, thin = c.copy(), f < 1
+    n, q = np.rint(c[thin]), f[thin]
+    # P(X <= k) of the binomial law is I(1 - q; n - k, k + 1)
+    kept = lambda k: np.where(k >= n, 1.0, beta_i(np.maximum(n - k, 1e-300), k + 1, 1 - q, q))                # noqa: E731
+    out[thin] = np.where(q <= 0, 0.0, _first_at(kept, u[thin], n))
+    mean = c[~thin] * (f[~thin] - 1)
+    added = lambda k: np.where(mean > 0, 1 - gamma_p(k + 1, mean), 1.0)                                        # noqa: E731
+    out[~thin] += _first_at(added, u[~thin], np.ceil(mean + 12 * np.sqrt(mean) + 60))
+    return pd.Series(out)
 
 
 def plant_changes(contacts: DataFrame, pixels: DataFrame, seed: int = 0, by: list[str] = CHROM) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..core import cut
+from ..core import cut, plain_unions
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -30,7 +30,7 @@ class Inputs:
     """Tables and views of one data folder as DataFrames, built on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made = plain_unions(spark), folder, {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:

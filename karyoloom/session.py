@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .core import plain_unions
+
 
 def local_session(name: str, cores: int | str = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -12,4 +14,4 @@ def local_session(name: str, cores: int | str = 8) -> SparkSession:
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return plain_unions(spark)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from karyoloom.functions import groups, intervals, ranks, special
-from karyoloom.operators import bins, contacts, liftover, variants as V
+from karyoloom.operators import balance, bins, contacts, liftover, variants as V
 from karyoloom.sources import names, sinks, tables, variants as RV
 
 
@@ -129,3 +129,19 @@ def test_hot_group_ranks_are_exact(spark, monkeypatch):
         assert got[float(x)] == pytest.approx(below + (same + 1) / 2)
     q = ranks.quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.73}).filter("g = 'hot'").first()
     assert (q.a, q.b) == (pytest.approx(np.quantile(v, 0.1)), pytest.approx(np.quantile(v, 0.73)))
+
+
+def test_a_map_is_balanced_alike_alone_and_in_a_cohort(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for name, n in (("quick", 20), ("slow", 34), ("tiny", 2)):
+        bias = rng.uniform(0.2, 2.0, n)
+        rows += [(name, "c", i, j, float(rng.poisson(40 * bias[i] * bias[j]) + 1)) for i in range(n) for j in range(i + 1, n)]
+    df = spark.createDataFrame(rows, "sample string, chrom string, i long, j long, cnt double")
+    size = spark.createDataFrame([("quick", "c", 20), ("slow", "c", 34), ("tiny", "c", 2)], "sample string, chrom string, n long")
+    together, report = balance.kr(df, size)
+    alone, _ = balance.kr(df.filter("sample = 'quick'"), size.filter("sample = 'quick'"))
+    weight = {(r["sample"], r.bin): r.weight for r in together.collect()}
+    assert all(weight["quick", r.bin] == pytest.approx(r.weight, rel=1e-12) for r in alone.collect() if r.weight is not None)
+    assert weight["tiny", 0] is None and weight["slow", 5] is not None
+    assert {r["sample"]: r.reason for r in report.collect()} == {"quick": None, "slow": None, "tiny": "too few bins with contacts"}
