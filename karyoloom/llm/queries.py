@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..core import plain_unions
 from . import crf_language, disclosure, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
@@ -14,7 +15,7 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return plain_unions(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
