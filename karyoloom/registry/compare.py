@@ -6,7 +6,8 @@ from ..operators import compare as X
 from .base import query, view
 from .maps import insulation_cte, r
 
-TESTED = """tested AS (SELECT chrom, i, j, sum(cnt) / 4 AS mean_count FROM v_reps WHERE j - i BETWEEN 2 AND 60 GROUP BY ALL HAVING sum(cnt) / 4 >= 2),
+TESTED = """nreps AS (SELECT chrom, count(DISTINCT replicate) AS k FROM v_reps GROUP BY ALL),
+tested AS (SELECT chrom, i, j, sum(cnt) / max(k) AS mean_count FROM v_reps JOIN nreps USING (chrom) WHERE j - i BETWEEN 2 AND 60 GROUP BY ALL HAVING sum(cnt) / max(k) >= 2),
 filled AS (SELECT t.chrom, t.i, t.j, t.mean_count, r.condition, r.replicate, coalesce(c.cnt, 0) AS cnt FROM tested t
   JOIN (SELECT DISTINCT chrom, condition, replicate FROM v_reps) r ON t.chrom = r.chrom
   LEFT JOIN v_reps c ON c.chrom = t.chrom AND c.replicate = r.replicate AND c.i = t.i AND c.j = t.j),
@@ -67,7 +68,7 @@ def insulation_tracks(t):
                       F.col("sample").alias("replicate"), "bin", F.col("insulation").alias("value"))
 
 
-@query("track_test", "C6", f"""WITH {insulation_cte("v_contacts", 12)}, whole AS (SELECT chrom, bin FROM ins WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) = 4)
+@query("track_test", "C6", f"""WITH {insulation_cte("v_contacts", 12)}, whole AS (SELECT chrom, bin FROM ins WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT sample) FROM v_sizes))
 SELECT chrom, bin, round(avg(v) FILTER (sample IN ('s0', 's1')), 6) AS mean_a, round(avg(v) FILTER (sample NOT IN ('s0', 's1')), 6) AS mean_b,
   round(avg(v) FILTER (sample NOT IN ('s0', 's1')) - avg(v) FILTER (sample IN ('s0', 's1')), 6) AS difference FROM ins JOIN whole USING (chrom, bin) GROUP BY ALL""")
 def _(t):

@@ -4,9 +4,9 @@ from .base import view
 
 SPAN, RES, N = 2_000_000, 20_000, 100          # bp, bp per bin, bins
 
-# one read pair per line item; short separations are more frequent than long ones, discounted items join five loop anchors
+# one read pair per line item, four samples for each hundred suppliers, so maps grow in number with the data; short separations are more frequent than long ones, discounted items join five loop anchors
 view("v_pairs", """
-SELECT concat('s', cast(l_suppkey % 4 AS varchar(9))) AS sample, concat('chr', l_returnflag) AS chrom1,
+SELECT concat('s', cast(l_suppkey % 4 + 4 * cast(floor(l_suppkey / 100.0) AS bigint) AS varchar(9))) AS sample, concat('chr', l_returnflag) AS chrom1,
        CASE WHEN l_tax > 0.075 THEN 'chrN' ELSE concat('chr', l_returnflag) END AS chrom2,
        CASE WHEN l_discount > 0.085 THEN 280000 + (l_partkey % 5) * 320000 + l_orderkey * 7919 % 60000 ELSE p END AS pos1,
        CASE WHEN l_discount > 0.085 THEN 580000 + (l_partkey % 5) * 320000 + l_orderkey * 104729 % 60000
