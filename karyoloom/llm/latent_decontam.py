@@ -148,15 +148,25 @@ class Passages:
         self.last = np.minimum(self.first + 1, self.row_ends[self.row + 1] - 1)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum over each passage of the values of its terms."""
-        of = segment_sums(values[self.terms], self.at)
-        return of[self.first] + np.where((self.last > self.first).reshape(-1, *[1] * (of.ndim - 1)), of[self.last], 0)
+        """Sum over each passage of the values of its terms: half-windows first, those with most terms in front, one term of
+        each at a time."""
+        order = np.argsort(-self.counts, kind="stable")
+        start, size = self.at[:-1][order], self.counts[order]
+        made = np.zeros((len(order), *values.shape[1:]), values.dtype)
+        for k in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -k, "left"))
+            made[:m] += values[self.terms[start[:m] + k]]
+        of = np.empty_like(made)
+        of[order] = made
+        out, two = of[self.first], self.last > self.first
+        out[two] += of[self.last[two]]
+        return out
 
     def spread(self, y: np.ndarray, size: int) -> np.ndarray:
         """Sum of the rows of y over the passages of each occurrence, by term."""
-        of = np.zeros((len(self.counts), y.shape[1]), y.dtype)
-        np.add.at(of, self.first, y)
-        np.add.at(of, self.last[self.last > self.first], y[self.last > self.first])
+        of, two = np.zeros((len(self.counts), y.shape[1]), y.dtype), self.last > self.first
+        of[self.first] += y                                   # a half-window is the first of one passage, the last of one
+        of[self.last[two]] += y[two]
         window = np.repeat(np.arange(len(self.counts)), self.counts)
         order = np.argsort(self.terms, kind="stable")
         ends = np.searchsorted(self.terms[order], np.arange(size + 1))
@@ -249,12 +259,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     short = stored(compact(read, items, weight))
     basis = latent(short, items, weight, total, rank)
     by = (weight[:, None] * basis).astype(np.float32)
-    square = weight ** 2
+    square = (weight ** 2).astype(np.float32)
     terms = [x[weight[x] > 0] for x in items.terms]
     answers = [x[-max(1, len(x) // 4):] for x in terms]
     sizes = [float(weight[x].sum()) for x in terms]
     goal = np.stack([by[x].sum(axis=0) for x in terms])
-    goal /= np.sqrt([square[x].sum() for x in terms])[:, None]
+    goal = (goal / np.sqrt([square[x].sum() for x in terms])[:, None]).astype(np.float32)
     reach = [-(-len(x) // items.half) for x in items.terms]
     names = items.names
 
@@ -275,6 +285,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
                     a = max(int(p.row_ends[row]), int(p.first[k]) - reach[i])
                     b = min(int(p.row_ends[row + 1]), int(p.last[k]) + 1 + reach[i])
                     body = p.terms[p.at[a]:p.at[b]]
+                    present = np.zeros(len(weight), bool)
+                    present[body] = True
+                    if weight[terms[i][present[terms[i]]]].sum() < near_share * sizes[i]:
+                        continue                                  # no subsequence can weigh more than the terms in common
                     now = common_weight(terms[i], body, weight) / sizes[i]
                     if now > share:
                         share = now
