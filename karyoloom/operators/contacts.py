@@ -88,10 +88,15 @@ def coarsen_windows(contacts: DataFrame, windows: DataFrame, by: list[str] = MAP
 
 def pyramid(contacts: DataFrame, base: int, factors: tuple[int, ...] = FACTORS, by: list[str] = MAP,
             weights: DataFrame | None = None) -> DataFrame:
-    """All resolutions of a map in one pass (by, resolution, i, j, cnt); partial sums shrink the copies map-side."""
+    """All resolutions of a map in one pass (by, resolution, i, j, cnt); partial sums shrink the copies map-side. With
+    balancing weights (by, bin, weight) the pixels of the base resolution carry those of their bins, others NULL."""
     c = contacts.withColumn("_f", F.explode(F.array(*[F.lit(f).cast("long") for f in factors])))
-    return (c.groupBy(*by, (F.col("_f") * base).alias("resolution"), idiv(F.col("i"), F.col("_f")).alias("i"),
-                      idiv(F.col("j"), F.col("_f")).alias("j")).agg(F.sum("cnt").alias("cnt")))
+    out = (c.groupBy(*by, (F.col("_f") * base).alias("resolution"), idiv(F.col("i"), F.col("_f")).alias("i"),
+                     idiv(F.col("j"), F.col("_f")).alias("j")).agg(F.sum("cnt").alias("cnt")))
+    if weights is None:
+        return out
+    end = lambda k: weights.select(*by, F.lit(base).cast("long").alias("resolution"), F.col("bin").alias(k), F.col("weight").alias(f"weight_{k}"))
+    return out.join(end("i"), [*by, "resolution", "i"], "left").join(end("j"), [*by, "resolution", "j"], "left")
 
 
 def pick_resolution(available: DataFrame, requested: int, by: list[str] = ("file",)) -> DataFrame:

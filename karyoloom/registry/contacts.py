@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..core import scratch
 from ..operators import bins as B, contacts as C
+from ..sources import sinks, tables
 from .base import query, view
 
 view("v_windows", """
@@ -273,3 +275,43 @@ def _(t):
     loci = t("v_chroms").select("chrom").join(t("nation").select(
         F.col("n_nationkey").alias("locus"), (F.col("n_nationkey") * 90_000 + 500).alias("pos")), how="cross")
     return B.share_into_loci(t("v_intervals"), loci, 30_000).withColumn("signal", F.round("signal", 6))
+
+
+@query("pyramid_weights", "A8, B2", """
+SELECT p.sample, p.chrom, p.resolution, p.i, p.j, p.cnt, round(CASE WHEN p.resolution = 20000 THEN a.weight END, 9) AS weight_i,
+       round(CASE WHEN p.resolution = 20000 THEN b.weight END, 9) AS weight_j
+FROM (SELECT sample, chrom, 20000 * f AS resolution, i // f AS i, j // f AS j, sum(cnt) AS cnt FROM v_contacts, (VALUES (1), (4)) t(f) GROUP BY ALL) p
+LEFT JOIN v_weights a ON p.sample = a.sample AND p.chrom = a.chrom AND p.i = a.bin
+LEFT JOIN v_weights b ON p.sample = b.sample AND p.chrom = b.chrom AND p.j = b.bin""")
+def _(t):
+    p = C.pyramid(t("v_contacts"), 20_000, (1, 4), weights=t("v_weights"))
+    return p.withColumns({k: F.round(k, 9) for k in ("weight_i", "weight_j")})
+
+
+@query("pyramid_written", "A8, A27", """SELECT sample, chrom, resolution, count(*) AS pixels, sum(i) AS i, sum(j) AS j, sum(cnt) AS cnt FROM (
+  SELECT sample, chrom, 20000 * f AS resolution, i // f AS i, j // f AS j, sum(cnt) AS cnt FROM v_contacts, (VALUES (1), (2), (8)) t(f) GROUP BY ALL) p GROUP BY ALL""")
+def _(t):
+    path = scratch(t.spark, "pyramid")
+    sinks.write_pyramid(C.pyramid(t("v_contacts"), 20_000, (1, 2, 8)), path)
+    back = t.spark.read.parquet(path)
+    return back.groupBy("sample", "chrom", F.col("resolution").cast("long").alias("resolution")).agg(
+        F.count(F.lit(1)).alias("pixels"), F.sum("i").alias("i"), F.sum("j").alias("j"), F.sum("cnt").alias("cnt"))
+
+
+@query("pixels_written", "A27, C9", """SELECT concat_ws(chr(9), chrom, i * 20000, (i + 1) * 20000, chrom, j * 20000, (j + 1) * 20000, '.', '.', cast(cnt AS VARCHAR), '.') AS line, count(*) AS times
+FROM v_off GROUP BY ALL""")
+def _(t):
+    path = scratch(t.spark, "pixels")
+    px = t("v_off").withColumns({"start": F.lit(0).cast("long"), "log2_fc": F.col("cnt")})
+    sinks.write_lines(sinks.pixel_bedpe_lines(px, 20_000), path)
+    return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("pairs_from_files", "A2, A13", """SELECT kind, chrom1, chrom2, count(*) AS pairs, cast(sum(pos1) AS BIGINT) AS first, cast(sum(pos2) AS BIGINT) AS second
+FROM v_pairs, (SELECT 'pairs' AS kind) k GROUP BY ALL""")
+def _(t):
+    path = scratch(t.spark, "files")
+    line = F.concat_ws("\t", F.lit("."), "chrom1", F.col("pos1").cast("string"), "chrom2", F.col("pos2").cast("string"), F.lit("+"), F.lit("-"))
+    t("v_pairs").select(line.alias("value"), "sample").write.partitionBy("sample").text(path)
+    got = tables.read_pairs(t.spark, f"{path}/*")
+    return got.groupBy(F.lit("pairs").alias("kind"), "chrom1", "chrom2").agg(F.count(F.lit(1)).alias("pairs"), F.sum("pos1").alias("first"), F.sum("pos2").alias("second"))

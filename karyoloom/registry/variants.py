@@ -142,6 +142,12 @@ def _(t):
     return V.karyotype_from_copy_number(t("v_cnseg"), t("v_karyo_sizes"))[0]
 
 
+@query("homologs_left", "I4", """SELECT s.sample, s.source, 2 - coalesce(sum(2 - cn) FILTER (cn < 2), 0) AS reference_copies
+FROM v_karyo_sizes s LEFT JOIN v_cnseg c ON s.sample = c.sample AND s.source = c.source GROUP BY s.sample, s.source""")
+def _(t):
+    return V.karyotype_from_copy_number(t("v_cnseg"), t("v_karyo_sizes"))[1]
+
+
 @query("copy_number_bed", "I5", """SELECT w."window", greatest(0, s // 1000 - bin0) AS a, least(n, cast(ceil(e / 1000.0) AS BIGINT) - bin0) AS b, cn FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'chr1' ELSE 'chr2' END AS chrom, p_partkey * 700 AS s, p_partkey * 700 + p_size * 900 AS e, cast(p_size % 5 AS DOUBLE) AS cn FROM part) p
 JOIN (SELECT 'w1' AS "window", 'chr1' AS chrom, 100 AS bin0, 700 AS n UNION ALL SELECT 'w2', 'chr2', 0, 500) w ON w.chrom = p.chrom WHERE least(n, cast(ceil(e / 1000.0) AS BIGINT) - bin0) > greatest(0, s // 1000 - bin0)""")
 def _(t):
