@@ -208,7 +208,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list
     def label(batches):
         for batch in batches:
             texts = batch.column(at)
-            for a, b in slices(texts, 6_000_000):
+            for a, b in slices(texts, 2_000_000):
                 codes, words, offsets = coded_words(texts.slice(a, b - a))
                 plain = [letters(w) for w in words.to_pylist()]
                 full = np.fromiter(map(bool, plain), bool, len(plain))
@@ -226,6 +226,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list
                 score = np.where(n > 0, np.minimum(means[np.arange(b - a), best], 1.0), 0.0)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(name, pa.string()), pa.array(score)], names=out_names)
+        pa.default_memory_pool().release_unused()
 
     out_names = [*keep, "lang_pred", "score"]
     at = keep.index(text) if text in keep else len(keep)

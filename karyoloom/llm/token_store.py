@@ -30,7 +30,7 @@ INDEX = ("bucket bigint, n_keys int, levels array<binary>, fingerprints binary,
 CHUNK_BYTES = 1 << 20
 KEYS_PER_BUCKET = 20_000
 LATIN_END = "ɐ"                # letters below are stable under NFC and have one lower case, but for U+0130
-MEMO_ROWS = 1_000_000               # words a worker remembers before it starts anew
+MEMO_ROWS = 400_000                 # words a worker remembers before it starts anew
 
 
 class Encoder:
@@ -48,17 +48,29 @@ class Encoder:
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
     def _piece(self, word: str) -> list[int]:
-        """Ids of one pre-token, given in lower case."""
+        """Ids of one pre-token, given in lower case. The memo holds their place in the table, length in the low bits."""
         got = self.pieces.get(word)
         if got is None:
             mapped = word.encode().decode("latin-1").translate(self.byte_chars)
-            got = self.pieces[word] = [t.id for t in self.model.tokenize(mapped)]
-        return got
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            if len(ids) < 1 << 20:
+                self.pieces[word] = self._keep(ids) << 20 | len(ids)
+            return ids
+        start, n = got >> 20, got & ((1 << 20) - 1)
+        return self.flat[start:start + n].tolist()
+
+    def _keep(self, ids: list[int]) -> int:
+        n = len(ids)
+        while self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used:self.used + n] = ids
+        self.used += n
+        return self.used - n
 
     def _encode(self, word: str) -> list[int]:
         core = word.rstrip(".,")
@@ -74,11 +86,7 @@ class Encoder:
             got, n = len(self.rows), len(ids)
             if got == len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * got), np.resize(self.lengths, 2 * got)
-            while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.rows[word], self.starts[got], self.lengths[got] = got, self.used, n
-            self.flat[self.used:self.used + n] = ids
-            self.used += n
+            self.rows[word], self.starts[got], self.lengths[got] = got, self._keep(ids), n
         return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +279,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
                         parts, names, counts = [], [], []
         if parts:
             yield closed()
+        pa.default_memory_pool().release_unused()
 
     placed.mapInArrow(encode, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
     made = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")

@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """(id, tie, fp): a row for each document; fp is the fingerprint as a signed long, tie a hash of the text."""
     def of(batches):
         for batch in batches:
-            for a, b in slices(batch.column(2)):
+            for a, b in slices(batch.column(2), 3_000_000):
                 part = batch.slice(a, b - a)
                 fp = majority(*shingle_hashes(part.column(2), words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], ["id", "tie", "fp"])
