@@ -32,6 +32,7 @@ MOST_ITEMS = 100_000
 STOP_SHARE, MIN_TERMS = 0.125, 4
 MIN_COSINE, COPY_SHARE, NEAR_SHARE, ANSWER_SHARE = 0.25, 0.7, 0.45, 0.6
 EDGES = ".,;:!?\"'()[]{}<>*#$%&-_"
+PIECE_ROWS = 200                      # documents whose passages a worker holds at a time
 PARTS = 16                            # row blocks in which the sums of the range finder are added up
 
 
@@ -74,7 +75,7 @@ def passages_with(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         size = len(vocabulary)
         seen, total = np.zeros(size, np.int64), 0
         for batch in batches:
-            for a, b in slices(batch.column(0), 6_000_000):
+            for a, b in slices(batch.column(0), 2_000_000):
                 term, window, windows = _terms(batch.column(0).slice(a, b - a), vocabulary, half)
                 last = np.repeat(np.cumsum(windows) - 1, windows)
                 pair = np.unique(window[term >= 0] * size + term[term >= 0])          # a term of a half-window, once
@@ -88,6 +89,7 @@ def passages_with(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
                 seen += np.bincount(t[back][~both], minlength=size)
                 total += int(np.maximum(windows - 1, 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(seen), pa.array(np.full(size, total))], ["term", "n", "total"])
+        pa.default_memory_pool().release_unused()
 
     counts = docs.select(whole("text").alias("text")).mapInArrow(count, "term bigint, n bigint, total bigint")
     rows = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()    # a row per word of the benchmark
@@ -113,7 +115,7 @@ def compact(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            for a, b in slices(batch.column(2), 6_000_000):
+            for a, b in slices(batch.column(2), 2_000_000):
                 term, window, windows = _terms(batch.column(2).slice(a, b - a), vocabulary, half)
                 use = (term >= 0) & (weight[term] > 0)
                 per = np.bincount(window[use], minlength=int(windows.sum()))
@@ -126,6 +128,7 @@ def compact(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFrame:
                     part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)),
                     pa.array([flat[at[k]:at[k + 1]].tobytes() for k in full], pa.binary()),
                     pa.array([per[ends[k]:ends[k + 1]].astype(np.int32) for k in full], pa.list_(pa.int32()))], ["id", "tie", "terms", "counts"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(encode, "id bigint, tie bigint, terms binary, counts array<int>")
 
@@ -194,8 +197,8 @@ def _in_parts(x: np.ndarray) -> pa.RecordBatch:
 
 def _pieces(batches):
     for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            yield batch.slice(a, 500)
+        for a in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(a, PIECE_ROWS)
 
 
 def latent(rows: DataFrame, items: Items, weight: np.ndarray, total: int, rank: int, seed: int = 0) -> np.ndarray:
