@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -54,6 +56,18 @@ def worker_cache(name: str, make: Callable):
     return getattr(box, name)
 
 
+def free_memory(cache: bool = True) -> None:
+    """At the end of a task: give freed memory back to the system, and forget cached objects unless the next task of this
+    operator needs them. A worker process goes on to other operators, whose memory would come on top."""
+    if cache:
+        sys.modules.pop("_llm_worker_cache", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: pa.Array, most_bytes: int = 8_000_000):
     """(start, stop) row ranges of at most `most_bytes` text each, or a single longer row: bounds memory, drops nothing."""
     if len(texts) == 0:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import coded_words, segment_sums, slices, whole
+from .common import coded_words, free_memory, segment_sums, slices, whole
 
 TRAIN_DOCS, TRAIN_WORDS = 1_000, 40
 HASH_BITS, NGRAMS = 17, (1, 2, 3, 4)
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", keep: list
                 score = np.where(n > 0, np.minimum(means[np.arange(b - a), best], 1.0), 0.0)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(name, pa.string()), pa.array(score)], names=out_names)
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     out_names = [*keep, "lang_pred", "score"]
     at = keep.index(text) if text in keep else len(keep)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coded_words, rows_of, segment_sums, slices, stored, whole
+from .common import coded_words, free_memory, rows_of, segment_sums, slices, stored, whole
 
 RANK, OVERSAMPLE = 128, 16
 MOST_ITEMS = 100_000
@@ -89,7 +89,7 @@ def passages_with(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
                 seen += np.bincount(t[back][~both], minlength=size)
                 total += int(np.maximum(windows - 1, 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(seen), pa.array(np.full(size, total))], ["term", "n", "total"])
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     counts = docs.select(whole("text").alias("text")).mapInArrow(count, "term bigint, n bigint, total bigint")
     rows = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()    # a row per word of the benchmark
@@ -128,7 +128,7 @@ def compact(docs: DataFrame, items: Items, weight: np.ndarray) -> DataFrame:
                     part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)),
                     pa.array([flat[at[k]:at[k + 1]].tobytes() for k in full], pa.binary()),
                     pa.array([per[ends[k]:ends[k + 1]].astype(np.int32) for k in full], pa.list_(pa.int32()))], ["id", "tie", "terms", "counts"])
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     return docs.mapInArrow(encode, "id bigint, tie bigint, terms binary, counts array<int>")
 

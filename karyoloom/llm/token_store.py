@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..core import scratch
-from .common import coded_words, mix64, partitions, ragged, slices, whole, worker_cache
+from .common import coded_words, free_memory, mix64, partitions, ragged, slices, whole, worker_cache
 
 PAYLOAD = "shard int, chunk int, first_token bigint, ids binary, doc_ids array<bigint>, n_tokens array<int>"
 INDEX = ("bucket bigint, n_keys int, levels array<binary>, fingerprints binary, first_place binary, shards binary, "
@@ -279,7 +279,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
                         parts, names, counts = [], [], []
         if parts:
             yield closed()
-        pa.default_memory_pool().release_unused()
+        free_memory(cache=False)
 
     placed.mapInArrow(encode, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
     made = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.groups import components
-from .common import rows_of, slices, stored, whole
+from .common import free_memory, rows_of, slices, stored, whole
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 SAMPLE, LEAF_ROWS = 8_192, 2_048
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
                 part = batch.slice(a, b - a)
                 fp = majority(*shingle_hashes(part.column(2), words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], ["id", "tie", "fp"])
+        free_memory()
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(doc_id, whole(text)).alias("tie"), whole(text).alias("text"))
     return rows.mapInArrow(of, "id bigint, tie bigint, fp bigint")
