@@ -6,8 +6,13 @@ passages with the term), and terms in more than `stop_share` of the passages wei
 `min_terms` others. A randomised SVD of the tf-idf matrix, all passages of the corpus and the items, is computed in two distributed
 passes: range finder Z = A'(A O), and the Gram matrix of A Q for the singular vectors. Passages and items are compared by
 cosine in the latent space; pairs from `min_cosine` on are checked on the text itself: the longest common subsequence of the item
-and the passage with its surroundings, weighted by term weights. A pair is a copy from `copy_share` of the item on, and a
-paraphrase from `near_share` on if the item's answer, its last quarter, is there too by `answer_share`.
+and a run of half-windows, weighted by term weights. A run is as long as a passage with one item length on either side. A pair
+is a copy from `copy_share` of the item on, and a paraphrase from `near_share` on if the item's answer, its last quarter, is
+there too by `answer_share`.
+
+The latent space holds little of an item once the benchmark is larger than its rank, and a copy's cosine falls with that. So
+the rare terms of each item are indexed too, until those left out weigh less than half of what a match needs: runs with the
+rest of that weight are checked whatever their cosine. No pair that the check on the text accepts can be missed; the cosine is told.
 
 The benchmark is held by every task; more than `MOST_ITEMS` items are refused (give them in parts). What a task adds to the sums
 has the size of benchmark words times rank, whatever the corpus.
@@ -25,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coded_words, free_memory, rows_of, segment_sums, slices, stored, whole
+from .common import coded_words, free_memory, ragged, rows_of, segment_sums, slices, stored, whole
 
 RANK, OVERSAMPLE = 128, 16
 MOST_ITEMS = 100_000
@@ -33,6 +38,7 @@ STOP_SHARE, MIN_TERMS = 0.125, 4
 MIN_COSINE, COPY_SHARE, NEAR_SHARE, ANSWER_SHARE = 0.25, 0.7, 0.45, 0.6
 EDGES = ".,;:!?\"'()[]{}<>*#$%&-_"
 PIECE_ROWS = 200                      # documents whose passages a worker holds at a time
+MOST_PAIRS = 2_000_000                # terms with an item, or passages with an item, that are held at a time
 PARTS = 16                            # row blocks in which the sums of the range finder are added up
 
 
@@ -245,6 +251,95 @@ def common_weight(item: np.ndarray, body: np.ndarray, weight: np.ndarray) -> flo
     return float(best[-1])
 
 
+class Index:
+    """Items by their rare terms. `floor` is the least share of an item that can be a match; the terms indexed leave out less
+    than half of it, so a match has the other part in them."""
+
+    def __init__(self, terms: list[np.ndarray], weight: np.ndarray, lengths: np.ndarray, floor: float):
+        self.words, self.lengths, self.longest = len(weight), lengths, int(lengths.max())
+        self.need = np.zeros(len(terms))
+        term, item, share = [], [], []
+        for i, x in enumerate(terms):
+            t, times = np.unique(x, return_counts=True)
+            part = weight[t] * times / weight[x].sum()
+            order = np.argsort(-weight[t], kind="stable")
+            left = 1.0 - np.cumsum(part[order])
+            use = order[:int(np.argmax(left <= floor / 2 + 1e-12)) + 1]
+            self.need[i] = floor - (1.0 - part[use].sum()) - 1e-6
+            term.append(t[use])
+            item.append(np.full(len(use), i))
+            share.append(part[use])
+        term, order = np.concatenate(term), np.argsort(np.concatenate(term), kind="stable")
+        self.item, self.share = np.concatenate(item)[order], np.concatenate(share)[order]
+        self.start = np.searchsorted(term[order], np.arange(self.words))
+        self.size = np.bincount(term, minlength=self.words)
+
+    def runs(self, p: Passages):
+        """(first half-window, item) of the runs that have enough of an item; a run starts where a term of the item stands."""
+        n = len(p.counts)
+        pair = np.unique(np.repeat(np.arange(n), p.counts) * self.words + p.terms)
+        window, term = pair // self.words, pair % self.words
+        window, term = window[self.size[term] > 0], term[self.size[term] > 0]
+        many = self.size[term]
+        cost = np.concatenate([[0], np.cumsum(np.bincount(window, many, n))])
+        row_end = np.repeat(p.row_ends[1:], np.diff(p.row_ends))
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(cost, cost[a] + MOST_PAIRS, "right")) - 1)
+            stop = min(n, b + self.longest)
+            u, v = np.searchsorted(window, [a, stop])
+            at, wide = ragged(self.start[term[u:v]], many[u:v]), stop - a
+            key, of = np.unique(self.item[at] * wide + np.repeat(window[u:v], many[u:v]) - a, return_inverse=True)
+            before = np.concatenate([[0], np.cumsum(np.bincount(of, self.share[at], len(key)))])
+            item, first = key // wide, key % wide + a
+            last = np.minimum(np.minimum(first + self.lengths[item], row_end[first]), stop)
+            have = before[np.searchsorted(key, item * wide + last - a)] - before[:-1]
+            told = (have >= self.need[item]) & (first < b)
+            yield first[told], item[told]
+            a = b
+
+
+def best_run(starts: list[int], length: int, end: int, p: Passages, item: np.ndarray, weight: np.ndarray, copy_share: float, near_share: float,
+             answer_share: float) -> tuple[float, float, int] | None:
+    """(share, answer, first half-window) of the run with the largest share among those that match; the runs have `length`
+    half-windows from one of `starts` (ascending), up to `end`. What several runs together lack none of them has."""
+    answer = item[-max(1, len(item) // 4):]
+    size, answer_size = float(weight[item].sum()), float(weight[answer].sum())
+    present = np.zeros(len(weight), bool)
+    best = None
+
+    def told(some: list[int]) -> tuple[float, float] | None:
+        body = p.terms[p.at[some[0]]:p.at[min(some[-1] + length, end)]]
+        present[body] = True
+        most = float(weight[item[present[item]]].sum()) / size        # no subsequence can weigh more than the terms in common
+        present[body] = False
+        if most < min(copy_share, near_share):
+            return None
+        body = body[np.isin(body, item)]
+        share = common_weight(item, body, weight) / size
+        of = common_weight(answer, body, weight) / answer_size
+        return (share, of) if share >= copy_share or (share >= near_share and of >= answer_share) else None
+
+    groups: list[list[int]] = []
+    for s in starts:
+        if groups and s < groups[-1][0] + length:
+            groups[-1].append(s)
+        else:
+            groups.append([s])
+    todo = [(g, told(g)) for g in reversed(groups)]
+    while todo:
+        some, got = todo.pop()
+        if got is None or (best is not None and got[0] <= best[0]):
+            continue
+        if len(some) == 1:
+            best = (*got, some[0])
+            continue
+        half = len(some) // 2
+        parts = [(x, told(x)) for x in (some[:half], some[half:])]
+        todo += sorted(parts, key=lambda x: x[1] or (0.0, 0.0))
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK,
           stop_share: float = STOP_SHARE, min_terms: int = MIN_TERMS, min_cosine: float = MIN_COSINE, copy_share: float = COPY_SHARE, near_share: float = NEAR_SHARE,
           answer_share: float = ANSWER_SHARE) -> DataFrame:
@@ -264,40 +359,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     by = (weight[:, None] * basis).astype(np.float32)
     square = (weight ** 2).astype(np.float32)
     terms = [x[weight[x] > 0] for x in items.terms]
-    answers = [x[-max(1, len(x) // 4):] for x in terms]
-    sizes = [float(weight[x].sum()) for x in terms]
     goal = np.stack([by[x].sum(axis=0) for x in terms])
     goal = (goal / np.sqrt([square[x].sum() for x in terms])[:, None]).astype(np.float32)
-    reach = [-(-len(x) // items.half) for x in items.terms]
-    names = items.names
+    reach = np.array([-(-len(x) // items.half) for x in items.terms])
+    index = Index(terms, weight, 2 + 2 * reach, min(copy_share, near_share))
+    names, step = items.names, max(1, MOST_PAIRS // len(terms))
 
     def search(batches):
         out = []
         for part in _pieces(batches):
             p = Passages(part)
             y = p.sums(by) / np.sqrt(np.maximum(p.sums(square), 1e-12))[:, None]
-            cosine = y @ goal.T
-            where, item = np.nonzero(cosine >= min_cosine)
-            best: dict[tuple[int, int], list] = {}
-            for k, i in zip(where.tolist(), item.tolist()):
-                best.setdefault((int(p.row[k]), i), []).append(k)
+            runs: dict[tuple[int, int], set] = {}
+            row_of = np.repeat(np.arange(part.num_rows), np.diff(p.row_ends))
+            for a in range(0, len(y), step):
+                where, item = np.nonzero(y[a:a + step] @ goal.T >= min_cosine)
+                first = np.maximum(p.first[a + where] - reach[item], p.row_ends[p.row[a + where]])
+                for h, i in zip(first.tolist(), item.tolist()):
+                    runs.setdefault((int(row_of[h]), i), set()).add(h)
+            for first, item in index.runs(p):
+                for h, i in zip(first.tolist(), item.tolist()):
+                    runs.setdefault((int(row_of[h]), i), set()).add(h)
             ids, ties = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for (row, i), found in best.items():
-                share = answer = 0.0
-                for k in found:
-                    a = max(int(p.row_ends[row]), int(p.first[k]) - reach[i])
-                    b = min(int(p.row_ends[row + 1]), int(p.last[k]) + 1 + reach[i])
-                    body = p.terms[p.at[a]:p.at[b]]
-                    present = np.zeros(len(weight), bool)
-                    present[body] = True
-                    if weight[terms[i][present[terms[i]]]].sum() < near_share * sizes[i]:
-                        continue                                  # no subsequence can weigh more than the terms in common
-                    now = common_weight(terms[i], body, weight) / sizes[i]
-                    if now > share:
-                        share = now
-                        answer = common_weight(answers[i], body, weight) / max(float(weight[answers[i]].sum()), 1e-12)
-                if share >= copy_share or (share >= near_share and answer >= answer_share):
-                    out.append((ids[row], ties[row], names[i], min(1.0, float(cosine[found, i].max())), share, answer, "copy" if share >= copy_share else "paraphrase"))
+            for (row, i), starts in runs.items():
+                length, end = int(index.lengths[i]), int(p.row_ends[row + 1])
+                found = best_run(sorted(starts), length, end, p, terms[i], weight, copy_share, near_share, answer_share)
+                if found is not None:
+                    share, answer, h = found
+                    of = slice(*np.searchsorted(p.row, [row, row + 1]))
+                    inside = (p.last[of] >= h) & (p.first[of] < h + length)
+                    cosine = float((y[of][inside] @ goal[i]).max())
+                    out.append((ids[row], ties[row], names[i], min(1.0, cosine), share, answer, "copy" if share >= copy_share else "paraphrase"))
         columns = list(zip(*out)) if out else [[] for _ in range(7)]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "tie", "item_id", "cosine", "share", "answer", "kind"])

@@ -183,6 +183,46 @@ def test_paraphrased_leaks(spark, rows):
     assert sum(i in got for i, _ in made) >= 0.9 * len(made)
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """1,200 items of 10 to 1,000 words against every run of half-windows of every document."""
+    rng = np.random.default_rng(5)
+    odds = 1 / (np.arange(9_000) + 20)
+    draw = lambda n: [f"w{k}" for k in rng.choice(9_000, n, p=odds / odds.sum())]                # noqa: E731
+    lengths = np.exp(rng.uniform(np.log(10), np.log(1_000), 1_200)).astype(int)
+    benchmark = [(k, draw(n)) for k, n in enumerate(lengths)]
+    texts, planted = [], set()
+    for k in range(150):
+        words = benchmark[8 * k][1]
+        if k % 3 == 2:                              # a paraphrase: every sixth word is another
+            words = [draw(1)[0] if j % 6 == 0 else w for j, w in enumerate(words)]
+        texts.append(draw(60 + k) + words + draw(90))
+        planted |= {(k, 8 * k)} if k % 3 < 2 else set()
+    texts += [draw(400) for _ in range(50)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in benchmark], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in latent_decontam.leaks(docs, table).collect()}
+    assert planted <= set(got)
+    items = latent_decontam.Items([type("R", (), {"item": k, "text": " ".join(t)}) for k, t in benchmark])
+    weight = latent_decontam.weights(items, *latent_decontam.passages_with(docs, items), latent_decontam.STOP_SHARE, latent_decontam.MIN_TERMS)
+    at = {w: k for k, w in enumerate(items.vocabulary)}
+    want = {}
+    for d, t in enumerate(texts):
+        codes = np.array([at.get(w, -1) for w in t])
+        body = [x[(x >= 0) & (weight[x] > 0)] for x in np.split(codes, range(items.half, len(codes), items.half))]
+        have = np.isin(np.arange(len(weight)), np.concatenate(body))
+        for i, x in enumerate(items.terms):
+            length, x = 2 + 2 * -(-len(x) // items.half), x[weight[x] > 0]
+            if weight[x[have[x]]].sum() < 0.45 * weight[x].sum():
+                continue
+            last = x[-max(1, len(x) // 4):]
+            for h in range(max(1, len(body) - length + 1)):
+                run = np.concatenate(body[h:h + length])
+                share, answer = (latent_decontam.common_weight(y, run, weight) / weight[y].sum() for y in (x, last))
+                if share >= 0.7 or (share >= 0.45 and answer >= 0.6):
+                    want[d, i] = max(share, want.get((d, i), 0))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_toxicity_held_out(spark):
     scored = pd.DataFrame([r.asDict() for r in ran(spark, "op6_toxicity")])
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").toPandas().merge(scored, on="doc_id")
