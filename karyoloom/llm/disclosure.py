@@ -2,7 +2,9 @@
 
 Base spans are email, ip, card and phone by pattern and check. The corpus then tells which other terms disclose a protected
 entity (a distinct address or number): of the documents with the term, what share also has the entity next to it, P(e | t),
-against the share of all documents, P(e). A term next to an entity discloses it from `min_share` on, if it does so in
+against the share of all documents, P(e). Next to it are the words that stand wholly within `around` characters before or
+behind it, whatever else stands between; a whole document is no window, as any two words of a long text would meet in it. A
+term next to an entity discloses it from `min_share` on, if it does so in
 `min_docs` documents and tells at least `min_bits` = log2(P(e | t) / P(e)). Disclosing terms become spans of kind `term` wherever
 they stand in the corpus; they are removed from `remove_share` on and generalised to [TERM] below it. Base spans always stay
 as they are and are replaced by their kind.
@@ -56,13 +58,27 @@ def _holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _pieces(text: Column, pattern: str, kind: Column, around: int) -> Column:
-    """An element for each match and one for what follows the last: kind, length of the gap before, the match, and up to
-    `around` characters of the gap before and after it."""
+def _pieces(text: Column, pattern: str, kind: str, around: int) -> Column:
+    """An element for each match and one for what follows the last: kind, length of the gap before, the match, whether it
+    passes the check of its kind, and what stands within `around` characters before and behind it."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda x, k: F.struct(
-        kind.alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("match"),
-        (F.substring(x["g"], -around, around) if around else F.lit("")).alias("before")))
+    most = around + 1                       # one character more tells whether a word is cut
+    ends = lambda g: F.when(F.length(g) > 2 * most, F.concat(F.substring(g, 1, most), F.substring(g, -most, most))).otherwise(g)
+    both = F.arrays_zip(gaps.alias("g"), found.alias("m"))
+    laid = F.flatten(F.transform(both, lambda x: F.array(ends(x["g"]), F.coalesce(x["m"], F.lit(""))))) if around else F.array().cast("array<string>")
+    whole_words = lambda c, cut: F.when(F.length(c) > around, F.regexp_replace(c, cut, "")).otherwise(c)                            # noqa: E731
+
+    def piece(s, x, k):
+        n = F.least(2 * k + 1, F.lit(2 * most + 1))          # gaps and matches that hold `most` characters, as no match is empty
+        before = F.substring(F.array_join(F.slice(s["l"], 2 * k + 2 - n, n), ""), -most, most)
+        after = F.substring(F.array_join(F.slice(s["l"], 2 * k + 3, F.lit(2 * most + 1)), ""), 1, most)
+        holds = F.coalesce(_holds(kind, x["m"]), F.lit(False))
+        near = [whole_words(before, r"^(\p{L}+|[^\p{L}])"), whole_words(after, r"(\p{L}+|[^\p{L}])$")] if around else [F.lit(""), F.lit("")]
+        return F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), x["m"].alias("match"), holds.alias("holds"),
+                        *[F.when(holds, c).alias(name) for c, name in zip(near, ("before", "after"))])
+
+    # one struct, so that the lambda does not split the text anew for each match
+    return F.flatten(F.transform(F.array(F.struct(both.alias("z"), laid.alias("l"))), lambda s: F.transform(s["z"], lambda x, k: piece(s, x, k))))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -80,21 +96,16 @@ def _placed(pieces: DataFrame, by: list[str]) -> DataFrame:
 def base_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", around: int = 0) -> DataFrame:
     """(_id, _tie, kind, start, end, match, before, after): checked spans of the base kinds, places in characters."""
     rows = _rows(docs, doc_id, text)
-    none = F.array().cast("array<struct<kind:string,gap:int,match:string,before:string>>")
+    none = F.array().cast("array<struct<kind:string,gap:int,match:string,holds:boolean,before:string,after:string>>")
     has_digit = F.col("_text").rlike("[0-9]")
     each = []
     for kind, pattern in PATTERNS.items():
         hint = F.contains("_text", F.lit(HINT[kind])) if kind in HINT else F.lit(True)
         hint = hint if kind == "email" else has_digit & hint
-        each.append(F.when(hint, _pieces(F.col("_text"), pattern, F.lit(kind), around)).otherwise(none))
+        each.append(F.when(hint, _pieces(F.col("_text"), pattern, kind, around)).otherwise(none))
     pieces = rows.select(*KEY, F.posexplode(F.concat(*each)).alias("_k", "_p")).select(*KEY, "_k", "_p.*")
     pieces = pieces.dropDuplicates([*KEY, "_k"])
-    following = F.lead("before").over(W.partitionBy(*KEY, "kind").orderBy("_k"))
-    spans = _placed(pieces.withColumn("after", following), [*KEY, "kind"])
-    checks = F.lit(False)
-    for kind in PATTERNS:
-        checks = checks | ((F.col("kind") == kind) & _holds(kind, F.col("match")))
-    return spans.filter(checks).select(*KEY, "kind", "start", "end", "match", "before", "after")
+    return _placed(pieces, [*KEY, "kind"]).filter("holds").select(*KEY, "kind", "start", "end", "match", "before", "after")
 
 
 def _entity(kind: Column, match: Column) -> Column:
@@ -106,7 +117,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id",
     """(term, entity, share, bits): terms that stand next to an entity and exceed the thresholds, over all documents."""
     near = spans.withColumn("entity", _entity(F.col("kind"), F.col("match")))
     words = F.array_union(F.regexp_extract_all(F.lower("before"), F.lit(TERM), F.lit(0)),
-                          F.regexp_extract_all(F.lower(F.coalesce("after", F.lit(""))), F.lit(TERM), F.lit(0)))
+                          F.regexp_extract_all(F.lower("after"), F.lit(TERM), F.lit(0)))
     seen = near.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs")).filter(F.col("e_docs") >= min_docs)
     pairs = (near.select(*KEY, "entity", F.explode(words).alias("term")).filter(F.length("term") >= min_chars).distinct()
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_docs).join(seen, "entity"))
@@ -134,17 +145,17 @@ def term_spans(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     has = (rows.select(*KEY, F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
            .join(best, "term", "left_semi").select(*KEY).distinct())
     inside = rows.join(has, (rows["_id"].eqNullSafe(has["_id"])) & (rows["_tie"] == has["_tie"]), "left_semi").dropDuplicates(KEY)
-    pieces = inside.select(*KEY, F.posexplode(_pieces(F.col("_text"), TERM, F.lit("term"), 0)).alias("_k", "_p")).select(*KEY, "_k", "_p.*")
+    pieces = inside.select(*KEY, F.posexplode(_pieces(F.col("_text"), TERM, "term", 0)).alias("_k", "_p")).select(*KEY, "_k", "_p.*")
     return (_placed(pieces, KEY).withColumn("term", F.lower("match")).join(best, "term")
             .select(*KEY, "kind", "start", "end", "share"))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3, min_share: float = 0.5, min_bits: float = 4.0,
-             remove_share: float = 0.9, around: int = 60) -> DataFrame:
+             remove_share: float = 0.9, around: int = 60, min_chars: int = 4) -> DataFrame:
     """`docs` with the text sanitised and `spans`: array of (start, order, end, kind, share) sorted, in characters of the old
     text. Terms that touch a base span are left out: the base span covers them."""
     base = stored(base_spans(docs, doc_id, text, around))
-    terms = stored(disclosing_terms(docs, base, doc_id, text, min_docs, min_share, min_bits))
+    terms = stored(disclosing_terms(docs, base, doc_id, text, min_docs, min_share, min_bits, min_chars))
     order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(KINDS)])
     both = base.select(*KEY, "kind", "start", "end", F.lit(None).cast("double").alias("share")).unionByName(
         term_spans(docs, terms, doc_id, text))

@@ -318,6 +318,32 @@ def test_disclosing_terms(spark):
     assert got[5].text == "ask somebody at [EMAIL] today"
 
 
+def test_terms_right_behind_an_entity(spark):
+    """Behind and before an entity in texts of 1,000 characters; closing words, and words far away, do not stand next to it."""
+    far = "so it goes on and on " * 25
+    texts = [f"{far} 17 quuxley 22 ann@mail.example or +49 30 12345678 call 99 ask Zorblatt {far} 12 farewellia" for _ in range(4)]
+    texts += [f"nothing said {k} here at all" for k in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in disclosure.sanitise(table).collect()}
+    assert "Zorblatt" not in got[0] and "quuxley" not in got[0] and got[0].endswith("12 farewellia")
+    assert "Zorblatt" in next(r.text for r in disclosure.sanitise(table, min_chars=9).collect() if r.doc_id == 0)
+
+
+def test_context_of_spans(spark):
+    """What stands next to a span against slices of the text."""
+    rng = np.random.default_rng(4)
+    bits = ["ann@mail.example", "10.0.0.1", "4111 1111 1111 1111", "+49 30 12345678", "7", "12", "wort", "énde 🎉", "x" * 70, "\n"]
+    texts = [" ".join(bits[j] for j in rng.integers(len(bits), size=rng.integers(1, 120))) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = disclosure.base_spans(table, around=60).collect()
+    assert len(found) > 500
+    for r in found:
+        t, a, b = texts[r["_id"]], r.start, r.end
+        words = lambda x, y: {m.group() for m in re.finditer(r"[^\W\d_]+", t) if m.start() >= x and m.end() <= y}            # noqa: B023, E731
+        assert set(re.findall(r"[^\W\d_]+", r.before)) == words(a - 60, a), (t, a)
+        assert set(re.findall(r"[^\W\d_]+", r.after)) == words(b, b + 60), (t, b)
+
+
 def test_pipeline(spark, rows):
     """Each stage against what the operators' own checks say about its input."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
