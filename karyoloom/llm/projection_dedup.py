@@ -6,9 +6,10 @@ next one, a window of at least one block on either side. The cosine is computed
 number of passes follows from the number of vectors: a pair at the threshold keeps each bit with probability 1 - angle / pi,
 and must keep the bits that tell blocks apart; passes are added until a pair at the threshold is met with `recall`.
 
-Pairs are not written out. A block returns, per vector, how many vectors it links to that no earlier pass has met (block
-numbers of all earlier passes travel with the vector and tell), and a spanning forest of its links. Equal vectors are
-one class with a count, so a vector that holds a third of the rows is compared once.
+Pairs are not written out. A block returns a spanning forest of its links, and the passes serve to find the components. Links lie
+within components, so they are counted there: a component is cut into chunks of at most about `block_rows` vectors, and all
+pairs of chunks are compared, however large it is. Equal vectors are one class with a count, so a vector that holds a third of
+the rows is compared once.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components, or has another length than most, links
 with nothing: n_links 0, itself as component; rows with equal ids are rows of their own; null ids are kept and count as no
@@ -74,14 +75,13 @@ def ranked(coded: DataFrame, block_rows: int) -> DataFrame:
         "cls", F.floor((F.col("_base") + F.col("_in")) / block_rows).cast("int").alias("block"))
 
 
-def _compare(group: pd.DataFrame, number: int, threshold: float) -> pd.DataFrame:
-    """Links of the home rows (side 0) among themselves and with the next block (side 1): a row for each vector with links:
-    cls, n (vectors linked that no earlier pass met), root (a vector of its group in this window)."""
+def _compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of the home rows (side 0) among themselves and with the next block (side 1): a row for each vector that is joined to
+    another: cls, root (a vector of its group in this window)."""
     group = group.sort_values(["side", "cls"], ignore_index=True)
-    x, size, cls = _unit(group.vec), group["size"].to_numpy(np.int64), group.cls.to_numpy(np.int64)
-    seen = np.stack(group.blocks.to_numpy()).astype(np.int64)
+    x, cls = _unit(group.vec), group.cls.to_numpy(np.int64)
     home = int((group.side == 0).sum())
-    label, n = np.arange(len(group)), np.zeros(len(group), np.int64)
+    label = np.arange(len(group))
     for a in range(0, home, 512):
         b = min(a + 512, home)
         near = x[a:b] @ x.T >= threshold
@@ -89,20 +89,48 @@ def _compare(group: pd.DataFrame, number: int, threshold: float) -> pd.DataFrame
         near[:, a:b] &= np.arange(a, b)[:, None] < np.arange(a, b)[None, :]
         i, j = np.nonzero(near)
         i = i + a
-        if not len(i):
-            continue
-        new = ~(np.abs(seen[i, :number] - seen[j, :number]) <= 1).any(axis=1)
-        np.add.at(n, i[new], size[j[new]])
-        np.add.at(n, j[new], size[i[new]])
         open_ = label[i] != label[j]
         if open_.any():
             label = _joined(label, i[open_], j[open_])
-    told = (n > 0) | (label != np.arange(len(label)))
-    return pd.DataFrame({"cls": cls[told], "n": n[told], "root": cls[label[told]]})
-
-
-def _comparer(number: int, threshold: float):
-    return lambda group: _compare(group, number, threshold)
+    told = label != np.arange(len(label))
+    return pd.DataFrame({"cls": cls[told], "root": cls[label[told]]})
+
+
+def _comparer(threshold: float):
+    return lambda group: _compare(group, threshold)
+
+
+def _counted(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(cls, n): the vectors that each of `members` (cls, size, vec, group) links to in its group. Small groups share a task;
+    a pair of chunks of a larger one is a task of its own."""
+    sizes = stored(members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_m")))
+    tasks = max(1, math.ceil(members.count() / block_rows))
+    own = F.when(F.col("_m") > 1, F.pmod(F.xxhash64("cls"), "_m").cast("int")).otherwise(0)
+    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    dealt = members.join(sizes, "group").withColumn("_own", own).withColumn("_other", other).select(
+        "cls", "size", "vec", "group", F.when(F.col("_m") > 1, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(tasks))).alias("_g"),
+        F.col("_m").alias("_m"), F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own")
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["_a"].iloc[0], rows["_b"].iloc[0]
+        left, right = (rows, rows) if a == b else (rows[rows["_own"] == a], rows[rows["_own"] == b])
+        if left.empty or right.empty:
+            return pd.DataFrame({"cls": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+        x, y = _unit(left.vec), _unit(right.vec)
+        u, v = left.group.to_numpy(), right.group.to_numpy()
+        here, there = left["size"].to_numpy(np.int64), right["size"].to_numpy(np.int64)
+        n, back = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for k in range(0, len(x), 512):
+            near = (x[k:k + 512] @ y.T >= threshold) & (u[k:k + 512, None] == v[None, :])
+            if a == b:
+                near[np.arange(len(near)), np.arange(k, k + len(near))] = False
+            n[k:k + 512] = near @ there
+            back += here[k:k + 512] @ near
+        if a == b:
+            return pd.DataFrame({"cls": left.cls, "n": n})
+        return pd.DataFrame({"cls": np.concatenate([left.cls, right.cls]), "n": np.concatenate([n, back])})
+
+    return dealt.groupBy("_m", "_g", "_a", "_b").applyInPandas(count, "cls bigint, n bigint").groupBy("cls").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int = BLOCK_ROWS, recall: float = RECALL, passes: int | None = None,
@@ -129,15 +157,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block_rows: int
     made = None
     for k in range(passes):
         at = F.element_at("blocks", k + 1)
-        sides = ready.select("cls", "size", "vec", "blocks", F.explode(F.array(F.struct(at.alias("window"), F.lit(0).alias("side")), F.struct(
-            (at - 1).alias("window"), F.lit(1).alias("side")))).alias("_s")).select("cls", "size", "vec", "blocks", "_s.*")
-        part = sides.groupBy("window").applyInPandas(_comparer(k, threshold), "cls bigint, n bigint, root bigint")
+        sides = ready.select("cls", "vec", F.explode(F.array(F.struct(at.alias("window"), F.lit(0).alias("side")), F.struct(
+            (at - 1).alias("window"), F.lit(1).alias("side")))).alias("_s")).select("cls", "vec", "_s.*")
+        part = sides.groupBy("window").applyInPandas(_comparer(threshold), "cls bigint, root bigint")
         made = part if made is None else made.unionByName(part)
     made = stored(made)
-    counted = made.groupBy("cls").agg(F.sum("n").alias("n"))
-    edges = made.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
+    edges = made.select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels = components(ends, edges, []).select(F.col("node").alias("cls"), "component")
+    labels = stored(components(ends, edges, []).select(F.col("node").alias("cls"), "component"))
+    members = classes.select("cls", "size", "vec").join(labels.select("cls", F.col("component").alias("group")), "cls")
+    counted = _counted(members, threshold, block_rows)
     named = classes.select("cls", "least", "size").join(labels, "cls", "left").join(counted, "cls", "left") \
         .withColumn("group", F.coalesce("component", "cls"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -251,6 +251,22 @@ def test_vectors(spark):
     assert sum(r.n_links for r in small.values()) >= 0.9 * link.sum()
 
 
+def test_vectors_of_a_large_group(spark):
+    """A group of 4,500 distinct near copies, wider than a window, against brute force."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 16))
+    near = np.concatenate([base, base[:1] + rng.normal(scale=0.16, size=(4_500, 16)), base[1:100] + rng.normal(scale=0.05, size=(99, 16))])
+    table = spark.createDataFrame([(int(k), x.tolist()) for k, x in enumerate(near)], "vec_id bigint, embedding array<double>")
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = {k: int(n) for k, n in enumerate(link.sum(axis=1))}
+    assert max(want.values()) > 4_000
+    assert {r.vec_id: r.n_links for r in projection_dedup.near_duplicates(table).collect()} == want
+    small = {r.vec_id: r.n_links for r in projection_dedup.near_duplicates(table, block_rows=700).collect()}
+    assert all(small[k] == want[k] for k in [0, *range(300, 4_800)])
+
+
 def test_simhash(spark, rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = {}
