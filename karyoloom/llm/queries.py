@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import plain_unions
-from . import crf_language, disclosure, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
+from . import crf_language, disclosure, importance_resampling, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,9 +72,53 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup,
+                                    op13_importance_resampling)}
+
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce([i]::BIGINT[] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+
+def duck_crc32(text: str, table: str = "t") -> str:
+    """crc32 of the UTF-8 bytes of a text, with the column `t` of crc_table in reach."""
+    code = f"hex(encode({text}))"
+    return (f"xor(list_reduce([4294967295]::BIGINT[] || list_transform(range(length({code}) // 2), lambda k: ('0x' || substr({code}, 2 * k::INT + 1, 2))::BIGINT), "
+            f"lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)")
+
 
 ORACLES = {
+    "op13_importance_resampling": rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT doc_id, text, 0 AS side FROM documents UNION ALL SELECT NULL, text, 1 FROM benchmark),
+words AS (
+  SELECT doc_id, side, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+seen AS (SELECT doc_id, side, w, count(*) AS n FROM words GROUP BY doc_id, side, w),
+placed AS (SELECT w, {duck_crc32("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM seen), crc_table),
+totals AS (SELECT sum(n) FILTER (side = 0) AS big_s, sum(n) FILTER (side = 1) AS big_t FROM seen),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (side = 1), 0) + 1)::DOUBLE * (big_s + 10000)::DOUBLE
+                                 / ((coalesce(sum(n) FILTER (side = 0), 0) + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM seen JOIN placed USING (w), totals GROUP BY bucket, big_s, big_t),
+weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM seen JOIN placed USING (w) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights w USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)""",
     "op10_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, xs, generate_subscripts(xs, 1) AS pos, unnest(xs) AS line
