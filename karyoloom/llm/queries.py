@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import plain_unions
-from . import crf_language, disclosure, importance_resampling, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
+from . import conversation_repair, crf_language, disclosure, importance_resampling, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,12 +72,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The test damage of the conversation query: by a hash of conversation and turn a row is dropped, emptied, cut of its ends
+    of sentences, repeated or given to the user."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))            # noqa: E731
+    fault = F.pmod(F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")), F.lit(20))
+    rows = rows.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), fault.alias("fault")).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.sequence(F.lit(1), times)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, _ = conversation_repair.repair(damaged(rows), texts=False)
+    every = rows.select("conv_id").distinct()
+    joined = every.alias("e").join(report.alias("r"), F.col("e.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("e.conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup, op11_conversation_repair,
                                     op13_importance_resampling)}
 
 CRC_TABLE = """
@@ -95,6 +117,57 @@ def duck_crc32(text: str, table: str = "t") -> str:
 
 
 ORACLES = {
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE {CRC_TABLE},
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {duck_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, crc_table),
+bad AS (
+  SELECT conv_id, turn, copy, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hit WHERE fault <> 0)),
+put AS (
+  SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM bad WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy)),
+told AS (
+  SELECT *, substr(role, 1, 1) AS i, CASE WHEN t = '' THEN 3 WHEN seen > 1 THEN 2 WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM put),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 3) AS blank, count(*) FILTER (f = 2) AS duplicate,
+         count(*) FILTER (f = 1) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n
+  FROM told GROUP BY conv_id),
+-- cheapest (cost, edits, repaired turns) of the rows from k on, in the states start, system, user, assistant; inserts are tried last
+best AS (
+  SELECT conv_id, n + 1 AS k, {{'c': 0, 'e': '', 'r': []::VARCHAR[]}} AS q0, {{'c': 6, 'e': 'II', 'r': ['user:', 'assistant:']}} AS qs,
+         {{'c': 3, 'e': 'I', 'r': ['assistant:']}} AS qu, {{'c': 0, 'e': '', 'r': []::VARCHAR[]}} AS qa FROM sums
+  UNION ALL
+  SELECT conv_id, k,
+         list_min([g0, {{'c': gu.c + 3, 'e': 'I' || gu.e, 'r': list_prepend('user:', gu.r)}}, {{'c': ga.c + 6, 'e': 'II' || ga.e, 'r': ['user:', 'assistant:'] || ga.r}}]),
+         list_min([gs, {{'c': gu.c + 3, 'e': 'I' || gu.e, 'r': list_prepend('user:', gu.r)}}, {{'c': ga.c + 6, 'e': 'II' || ga.e, 'r': ['user:', 'assistant:'] || ga.r}}]),
+         list_min([gu, {{'c': ga.c + 3, 'e': 'I' || ga.e, 'r': list_prepend('assistant:', ga.r)}}]),
+         list_min([ga, {{'c': gu.c + 3, 'e': 'I' || gu.e, 'r': list_prepend('user:', gu.r)}}])
+  FROM (
+    SELECT b.conv_id, t.k,
+      list_min([{{'c': q0.c + 4, 'e': 'D' || q0.e, 'r': q0.r}},
+                {{'c': CASE WHEN f < 2 AND i = 's' THEN qs.c + 3 * f WHEN f < 2 AND i = 'u' THEN qu.c + 3 * f ELSE 1000000000 END,
+                 'e': 'K' || CASE i WHEN 's' THEN qs.e ELSE qu.e END, 'r': list_prepend(role || ':' || text, CASE i WHEN 's' THEN qs.r ELSE qu.r END)}},
+                {{'c': CASE WHEN f < 2 THEN qu.c + 3 + 3 * f ELSE 1000000000 END, 'e': 'R' || qu.e, 'r': list_prepend('user:' || text, qu.r)}}]) AS g0,
+      list_min([{{'c': qs.c + 4, 'e': 'D' || qs.e, 'r': qs.r}},
+                {{'c': CASE WHEN f < 2 AND i = 'u' THEN qu.c + 3 * f ELSE 1000000000 END, 'e': 'K' || qu.e, 'r': list_prepend(role || ':' || text, qu.r)}},
+                {{'c': CASE WHEN f < 2 THEN qu.c + 3 + 3 * f ELSE 1000000000 END, 'e': 'R' || qu.e, 'r': list_prepend('user:' || text, qu.r)}}]) AS gs,
+      list_min([{{'c': qu.c + 4, 'e': 'D' || qu.e, 'r': qu.r}},
+                {{'c': CASE WHEN f < 2 AND i = 'a' THEN qa.c + 3 * f ELSE 1000000000 END, 'e': 'K' || qa.e, 'r': list_prepend(role || ':' || text, qa.r)}},
+                {{'c': CASE WHEN f < 2 THEN qa.c + 3 + 3 * f ELSE 1000000000 END, 'e': 'R' || qa.e, 'r': list_prepend('assistant:' || text, qa.r)}}]) AS gu,
+      list_min([{{'c': qa.c + 4, 'e': 'D' || qa.e, 'r': qa.r}},
+                {{'c': CASE WHEN f < 2 AND i = 'u' THEN qu.c + 3 * f ELSE 1000000000 END, 'e': 'K' || qu.e, 'r': list_prepend(role || ':' || text, qu.r)}},
+                {{'c': CASE WHEN f < 2 THEN qu.c + 3 + 3 * f ELSE 1000000000 END, 'e': 'R' || qu.e, 'r': list_prepend('user:' || text, qu.r)}}]) AS ga
+    FROM best b JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.k = b.k - 1)),
+done AS (SELECT conv_id, q0 FROM best WHERE k = 1)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated,
+       coalesce(s.illegal, 0) AS illegal, coalesce(q0.c, 0)::BIGINT AS cost, coalesce(q0.e, '') AS audit, sha256(coalesce(array_to_string(q0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op13_importance_resampling": rf"""
 WITH {CRC_TABLE},
 texts AS (SELECT doc_id, text, 0 AS side FROM documents UNION ALL SELECT NULL, text, 1 FROM benchmark),
