@@ -6,8 +6,9 @@ are integers. The auction keeps a price for every node and a path from an origin
 below its best arc (cost plus price beyond), the price is raised to it and the path contracts; else the path extends along
 that arc, the one whose letter is least in ASCII among equals. Prices only rise and never pass the true distance, so an arc
 that was not tight when the path extended never becomes tight: a path that arrives has exact prices at all its nodes, and the
-arcs that it took spell the ASCII-least of the cheapest edits. Origins are taken from the back in steps of STEP rows and
-stop at nodes of exact price, which keeps the work in proportion to the rows.
+arcs that it took spell the ASCII-least of the cheapest edits. Origins are taken from the back in steps of STEP rows, each
+step begins with lower bounds on top of the exact prices behind it, and paths stop at nodes of exact price: this keeps the
+work in proportion to the rows.
 
 Rows are range-partitioned and sorted by conversation, turn, role and text, so that a conversation of any size is spread over
 tasks. A conversation that lies within one Arrow batch is solved there. One that crosses batches is a chain of pieces: each
@@ -55,21 +56,25 @@ class Lattice:
     def __init__(self, codes: bytes, beyond: list[int], inserts: bool, states: tuple[int, ...] = (START, SYSTEM, USER, ASSISTANT)):
         self.codes, self.inserts, self.states = codes, inserts, frozenset(states)
         n = len(codes)
-        least = min(beyond)
-        self.price = [0] * (4 * n) + list(beyond)
-        for k in range(n - 1, -1, -1):                            # lower bounds to begin with: the least that each row costs
-            fault, initial = divmod(codes[k], 4)
-            least += DELETE if fault >= 2 or (fault and initial == 3) else TRUNCATED if fault else REROLE if initial == 3 else 0
-            self.price[4 * k:4 * k + 4] = [least] * 4
-        self.chosen: list[tuple[str, int] | None] = [None] * (4 * n + 4)
-        self.exact = [False] * (4 * n) + [not inserts] * 4
         self.last = 4 * n
+        self.price = [0] * self.last + ([0] * 4 if inserts else list(beyond))
+        self.chosen: list[tuple[str, int] | None] = [None] * (self.last + 4)
+        self.exact = [False] * self.last + [not inserts] * 4
         if inserts:
-            self.price[self.last:] = [0] * 4
-        for at in range(n if inserts else n - 1, 0, -1):
-            if at % STEP == 0:
+            for state in self.states:
+                self.auction(self.last + state)
+        high = n
+        while high:
+            low = (high - 1) // STEP * STEP
+            least = min(self.price[4 * high + s] for s in self.states)
+            for k in range(high - 1, low - 1, -1):                # lower bounds to begin with: the least that each row costs
+                fault, initial = divmod(codes[k], 4)
+                least += DELETE if fault >= 2 or (fault and initial == 3) else TRUNCATED if fault else REROLE if initial == 3 else 0
+                self.price[4 * k:4 * k + 4] = [least] * 4
+            if low:
                 for state in self.states:
-                    self.auction(4 * at + state)
+                    self.auction(4 * low + state)
+            high = low
 
     def arcs(self, node: int) -> list[tuple[str, int, int]]:
         """(letter, cost, node) in the order of the letters."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import plain_unions
-from . import conversation_repair, crf_language, disclosure, importance_resampling, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
+from . import conversation_repair, crf_language, disclosure, hashed_maxent, importance_resampling, latent_decontam, line_dedup, lookup_shards, mixing, projection_dedup, token_store, toxicity, vantage_simhash
 from .common import crc_part
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -94,12 +94,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_part("doc_id", 10) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return hashed_maxent.score_corpus(docs, ~F.col("held_out"), F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10), keep=["doc_id", "held_out"])
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup, op11_conversation_repair,
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_lookup_shards, op3_crf_language, op4_source_mix, op5_latent_decontam, op6_toxicity, op7_projection_dedup, op8_vantage_simhash, op9_disclosure, op10_line_dedup, op11_conversation_repair, op12_hashed_maxent,
                                     op13_importance_resampling)}
 
 CRC_TABLE = """
