@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..core import idiv
+from ..core import cut, idiv
 from ..functions.groups import greedy
 from ..functions.intervals import pair_tiles
 from ..functions.ranks import top_k
@@ -153,32 +153,117 @@ def max_span(beads: DataFrame, by: list[str] = ONE) -> DataFrame:
     return best.join(pairs, by, "left").select(*by, F.greatest("_best", "_p").alias("span"))
 
 
+LEAF, DEPTH = 256, 10            # beads of a leaf of the cell tree; halvings of a cell's edge
+
+
+def _cells(beads: DataFrame, r: float | Column, by: list[str]) -> DataFrame:
+    """Beads with their radius and cubic cell of that edge."""
+    rad = F.lit(float(r)) if isinstance(r, (int, float)) else r
+    c = beads.withColumn("_rad", rad).filter(F.col("_rad") > 0)
+    return c.select(*by, "bead", *XYZ, "_rad", *[F.floor(F.col(k) / F.col("_rad")).alias(f"c{k}") for k in XYZ])
+
+
+def _crowded(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells with more beads than a leaf may have."""
+    return cut(cells.groupBy(*by, "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LEAF))
+
+
+def _tree(cells: DataFrame, crowded: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Beads with `_leaf` (null outside crowded cells), and the leaves with their count and bounding box. A crowded cell is
+    halved in each direction until a part has at most LEAF beads; beads that share one part at the last level are dealt to
+    leaves of about that size by a hash. All levels are counted in one pass."""
+    cell = [*by, "cx", "cy", "cz"]
+    inside = cells.join(crowded.select(*cell), cell, "left_semi")
+    place = [F.floor((F.col(k) / F.col("_rad") - F.col(f"c{k}")) * F.pow(F.lit(2.0), F.col("_level"))).alias(f"_{k}") for k in XYZ]
+    parts = inside.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(DEPTH)))).select(*cell, "bead", *XYZ, "_level", F.struct("_level", *place).alias("_part"))
+    sizes = parts.groupBy(*cell, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    fits = parts.join(sizes, [*cell, "_part"]).filter((F.col("_n") <= LEAF) | (F.col("_level") == DEPTH))
+    own = fits.groupBy(*cell, "bead", *XYZ).agg(F.min_by(F.struct("_part", "_n"), "_level").alias("_p"))
+    share = F.pmod(F.xxhash64("bead", *XYZ), F.ceil(F.col("_p._n") / LEAF).cast("bigint"))
+    own = cut(own.select(*cell, "bead", *XYZ, F.struct(F.col("_p._part").alias("part"), share.alias("share")).alias("_leaf")))
+    boxes = own.groupBy(*cell, "_leaf").agg(F.count(F.lit(1)).alias("_n"), *[f(k).alias(f"_{k}_{n}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
+    return cells.join(own, [*cell, "bead", *XYZ], "left"), boxes
+
+
+def _surrounding(cells: DataFrame, by: list[str], all_sides: bool) -> DataFrame:
+    """Each bead at the cells around its own; without `all_sides` each pair of cells is visited once."""
+    steps = [(a, b, g) for a in (-1, 0, 1) for b in (-1, 0, 1) for g in (-1, 0, 1) if all_sides or (a, b, g) >= (0, 0, 0)]
+    around = F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy"), (F.col("cz") + g).alias("cz"),
+                                F.lit((a, b, g) == (0, 0, 0)).alias("own")) for a, b, g in steps])
+    return cells.select(*by, F.col("bead").alias("_a"), *[F.col(k).alias(f"{k}_a") for k in XYZ], "_rad", F.inline(around))
+
+
+def _met(cells: DataFrame, by: list[str]) -> DataFrame:
+    leaf = ["_leaf"] if "_leaf" in cells.columns else []
+    return cells.select(*by, F.col("bead").alias("_b"), *[F.col(k).alias(f"{k}_b") for k in XYZ], "cx", "cy", "cz", *leaf)
+
+
+def _at_leaves(left: DataFrame, boxes: DataFrame, cell: list[str]) -> DataFrame:
+    """Beads at the leaves of crowded cells that reach into their radius, `_whole` where the leaf lies within it; beads at
+    other cells once, with a null leaf."""
+    near = lambda k: F.greatest(F.col(f"_{k}_lo") - F.col(f"{k}_a"), F.col(f"{k}_a") - F.col(f"_{k}_hi"), F.lit(0.0))              # noqa: E731
+    far = lambda k: F.greatest(F.col(f"_{k}_hi") - F.col(f"{k}_a"), F.col(f"{k}_a") - F.col(f"_{k}_lo"))                          # noqa: E731
+    length = lambda f: F.sqrt(sum((F.pow(f(k), F.lit(2)) for k in XYZ), F.lit(0.0)))                                              # noqa: E731
+    margin = 1e-9                                                # what rounding could decide is left to the beads themselves
+    joined = left.join(boxes, cell, "left").filter(F.col("_leaf").isNull() | (length(near) < F.col("_rad") * (1 + margin)))
+    return joined.withColumn("_whole", F.col("_leaf").isNotNull() & (length(far) < F.col("_rad") * (1 - margin))).drop(*[f"_{k}_{n}" for k in XYZ for n in ("lo", "hi")])
+
+
+def _beads_of_leaves(left: DataFrame, right: DataFrame, cell: list[str]) -> DataFrame:
+    met = F.col("l._leaf").eqNullSafe(F.col("r._leaf"))
+    for k in cell:
+        met = met & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    return left.alias("l").join(right.alias("r"), met).select("l.*", "_b", *[f"{k}_b" for k in XYZ])
+
+
 def neighbor_pairs(beads: DataFrame, r: float | Column, min_sep: int = 2, by: list[str] = ONE) -> DataFrame:
     """Pairs i < j with j - i >= min_sep closer than r (a number, or a column of the bead table): beads meet through cubic
-    cells of edge r; of the 27 surrounding cells each pair of cells is visited once."""
+    cells of edge r; of the 27 surrounding cells each pair of cells is visited once. Crowded cells are split into a tree, so
+    that a bead meets only leaves within its reach and a join key never holds more than a leaf."""
     by = list(by)
-    rad = F.lit(float(r)) if isinstance(r, (int, float)) else r
-    c = beads.withColumn("_rad", rad).filter(F.col("_rad") > 0)
-    c = c.select(*by, "bead", *XYZ, "_rad", *[F.floor(F.col(k) / F.col("_rad")).alias(f"c{k}") for k in XYZ])
-    half = [(a, b, g) for a in (-1, 0, 1) for b in (-1, 0, 1) for g in (-1, 0, 1) if (a, b, g) >= (0, 0, 0)]
-    cells = F.array(*[F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy"), (F.col("cz") + g).alias("cz"),
-                               F.lit((a, b, g) == (0, 0, 0)).alias("own")) for a, b, g in half])
-    left = c.select(*by, F.col("bead").alias("_a"), *[F.col(k).alias(f"{k}_a") for k in XYZ], "_rad", F.inline(cells))
-    right = c.select(*by, F.col("bead").alias("_b"), *[F.col(k).alias(f"{k}_b") for k in XYZ], "cx", "cy", "cz")
+    cell = [*by, "cx", "cy", "cz"]
+    c = _cells(beads, r, by)
+    crowded = _crowded(c, by)
+    if crowded.isEmpty():
+        met = _surrounding(c, by, False).join(_met(c, by), cell)
+    else:
+        tagged, boxes = _tree(c, crowded, by)
+        met = _beads_of_leaves(_at_leaves(_surrounding(c, by, False), boxes, cell), _met(tagged, by), cell)
     d = dist("_a", "_b")
-    hit = left.join(right, [*by, "cx", "cy", "cz"]).filter((~F.col("own") | (F.col("_a") < F.col("_b"))) & (d < F.col("_rad"))
-                                                           & (F.abs(F.col("_a") - F.col("_b")) >= min_sep))
+    hit = met.filter((~F.col("own") | (F.col("_a") < F.col("_b"))) & (d < F.col("_rad")) & (F.abs(F.col("_a") - F.col("_b")) >= min_sep))
     return hit.select(*by, F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j"), d.alias("d"))
 
 
+def neighbor_counts(beads: DataFrame, r: float | Column, min_sep: int = 2, by: list[str] = ONE) -> DataFrame:
+    """(by, bead, density) of the beads that have neighbours as in `neighbor_pairs`. In crowded cells a leaf within reach
+    counts as a whole and no pair is made; the beads closer than min_sep on the chain are counted apart and taken off."""
+    by = list(by)
+    cell = [*by, "cx", "cy", "cz"]
+    c = _cells(beads, r, by)
+    crowded = _crowded(c, by)
+    if crowded.isEmpty():
+        p = neighbor_pairs(beads, r, min_sep, by)
+        return p.select(*by, F.explode(F.array("i", "j")).alias("bead")).groupBy(*by, "bead").agg(F.count(F.lit(1)).alias("density"))
+    tagged, boxes = _tree(c, crowded, by)
+    at = _at_leaves(_surrounding(c, by, True), boxes, cell)
+    near = dist("_a", "_b") < F.col("_rad")
+    one = F.lit(1).cast("bigint")
+    whole = at.filter("_whole").groupBy(*by, "_a").agg(F.sum("_n").alias("_k"))
+    single = _beads_of_leaves(at.filter("NOT _whole"), _met(tagged, by), cell).filter(near).groupBy(*by, "_a").agg(F.count(one).alias("_k"))
+    steps = F.transform(F.sequence(F.lit(1 - min_sep), F.lit(min_sep - 1)), lambda k: F.col("_a") + k)
+    chain = _surrounding(c, by, False).filter("own").drop("cx", "cy", "cz").withColumn("_b", F.explode(steps))
+    chain = chain.join(_met(c, by).drop("cx", "cy", "cz"), [*by, "_b"]).filter(near).groupBy(*by, "_a").agg((-F.count(one)).alias("_k"))
+    counted = whole.unionByName(single).unionByName(chain).groupBy(*by, F.col("_a").alias("bead")).agg(F.sum("_k").alias("density"))
+    return counted.filter("density > 0")
+
+
 def proximity_contacts(beads: DataFrame, b0: float, radius_b0: float = 1.5, by: list[str] = ONE) -> DataFrame:
     return neighbor_pairs(beads, radius_b0 * b0, 1, by).select(*by, "i", "j", F.lit(1.0).alias("cnt"))
 
 
 def local_density(beads: DataFrame, r: float | Column, min_sep: int = 2, by: list[str] = ONE) -> DataFrame:
     """Non-bonded beads within r of each bead, zeros included."""
-    p = neighbor_pairs(beads, r, min_sep, by)
-    k = p.select(*by, F.explode(F.array("i", "j")).alias("bead")).groupBy(*by, "bead").agg(F.count(F.lit(1)).alias("density"))
+    k = neighbor_counts(beads, r, min_sep, by)
     return beads.join(k, [*by, "bead"], "left").na.fill(0, ["density"])
 
 
