@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..core import cut
-from .intervals import within
 
 
 def runs(df: DataFrame, by: list[str], pos: str, gap: int = 0, min_len: int = 1, equal: list[str] = ()) -> DataFrame:
@@ -21,30 +22,62 @@ def runs(df: DataFrame, by: list[str], pos: str, gap: int = 0, min_len: int = 1,
     return out.filter(F.col("length") >= min_len).drop("_isl")
 
 
+BLOCK = (8192, 256, 64)          # places along each coordinate of a block, by the number of coordinates
+OPEN, KEPT, DROPPED = 0, 1, 2
+
+
+def _settled(order: np.ndarray, points: np.ndarray, state: np.ndarray, own: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """States after going through `order`, best first. A row near a kept one is dropped; one with a better open row near it
+    stays open, and so does one of the halo, whose neighbours are not all here; any other is kept."""
+    state = state.copy()
+    cells = points // (radius + 1)
+    steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * points.shape[1], indexing="ij"), axis=-1).reshape(-1, points.shape[1])
+    there: dict[tuple, list[int]] = {}
+    for k in np.flatnonzero(state == KEPT):
+        there.setdefault(tuple(cells[k]), []).append(k)
+    for k in order:
+        if state[k] == KEPT:
+            continue
+        near = [m for s in steps for m in there.get(tuple(cells[k] + s), ()) if (np.abs(points[m] - points[k]) <= radius).all()]
+        if any(state[m] == KEPT for m in near):
+            state[k] = DROPPED
+            continue
+        state[k] = OPEN if near or not own[k] else KEPT
+        there.setdefault(tuple(cells[k]), []).append(k)
+    return state
+
+
 def greedy(df: DataFrame, by: list[str], coords: list[str], radius: list[int], score: str = "score") -> DataFrame:
-    """Take the best score, drop everything within `radius` of it, repeat. Each round keeps every row that beats all its
-    live neighbours: the same set as one row at a time under (score desc, coords)."""
-    by = list(by)
-    cols = df.columns
-    live = cut(df.select(*by, *coords, score))
-    kept = None
-    while not live.isEmpty():
-        other = live.select(*by, *[F.col(c).alias(f"_{c}") for c in coords], F.col(score).alias("_s"))
-        near = within(live, other, by, [(c, f"_{c}") for c in coords], radius)
-        tie = F.lit(False)
-        for c in reversed(coords):
-            tie = (F.col(f"_{c}") < F.col(c)) | ((F.col(f"_{c}") == F.col(c)) & tie)
-        better = (F.col("_s") > F.col(score)) | ((F.col("_s") == F.col(score)) & tie)
-        # one pass over neighbours: a row wins when nothing near is better
-        best = near.groupBy(*by, *coords, score).agg(F.max(better).alias("_lost"))
-        win = cut(best.filter(~F.col("_lost")).select(*by, *coords, score))
-        kept = win if kept is None else kept.unionByName(win)
-        gone = within(live, win.select(*by, *[F.col(c).alias(f"_{c}") for c in coords]), by,
-                      [(c, f"_{c}") for c in coords], radius).select(*by, *coords)
-        live = cut(live.join(gone, [*by, *coords], "left_anti"))
-    if kept is None:
-        return df.limit(0)
-    return df.join(kept.select(*by, *coords), [*by, *coords], "left_semi").select(*cols)
+    """Take the best score, drop everything within `radius` of it, repeat; ties go to the smaller coordinates. The axis is cut
+    into blocks wider than the radius, and a task settles all rows of a block that don't hang on open rows outside it. The
+    next round cuts at the middles of these blocks, so a round carries a chain of falling scores on by half a block: the same
+    set as one row at a time, in rounds that follow from the longest such chain in blocks, not in rows. A null score is the
+    least."""
+    by, n = list(by), len(coords)
+    width = [max(BLOCK[min(n, len(BLOCK)) - 1], 32 * (r + 1)) for r in radius]
+    reach = np.array(radius)
+    rows = df.select(*by, *coords, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("_s")).distinct()
+    live = rows.withColumn("_state", F.lit(OPEN))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in live.schema)
+    at, own = [f"_at{k}" for k in range(n)], [f"_own{k}" for k in range(n)]
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        mine = (frame[at].to_numpy() == frame[own].to_numpy()).all(axis=1)
+        points = frame[coords].to_numpy(np.int64)
+        order = np.lexsort([*points.T[::-1], -frame["_s"].to_numpy(float)])
+        frame["_state"] = _settled(order, points, frame["_state"].to_numpy(np.int32), mine, reach)
+        return frame.loc[mine & (frame["_state"] != DROPPED).to_numpy(), [*by, *coords, "_s", "_state"]]
+
+    turn = 0
+    while True:
+        placed = live
+        for c, w, r, a, o in zip(coords, width, radius, at, own):
+            moved = F.col(c) + (turn % 2) * (w // 2)
+            placed = placed.withColumn(o, F.floor(moved / w)).withColumn(a, F.explode(F.sequence(F.floor((moved - r) / w), F.floor((moved + r) / w))))
+        live = cut(placed.groupBy(*by, *at).applyInPandas(settle, kinds))
+        if live.filter(F.col("_state") == OPEN).isEmpty():
+            return df.join(live.select(*by, *coords), [*by, *coords], "left_semi").select(*df.columns)
+        turn += 1
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str = "node", a: str = "a",

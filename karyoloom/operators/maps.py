@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import MAP, idiv
 from ..functions.groups import runs
-from ..functions.intervals import pair_tiles
+from ..functions.blocks import coinciding
 from ..functions.ranks import quantiles, spearman
 from ..functions.stats import median
 
@@ -53,16 +53,15 @@ def expected(contacts: DataFrame, sizes: DataFrame, by: list[str] = MAP) -> Data
 
 def valid_pairs(sizes: DataFrame, weights: DataFrame, max_d: Column, by: list[str] = MAP) -> DataFrame:
     """Pairs at each separation with both bins valid: all pairs, minus those with an invalid left or right bin, plus
-    those with both invalid. Only invalid bins are expanded, and they are few."""
+    those with both invalid, which come from correlating the mask of invalid bins with itself, block by block."""
     by = list(by)
     lim = sizes.select(*by, "n", max_d.alias("_max"))
     bad = weights.filter(F.col("weight").isNull() | ~(F.col("weight") > 0)).select(*by, "bin").join(lim, by)
     last = F.col("_max") - 1
     left = bad.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.least(last, F.col("n") - 1 - F.col("bin")))).alias("d"))
     right = bad.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.least(last, F.col("bin")))).alias("d"))
-    both = pair_tiles(bad, by, "bin", ["_max"]).select(*by, (F.col("j") - F.col("i")).alias("d"), F.col("_max_i").alias("_max"))
-    both = both.filter(F.col("d") < F.col("_max")).select(*by, "d").unionByName(bad.select(*by, F.lit(0).cast("long").alias("d")))
-    lost = (left.unionByName(right).withColumn("_k", F.lit(-1)).unionByName(both.withColumn("_k", F.lit(1)))
+    both = coinciding(bad, by, "bin").withColumnRenamed("k", "_k")
+    lost = (left.unionByName(right).withColumn("_k", F.lit(-1).cast("long")).unionByName(both)
             .groupBy(*by, "d").agg(F.sum("_k").alias("_k")))
     grid = lim.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     n = F.greatest(F.col("n") - F.col("d"), F.lit(0)) + F.coalesce("_k", F.lit(0))

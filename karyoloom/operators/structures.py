@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..core import cut, idiv
+from ..functions.blocks import distance_moments, log_distance_sums
 from ..functions.groups import greedy
 from ..functions.intervals import pair_tiles
 from ..functions.ranks import top_k
@@ -102,19 +103,27 @@ def log_distances(beads: DataFrame, s_min: int = 1, s_max: int | None = None, by
     return p.select(*by, (F.col("j") - F.col("i")).alias("s"), F.when(d > 0, F.ln(d)).alias("ld")).filter(F.col("ld").isNotNull())
 
 
+def _known(beads: DataFrame) -> DataFrame:
+    return beads.filter(" AND ".join(f"{c} IS NOT NULL" for c in XYZ))
+
+
 def decay_fit(beads: DataFrame, s_min: int = 1, s_max: int | None = None, by: list[str] = ONE) -> DataFrame:
-    p = log_distances(beads, s_min, s_max, by).withColumn("ls", F.ln("s"))
-    return p.groupBy(*by).agg(F.when((F.count(F.lit(1)) >= 3) & (F.min("s") < F.max("s")), F.regr_slope("ld", "ls")).alias("gamma"),
-                              F.when((F.count(F.lit(1)) >= 3) & (F.min("s") < F.max("s")), F.regr_r2("ld", "ls")).alias("r2"))
+    """Slope and fit of ln d on ln s over all pairs of a separation window, from sums per separation."""
+    m = log_distance_sums(_known(beads), list(by), "bead", XYZ, s_min, s_max).withColumn("_l", F.ln("s"))
+    c = m.groupBy(*by).agg(F.sum("k").alias("_n"), F.sum(F.col("k") * F.col("_l")).alias("_x"), F.sum(F.col("k") * F.col("_l") * F.col("_l")).alias("_xx"), F.sum("one").alias("_y"),
+                           F.sum("two").alias("_yy"), F.sum(F.col("_l") * F.col("one")).alias("_xy"), ((F.sum("k") >= 3) & (F.min("s") < F.max("s"))).alias("_ok"))
+    sxx, syy = F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_n"), F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_n")
+    sxy = F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n")
+    return c.select(*by, F.when(F.col("_ok"), sxy / sxx).alias("gamma"), F.when(F.col("_ok"), F.when(syy > 0, sxy * sxy / (sxx * syy)).otherwise(1.0)).alias("r2"))
 
 
 def decay_bins(beads: DataFrame, by: list[str] = ONE, points: int = 30) -> DataFrame:
     """Geometric means of separation and distance in log-spaced separation classes."""
-    p = log_distances(beads, by=by).groupBy(*by, "s").agg(F.sum("ld").alias("_d"), F.count(F.lit(1)).alias("_k"))
+    p = cut(log_distance_sums(_known(beads), list(by), "bead", XYZ, 1, None))
     top = p.groupBy(*by).agg(F.max("s").alias("_top")).select(*by, log_grid(F.greatest(F.lit(2), F.col("_top")), points).alias("_e"))
     c = p.join(top, list(by)).withColumn("class", F.size(F.filter("_e", lambda e: e <= F.col("s"))))
-    k = F.sum("_k")
-    return c.groupBy(*by, "class").agg(F.exp(F.sum(F.ln("s") * F.col("_k")) / k).alias("s"), F.exp(F.sum("_d") / k).alias("d"))
+    n = F.sum("k")
+    return c.groupBy(*by, "class").agg(F.exp(F.sum(F.ln("s") * F.col("k")) / n).alias("s"), F.exp(F.sum("one") / n).alias("d"))
 
 
 def gyration_shape(beads: DataFrame, by: list[str] = ONE) -> DataFrame:
@@ -140,20 +149,46 @@ def gyration_shape(beads: DataFrame, by: list[str] = ONE) -> DataFrame:
 
 
 def max_span(beads: DataFrame, by: list[str] = ONE) -> DataFrame:
-    """Exact diameter. Only beads that could belong to a pair longer than a known distance are paired."""
+    """Exact diameter by a tree of boxes. A first bound is the distance from the bead furthest from the centre to the one
+    furthest from it. Boxes of the beads are paired; a pair stays if its furthest corners are further apart than the bound,
+    which nearest corners raise; the boxes that stay are halved in each direction until they hold at most SPAN_LEAF beads, and only
+    the beads of the last pairs of boxes are compared."""
     by = list(by)
+    allow = 1 - 1e-9                                              # keeps the outermost pair itself
     c = beads.groupBy(*by).agg(*[F.avg(k).alias(f"{k}_c") for k in XYZ])
     d = beads.join(c, by).withColumn("_r", F.sqrt(sum((F.pow(F.col(k) - F.col(f"{k}_c"), 2) for k in XYZ), F.lit(0.0))))
     far = d.groupBy(*by).agg(F.max("_r").alias("_rmax"), F.max_by(F.struct(*XYZ), F.struct("_r", F.negative("bead"))).alias("_far"))
     d = d.join(far, by).withColumn("_to", F.sqrt(sum((F.pow(F.col(k) - F.col(f"_far.{k}"), 2) for k in XYZ), F.lit(0.0))))
-    best = d.groupBy(*by).agg(F.max("_to").alias("_best"))
-    # a small allowance keeps the outermost pair itself among the candidates
-    cand = d.join(best, by).filter(F.col("_r") + F.col("_rmax") > F.col("_best") * (1 - 1e-9)).select(*by, "bead", *XYZ)
-    pairs = pair_tiles(cand, by, "bead", XYZ).groupBy(*by).agg(F.max(dist("_i", "_j")).alias("_p"))
-    return best.join(pairs, by, "left").select(*by, F.greatest("_best", "_p").alias("span"))
+    best = cut(d.groupBy(*by).agg(F.max("_to").alias("_best"), F.max("_rmax").alias("_rmax"), *[F.min(k).alias(f"{k}_0") for k in XYZ],
+                                  F.greatest(*[F.max(k) - F.min(k) for k in XYZ]).alias("_edge")))
+    live = cut(d.drop("_rmax").join(best, by).filter((F.col("_r") + F.col("_rmax") > F.col("_best") * allow) & (F.col("_edge") > 0)).select(*by, *XYZ, "_edge", *[f"{k}_0" for k in XYZ]))
+    place = lambda level: F.struct(*[F.floor(F.least((F.col(k) - F.col(f"{k}_0")) / F.col("_edge") * 2 ** level, F.lit(2.0 ** level - 1))).alias(k) for k in XYZ])      # noqa: E731
+    box = [F.count(F.lit(1)).alias("n"), *[f(k).alias(f"{k}_{n}") for k in XYZ for n, f in (("lo", F.min), ("hi", F.max))]]
+    longest = lambda f: F.sqrt(sum((F.pow(f(k), F.lit(2)) for k in XYZ), F.lit(0.0)))                       # noqa: E731
+    apart = lambda k: F.greatest(F.col(f"_i.{k}_hi") - F.col(f"_j.{k}_lo"), F.col(f"_j.{k}_hi") - F.col(f"_i.{k}_lo"))                     # noqa: E731
+    gap = lambda k: F.greatest(F.col(f"_i.{k}_lo") - F.col(f"_j.{k}_hi"), F.col(f"_j.{k}_lo") - F.col(f"_i.{k}_hi"), F.lit(0.0))           # noqa: E731
+    bound, level, pairs = best.select(*by, "_best"), 1, None
+    while True:
+        boxes = live.groupBy(*by, place(level - 1).alias("_up"), place(level).alias("_cell")).agg(*box)
+        side = lambda k: boxes.select(*by, F.col("_up").alias(f"_up{k}"), F.col("_cell").alias(f"_cell{k}"), F.struct(*boxes.columns[-7:]).alias(k))      # noqa: E731, B023
+        tried = side("_i").join(side("_j"), by).filter(F.col("_cell_i") <= F.col("_cell_j")) if pairs is None else pairs.join(side("_i"), [*by, "_up_i"]).join(side("_j"), [*by, "_up_j"])
+        # parts of one box meet once, parts of two boxes as the boxes did
+        tried = tried.filter((F.col("_up_i") != F.col("_up_j")) | (F.col("_cell_i") <= F.col("_cell_j"))).select(*by, "_cell_i", "_cell_j", longest(apart).alias("_most"), longest(gap).alias("_least"),
+                                                                          F.greatest("_i.n", "_j.n").alias("_n"))
+        tried = cut(tried)
+        bound = cut(bound.join(tried.groupBy(*by).agg(F.max("_least").alias("_l")), by, "left").select(*by, F.greatest("_best", "_l").alias("_best")))
+        kept = tried.join(bound, by).filter(F.col("_most") > F.col("_best") * allow)
+        if level >= DEPTH or (kept.agg(F.max("_n")).first()[0] or 0) <= SPAN_LEAF:
+            break
+        pairs = kept.select(*by, F.col("_cell_i").alias("_up_i"), F.col("_cell_j").alias("_up_j"))
+        level += 1
+    own = lambda k: live.select(*by, place(level).alias(f"_cell{k}"), *[F.col(c).alias(f"{c}{k}") for c in XYZ])              # noqa: E731
+    last = kept.select(*by, "_cell_i", "_cell_j").join(own("_i"), [*by, "_cell_i"]).join(own("_j"), [*by, "_cell_j"]).groupBy(*by).agg(F.max(dist("_i", "_j")).alias("_p"))
+    return bound.join(last, by, "left").select(*by, F.greatest("_best", "_p").alias("span"))
 
 
 LEAF, DEPTH = 256, 10            # beads of a leaf of the cell tree; halvings of a cell's edge
+SPAN_LEAF = 64                   # beads of the last boxes of the diameter
 
 
 def _cells(beads: DataFrame, r: float | Column, by: list[str]) -> DataFrame:
@@ -279,19 +314,12 @@ def overlaps(beads: DataFrame, b0: float = B0_NM, d_min: float | None = None, to
                                               F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("deepest", F.lit(0.0)).alias("deepest"), "closest")
 
 
-def distance_correlation(a: DataFrame, b: DataFrame, pairs_per_bead: int = 32, seed: int = 0, by: list[str] = ONE) -> DataFrame:
-    """Correlation of pair distances of two conformations over hash-drawn pairs (a sampling operator: each bead draws a
-    fixed number of partners)."""
+def distance_correlation(a: DataFrame, b: DataFrame, by: list[str] = ONE) -> DataFrame:
+    """Correlation of the distances of all pairs of beads in two conformations."""
     by = list(by)
-    both = a.select(*by, "bead", *[F.col(c).alias(f"{c}1") for c in XYZ]).join(b.select(*by, "bead", *[F.col(c).alias(f"{c}2") for c in XYZ]), [*by, "bead"])
-    n = both.groupBy(*by).agg(F.max("bead").alias("_top"))
-    six = [f"{c}{k}" for c in XYZ for k in (1, 2)]
-    left = both.join(n, by).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(pairs_per_bead))))
-    left = left.select(*by, F.col("bead").alias("_i"), F.floor(uniform(F.lit(seed), F.col("bead"), F.col("_k"), *[F.col(k) for k in by]) * (F.col("_top") + 1)).cast("long").alias("_j"),
-                       *[F.col(c).alias(f"{c}a") for c in six])
-    right = both.select(*by, F.col("bead").alias("_j"), *[F.col(c).alias(f"{c}b") for c in six])
-    p = left.filter("_i <> _j").join(right, [*by, "_j"])
-    return p.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.corr(dist("1a", "1b"), dist("2a", "2b")).alias("correlation"))
+    side = lambda x, k: _known(x).select(*by, "bead", *[F.col(c).alias(f"{c}{k}") for c in XYZ])              # noqa: E731
+    both = side(a, 1).join(side(b, 2), [*by, "bead"])
+    return distance_moments(both, by, "bead", [f"{c}1" for c in XYZ], [f"{c}2" for c in XYZ])
 
 
 def rotation(moments: DataFrame, allow_reflection: bool = True) -> DataFrame:

@@ -118,7 +118,10 @@ def _(t):
     return S.local_density(t("v_beads"), 150.0).select("structure", "bead", "density")
 
 
-@query("distance_correlation", "E10")
+@query("distance_correlation", "E10", f"""WITH f AS (SELECT p.structure, p.bead, p.x, p.y, p.z, q.x AS x2, q.y AS y2, q.z AS z2 FROM v_frames p JOIN v_frames q ON p.structure = q.structure AND p.bead = q.bead
+  AND p.frame = 0 AND q.frame = 3)
+SELECT a.structure, count(*) AS pairs, round(corr(sqrt({D2}), sqrt(pow(a.x2 - b.x2, 2) + pow(a.y2 - b.y2, 2) + pow(a.z2 - b.z2, 2))), 6) AS correlation
+FROM f a JOIN f b ON a.structure = b.structure AND a.bead < b.bead GROUP BY a.structure""")
 def _(t):
     f = t("v_frames")
     return r(S.distance_correlation(f.filter("frame = 0"), f.filter("frame = 3")), "correlation")
