@@ -7,14 +7,17 @@ levels of a minimal perfect hash, a 32-bit fingerprint per slot, and the places
 each slot, so that a key is found by a few probes whatever the size of the store.
 
 Defined cases: a null text is empty; an empty text has only the end id; rows with equal or null ids are all kept, nulls
-first, equal ids by the hash of their text (a lookup of an id returns all its rows, a null key finds nothing); an empty
-table gives an empty store; columns other than the two named are ignored. Texts of any length are encoded whole.
+first, equal ids by the hash of their text (a lookup of an id, or of null, returns all its rows; in the index null stands as
+the least long, which no document may have as its id); an empty table gives an empty store; columns other than the two named are ignored. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,74 +33,91 @@ INDEX = ("bucket bigint, n_keys int, levels array<binary>, fingerprints binary,
 CHUNK_BYTES = 1 << 20
 KEYS_PER_BUCKET = 20_000
 LATIN_END = "ɐ"                # letters below are stable under NFC and have one lower case, but for U+0130
-MEMO_ROWS = 400_000                 # words a worker remembers before it starts anew
+MEMO_WORDS = 400_000            # words a worker remembers before it starts anew
+
+
+# fixed values: the normaliser and the split of the tokenizers that can be read word by word
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LENGTH_BITS = 32
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins text over white space. Words are encoded once and looked up after."""
+    """Ids of texts by a tokenizer. One that lower-cases and splits as above never joins text over white space: its words are
+    encoded once and looked up after. Any other encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.size = self.tokenizer.get_vocab_size()
+        told = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (told["normalizer"] or {}).get("normalizers", [])]
+        splits = [(p["type"], (p.get("pattern") or {}).get("Regex")) for p in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = steps == NORMALIZER and splits == [("Split", SPLIT), ("ByteLevel", None)] and told["model"]["type"] == "BPE"
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         other = iter(range(256, 512))
         self.byte_chars = {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros(4096, np.uint32), 0
-
-    def _piece(self, word: str) -> list[int]:
-        """Ids of one pre-token, given in lower case. The memo holds their place in the table, length in the low bits."""
-        got = self.pieces.get(word)
-        if got is None:
-            mapped = word.encode().decode("latin-1").translate(self.byte_chars)
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            if len(ids) < 1 << 20:
-                self.pieces[word] = self._keep(ids) << 20 | len(ids)
-            return ids
-        start, n = got >> 20, got & ((1 << 20) - 1)
-        return self.flat[start:start + n].tolist()
-
-    def _keep(self, ids: list[int]) -> int:
-        n = len(ids)
-        while self.used + n > len(self.flat):
+        """Words and their lower-cased letters have a place in `flat`: start, and length in the low bits."""
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _append(self, lists: list[list[int]]) -> list[int]:
+        """Places of lists of ids that join the table in one go."""
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(lengths.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + n] = ids
-        self.used += n
-        return self.used - n
-
-    def _encode(self, word: str) -> list[int]:
-        core = word.rstrip(".,")
-        if core.isalpha() and max(core) < LATIN_END and "İ" not in core:
-            ids = self._piece(core.lower())
-            return ids + self._piece(word[len(core):]) if len(core) < len(word) else ids
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _row(self, word: str) -> int:
-        got = self.rows.get(word)
-        if got is None:
-            ids = self._encode(word)
-            got, n = len(self.rows), len(ids)
-            if got == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * got), np.resize(self.lengths, 2 * got)
-            self.rows[word], self.starts[got], self.lengths[got] = got, self._keep(ids), n
-        return got
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += total
+        return (starts << LENGTH_BITS | lengths).tolist()
+
+    def _ids(self, place: int) -> list[int]:
+        start = place >> LENGTH_BITS
+        return self.flat[start:start + (place & ((1 << LENGTH_BITS) - 1))].tolist()
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters with no or some points and commas behind: the letters are looked up in lower case, and tokenised if
+        they are new. Other words go through the whole tokenizer."""
+        simple, other = [], []
+        for w in words:
+            core = w.rstrip(".,")
+            if core.isalpha() and max(core) < LATIN_END and "İ" not in core:
+                simple.append((w, core.lower(), w[len(core):]))
+            else:
+                other.append(w)
+        new = list(dict.fromkeys(p for _, core, tail in simple for p in (core, tail) if p not in self.pieces))
+        chars, tokenize = self.byte_chars, self.model.tokenize
+        self.pieces.update(zip(new, self._append([[t.id for t in tokenize(p.encode().decode("latin-1").translate(chars))] for p in new])))
+        self.words.update((w, self.pieces[core]) for w, core, tail in simple if not tail)
+        tailed = [(w, core, tail) for w, core, tail in simple if tail]
+        ends = {tail: self._ids(self.pieces[tail]) for _, _, tail in tailed}
+        self.words.update(zip((w for w, _, _ in tailed), self._append([self._ids(self.pieces[core]) + ends[tail] for _, core, tail in tailed])))
+        self.words.update(zip(other, self._append([e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts)."""
+        if not self.by_word:
+            whole_texts = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            offsets = np.concatenate([[0], np.cumsum([len(e.ids) for e in whole_texts], dtype=np.int64)]).astype(np.int64)
+            return np.fromiter(chain.from_iterable(e.ids for e in whole_texts), np.uint32, int(offsets[-1])), offsets
         codes, words, offsets = coded_words(texts)
-        if len(self.rows) > MEMO_ROWS:
+        if len(self.words) > MEMO_WORDS:
             self._clear()
-        rows = np.fromiter(map(self._row, words.to_pylist()), np.int64, len(words))
-        lengths = self.lengths[rows][codes]
-        ids = self.flat[ragged(self.starts[rows][codes], lengths)]
-        return ids, np.concatenate([[0], np.cumsum(lengths)])[offsets]
+        names = words.to_pylist()
+        known = self.words
+        gc.disable()             # many small lists, none in a cycle: looking for cycles would take a third of the time
+        try:
+            self._learn([w for w in names if w not in known])
+        finally:
+            gc.enable()
+        places = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[codes]
+        lengths = places & ((1 << LENGTH_BITS) - 1)
+        return self.flat[ragged(places >> LENGTH_BITS, lengths)], np.concatenate([[0], np.cumsum(lengths)])[offsets]
 
 
 def _encoder(path: str) -> Encoder:
@@ -131,7 +151,7 @@ class Store:
 
     def places(self, keys: DataFrame, key: str) -> DataFrame:
         """(key, shard, chunk, position, documents) of each distinct key of `keys` that the store has."""
-        wanted = keys.select(F.col(key).cast("bigint").alias("key")).filter("key is not null").distinct()
+        wanted = keys.select(_told(F.col(key)).alias("key")).distinct()
         wanted = wanted.withColumn("bucket", _bucket(F.col("key"), self.buckets))
         return wanted.groupBy("bucket").cogroup(self.index().groupBy("bucket")).applyInPandas(
             _look_up, "key bigint, shard int, chunk int, position int, documents int")
@@ -156,7 +176,7 @@ class Store:
 
         by = ["shard", "chunk"]
         return self.places(keys, key).groupBy(*by).cogroup(self.payload().groupBy(*by)).applyInPandas(
-            read, "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids binary")
+            read, "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids binary").withColumn("doc_id", F.when(F.col("doc_id") != NO_KEY, F.col("doc_id")))
 
     def shard_starts(self) -> DataFrame:
         """(shard, base): ids of all shards before; one row per shard is ordered, not per document."""
@@ -166,6 +186,13 @@ class Store:
         return totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 
+NO_KEY = -(1 << 63)              # stands for null in the index
+
+
+def _told(key: Column) -> Column:
+    return F.coalesce(key.cast("bigint"), F.lit(NO_KEY))
+
+
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 
@@ -285,7 +312,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     made = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
     count = made.select(F.sum(F.size("doc_ids"))).first()[0] or 0
     buckets = max(1, math.ceil(count / KEYS_PER_BUCKET))
-    entries = (made.select("shard", "chunk", F.posexplode("doc_ids").alias("position", "key")).filter("key is not null")
+    entries = (made.select("shard", "chunk", F.posexplode("doc_ids").alias("position", "key")).withColumn("key", _told(F.col("key")))
                .groupBy("key", "shard", "chunk").agg(F.min("position").alias("position"), F.count(F.lit(1)).cast("int").alias("documents"))
                .withColumn("bucket", _bucket(F.col("key"), buckets)))
     entries.groupBy("bucket").applyInPandas(_build, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")

@@ -61,6 +61,25 @@ def test_encoder_equals_the_tokenizer():
         assert ids[ends[k]:ends[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_of_another_tokenizer_reads_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encoder.by_word and token_store.Encoder(queries.TOKENIZER).by_word
+    texts = ["It's a dog's 123  can't\n\n x", None, "", "İstanbul\tΣΑΣ", " a  b "]
+    ids, ends = encoder.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k]:ends[k + 1]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_encoder_forgets_words(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(token_store, "MEMO_WORDS", 3)
+    encoder = token_store.Encoder(queries.TOKENIZER)
+    for text in ["Zug Zug, zug. fährt", "Der Zug fährt 12", "a b c d e f", "Zug, zug"]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-2**62, 2**62, 5_000))
     levels = token_store._levels(keys)
