@@ -34,11 +34,12 @@ from .common import coded_words, field, free_memory, mix64, partitions, ragged,
 END = ""                         # the end token: no word is empty
 MOST_LOOKUP = 262_144            # tokens whose counts travel with the model
 HEADS, ANCHORS = 8_192, 32       # tokens put into classes by their neighbours; neighbours that are told apart
-GROUPS, SHAPES = 16, 16          # classes of heads, classes by the last two characters
-CLASSES, SLOTS = GROUPS + SHAPES, 32
+GROUPS, SHAPES = 16, 8           # classes of heads, classes by the last two characters
+CLASSES, SLOTS = GROUPS + SHAPES, 16
 ROWS, SLOT_ROWS = 1 << 15, 1 << 14
 BLOCK = 512                      # feature rows sent together
 ROUNDS, BATCH, RATE = 2, 8_192, 0.3
+LEARNER = 2_000_000              # training tokens that a task should have at least: what it sends doesn't shrink with its share
 SALTS = 16
 SMOOTH = 0.1
 
@@ -64,6 +65,19 @@ def shape_of(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % SHAPES
 
 
+class _Shapes(dict):
+    """Shape by the last two characters; a worker meets few of them."""
+
+    def __missing__(self, end: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[end] = shape_of(end)
+        return self[end]
+
+
+SHAPE_OF = _Shapes()
+
+
 # ---------------------------------------------------------------- tokens of a slice of texts
 
 @dataclass
@@ -83,12 +97,11 @@ def tokens_of(texts: pa.Array) -> Tokens:
     return Tokens(out, np.concatenate([[0], np.cumsum(n + 1)]), pa.concat_arrays([words.cast(pa.string()), pa.array([END], pa.string())]))
 
 
-def before(tokens: Tokens, back: int) -> np.ndarray:
-    """Code of the token `back` places before each; len(words) at the begin of a text."""
-    out = np.full(len(tokens.codes), len(tokens.words), np.int64)
-    out[back:] = tokens.codes[:-back] if back else tokens.codes
-    starts, n = tokens.offsets[:-1], np.diff(tokens.offsets)
-    out[ragged(starts, np.minimum(n, back))] = len(tokens.words)
+def before(values: np.ndarray, offsets: np.ndarray, back: int, begin: int) -> np.ndarray:
+    """The value `back` places before each; `begin` before a text."""
+    out = np.full(len(values), begin, values.dtype)
+    out[back:] = values[:-back]
+    out[ragged(offsets[:-1], np.minimum(np.diff(offsets), back))] = begin
     return out
 
 
@@ -146,6 +159,11 @@ def _sent(arrays: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], names=["block", "part", "data"])
 
 
+def fewer(texts: DataFrame, tokens: int) -> DataFrame:
+    """`texts` in no more tasks than their tokens are worth; partitions are read together, nothing is shuffled."""
+    return texts.coalesce(max(1, tokens // LEARNER))
+
+
 def neighbour_counts(texts: DataFrame, words: pa.Array, heads: int) -> np.ndarray:
     """How often each head stands before and behind each of the ANCHORS most frequent tokens."""
     width = 2 * ANCHORS
@@ -155,8 +173,9 @@ def neighbour_counts(texts: DataFrame, words: pa.Array, heads: int) -> np.ndarra
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 tokens = tokens_of(batch.column(0).slice(a, b - a))
-                known = np.append(pc.fill_null(pc.index_in(tokens.words, value_set=words.slice(0, heads)), heads).to_numpy(zero_copy_only=False), heads)
-                now, last = known[tokens.codes], known[before(tokens, 1)]
+                known = pc.fill_null(pc.index_in(tokens.words, value_set=words.slice(0, heads)), heads).to_numpy(zero_copy_only=False)
+                now = known[tokens.codes].astype(np.int64)
+                last = before(now, tokens.offsets, 1, heads)
                 up = (now < heads) & (last < ANCHORS)
                 total += np.bincount(now[up] * width + last[up], minlength=len(total))
                 down = (last < heads) & (now < ANCHORS)
@@ -202,7 +221,7 @@ def vocabulary(texts: DataFrame, counts: DataFrame) -> Vocabulary:
     top = counts.filter(F.col("n") >= (least if least is not None else 1 << 62)).toPandas().sort_values(["n", "token"], ascending=[False, True])
     words, n = pa.array(top["token"].tolist(), pa.string()), top["n"].to_numpy(np.int64)
     heads = min(HEADS, len(words))
-    group = grouped_heads(neighbour_counts(texts, words, heads), n) if heads else np.zeros(0, np.int64)
+    group = grouped_heads(neighbour_counts(fewer(texts, total), words, heads), n) if heads else np.zeros(0, np.int64)
     slot = np.zeros(heads, np.int64)
     for g in range(GROUPS):
         mine = np.flatnonzero(group == g)
@@ -241,11 +260,17 @@ class Maxent:
 
     def class_logits(self, c: "Coded", a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         hit = c.features(a, b)
-        return self.offset + self.rows[hit[0]] + self.rows[hit[1]] + self.rows[hit[2]], hit
+        logits = self.rows[hit[0]] + self.offset
+        logits += self.rows[hit[1]]
+        logits += self.rows[hit[2]]
+        return logits, hit
 
     def slot_logits(self, c: "Coded", at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hit = c.slot_features(at)
-        return self.slot_offset[c.cls[at]] + self.inner[hit[0]] + self.inner[hit[1]], hit
+        logits = self.slot_offset[c.cls[at]]
+        logits += self.inner[hit[0]]
+        logits += self.inner[hit[1]]
+        return logits, hit
 
 
 class Coded:
@@ -256,16 +281,16 @@ class Coded:
         words = tokens.words
         self.place = pc.fill_null(pc.index_in(words, value_set=v.words), -1).to_numpy(zero_copy_only=False) if len(v.words) else np.full(len(words), -1)
         texts = words.to_pylist()
-        name = np.fromiter((zlib.crc32(w.encode()) for w in texts), np.uint64, len(texts))
+        name = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.uint64, len(texts))
         head = (self.place >= 0) & (self.place < v.heads)
-        cls = np.array([GROUPS + shape_of(w) for w in texts], np.int64)
+        cls = np.fromiter((GROUPS + SHAPE_OF[w[-2:]] for w in texts), np.int8, len(texts))
         cls[head] = v.group[self.place[head]]
-        slot = np.zeros(len(texts), np.int64)
+        slot = np.zeros(len(texts), np.int8)
         slot[head] = v.slot[self.place[head]]
         self.codes, self.offsets = tokens.codes, tokens.offsets
         self.cls, self.slot, self.head = cls[tokens.codes], slot[tokens.codes], head[tokens.codes]
-        name = np.append(name, np.uint64(1 << 40))               # what stands before a text
-        self.one, self.two = name[before(tokens, 1)], name[before(tokens, 2)]
+        name = name[tokens.codes]
+        self.one, self.two = (before(name, tokens.offsets, back, 1 << 40) for back in (1, 2))         # 1 << 40 is no hash of a word
 
     def features(self, a: int, b: int) -> tuple[np.ndarray, ...]:
         one, two = self.one[a:b], self.two[a:b]
@@ -277,12 +302,20 @@ class Coded:
         return tuple((mix64(x + c, k + 7) & np.uint64(SLOT_ROWS - 1)).astype(np.int64) for k, x in enumerate((self.one[at], self.two[at])))
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities and log normaliser of each row."""
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in the place of the logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    """Log normaliser of each row; the logits are used up."""
     top = logits.max(axis=1, keepdims=True)
-    p = np.exp(logits - top)
-    total = p.sum(axis=1, keepdims=True)
-    return p / total, (top + np.log(total))[:, 0]
+    logits -= top
+    np.exp(logits, out=logits)
+    return top[:, 0] + np.log(logits.sum(axis=1))
 
 
 class _Steps:
@@ -292,11 +325,13 @@ class _Steps:
         self.table, self.rate = table, rate
         self.square, self.met = np.full(len(table), 1.0, np.float32), np.zeros(len(table), np.float32)
 
-    def step(self, hit: np.ndarray, gradient: np.ndarray, copies: int) -> None:
-        """`hit`: rows of `copies` features, one after another, each with the same gradients."""
-        order = np.argsort(hit, kind="stable")
-        rows, first, n = np.unique(hit[order], return_index=True, return_counts=True)
-        g = np.add.reduceat(gradient[order % len(gradient)] if copies > 1 else gradient[order], first, axis=0)
+    def step(self, hit: np.ndarray, gradient: np.ndarray) -> None:
+        """`hit`: rows of one or more features, one after another, each with the same gradients."""
+        order = np.argsort(hit.astype(np.uint16), kind="stable")         # tables have at most 65,536 rows: a radix sort
+        sorted_hit = hit[order]
+        first = np.flatnonzero(np.diff(sorted_hit, prepend=-1))
+        rows, n = sorted_hit[first], np.diff(first, append=len(hit))
+        g = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
         self.square[rows] += (g * g).sum(axis=1)
         self.met[rows] += n
         self.table[rows] -= self.rate * g / np.sqrt(self.square[rows])[:, None]
@@ -310,15 +345,15 @@ def train_on(model: Maxent, texts: Iterator[pa.Array], rate: float) -> tuple[_St
         for a in range(0, len(c.codes), BATCH):
             b = min(a + BATCH, len(c.codes))
             logits, hit = model.class_logits(c, a, b)
-            p, _ = _softmax(logits)
+            p = _softmax(logits)
             p[np.arange(b - a), c.cls[a:b]] -= 1
-            outer.step(np.concatenate(hit), p, 3)
+            outer.step(np.concatenate(hit), p)
             at = a + np.flatnonzero(c.head[a:b])
             if len(at):
                 logits, hit = model.slot_logits(c, at)
-                p, _ = _softmax(logits)
+                p = _softmax(logits)
                 p[np.arange(len(at)), c.slot[at]] -= 1
-                inner.step(np.concatenate(hit), p, 2)
+                inner.step(np.concatenate(hit), p)
     return outer, inner
 
 
@@ -339,7 +374,7 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Maxent:
             free_memory()
             yield from _sent(sent)
 
-        got = added_up(texts.filter(F.col("_round") == k).select("text").mapInArrow(learn, "block int, part int, data binary"))
+        got = added_up(fewer(texts.filter(F.col("_round") == k).select("text"), vocab.total // ROUNDS).mapInArrow(learn, "block int, part int, data binary"))
         model.rows, model.inner = rows.copy(), inner.copy()
         for block, data in got.items():
             table, at, width = (model.rows, block, CLASSES) if block < ROWS // BLOCK else (model.inner, block - ROWS // BLOCK, SLOTS)
@@ -358,11 +393,13 @@ def log_probabilities(model: Maxent, c: Coded) -> np.ndarray:
     for a in range(0, len(c.codes), BATCH):
         b = min(a + BATCH, len(c.codes))
         logits, _ = model.class_logits(c, a, b)
-        out[a:b] = logits[np.arange(b - a), c.cls[a:b]] - _softmax(logits)[1]
+        out[a:b] = logits[np.arange(b - a), c.cls[a:b]]
+        out[a:b] -= _log_total(logits)
         at = a + np.flatnonzero(c.head[a:b])
         if len(at):
             logits, _ = model.slot_logits(c, at)
-            out[at] += logits[np.arange(len(at)), c.slot[at]] - _softmax(logits)[1]
+            out[at] += logits[np.arange(len(at)), c.slot[at]]
+            out[at] -= _log_total(logits)
             last = at[c.slot[at] == SLOTS - 1]
             out[last] += np.log(v.counts[place[last]]) - rest_z[c.cls[last]]
         tail = a + np.flatnonzero(~c.head[a:b])
