@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAP = ("sample", "chrom")          # default grouping of a contact map
@@ -76,3 +77,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def scratch(spark: SparkSession, prefix: str) -> str:
     """New path below the checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet at `path`, or no rows if nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..core import cut
+from ..core import cut, read_if_there
 from ..functions.ranks import scan, value_buckets
 from ..functions.stats import uniform
 from ..operators import bins, contacts as C, sequence
@@ -17,28 +17,52 @@ def pending(sheet: DataFrame, done: DataFrame) -> DataFrame:
     return sheet.join(done.select("sample").distinct(), "sample", "left_anti")
 
 
-def finished_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples with a written summary; an output folder that does not exist yet has none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/summary")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return spark.createDataFrame([], "sample string")
-    return spark.read.parquet(f"{path}/summary").select("sample").distinct()
+STEPS = ("boundaries", "domains", "tracks", "p_s", "summary")
+COMPARISON = "comparison"
+MARKERS = "sample string, step string"
 
 
-def run_sheet(spark: SparkSession, pairs: DataFrame, sheet: DataFrame, sizes: DataFrame, resolution: int, window: int, path: str) -> DataFrame:
-    """Analyse every sample of the sheet that is not finished, all in one job, and append tables partitioned by sample; the
-    summary is written last, so a sample that failed half-way is done again. Returns the samples that were run."""
-    todo = cut(pending(sheet, finished_samples(spark, path)).select("sample").distinct())
-    maps = C.bin_pairs(pairs.join(todo, "sample", "left_semi"), resolution)
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, step) of the steps whose tables are complete: a marker is written after its table."""
+    return read_if_there(spark, f"{path}/steps", MARKERS).distinct()
+
+
+def run_sheet(spark: SparkSession, pairs: DataFrame, sheet: DataFrame, sizes: DataFrame, resolution: int, window: int, path: str, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """Analyse the samples of the sheet, each step for all samples that lack it in one job, into tables partitioned by sample.
+    A run that stops between two steps goes on there, and one that stops within a step writes its samples again. Returns the
+    (sample, step) that were run."""
+    every = sheet.select("sample").distinct().withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps])))
+    wanted = cut(every.join(committed(spark, path), ["sample", "step"], "left_anti"))
+    todo = wanted.select("sample").distinct()
+    if wanted.isEmpty():
+        return wanted
     n = sizes.join(todo, "sample", "left_semi")
-    tables = suite.analyze(maps, n, resolution, window, call=False)
-    save = lambda df, name: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample")       # noqa: E731
-                             .parquet(f"{path}/{name}"))
-    for name, df in tables.items():
-        save(df, name)
-    save(suite.summary(tables, n), "summary")
-    return todo
+    tables = suite.analyze(C.bin_pairs(pairs.join(todo, "sample", "left_semi"), resolution), n, resolution, window, call=False)
+    tables["summary"] = suite.summary(tables, n)
+    for step in steps:
+        own = wanted.filter(F.col("step") == step)
+        if own.isEmpty():
+            continue
+        (tables[step].join(own.select("sample"), "sample", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("sample").parquet(f"{path}/{step}"))
+        own.write.mode("append").parquet(f"{path}/steps")
+    return wanted
+
+
+def run_comparison(spark: SparkSession, pairs: DataFrame, sheet: DataFrame, sizes: DataFrame, resolution: int, window: int, path: str, **settings) -> bool:
+    """Compare the first two conditions of the sheet, samples as replicates, into tables below `path`/comparison. Nothing is
+    done, and False returned, if the sheet has no two conditions of one region or the comparison is there already."""
+    named = cut(first_two_conditions(sheet).select("sample", "condition", "side").distinct())
+    sides = [r["condition"] for r in named.select("side", "condition").distinct().orderBy("side").collect()]          # two rows
+    marker = spark.createDataFrame([(" / ".join(sides), COMPARISON)], MARKERS)
+    if len(sides) < 2 or not marker.join(committed(spark, path), ["sample", "step"], "left_semi").isEmpty():
+        return False
+    maps = C.bin_pairs(pairs.join(named.select("sample"), "sample", "left_semi"), resolution)
+    reps = cut(maps.join(named.select("sample", "side"), "sample").select(F.col("side").alias("condition"), F.col("sample").alias("replicate"), "chrom", "i", "j", "cnt"))
+    for name, df in suite.compare_conditions(reps, sizes.select("chrom", "n").distinct(), resolution, window, **settings).items():
+        df.write.mode("overwrite").parquet(f"{path}/{COMPARISON}/{name}")
+    marker.write.mode("append").parquet(f"{path}/steps")
+    return True
 
 
 def first_two_conditions(sheet: DataFrame) -> DataFrame:

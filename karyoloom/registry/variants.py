@@ -7,8 +7,9 @@ from ..operators import variants as V
 from ..plans import jobs as J, suite as SU
 from ..sources import variants as RV
 from ..streaming import pairs as SP
-from .base import query, view
-from .maps import r
+from .base import ORACLES, query, view
+from .compare import TESTED
+from .maps import BOUND_TAIL, INS, PS, r
 
 # VCF-like text with one line per order
 view("v_vcf", """SELECT 'cohort.vcf' AS file, o_orderkey + 1 AS line_no, CASE WHEN o_custkey % 41 = 0 THEN concat_ws('\t', 'chr1', 'x', 'short') ELSE
@@ -390,3 +391,67 @@ def _(t):
         if k in (6, 13):
             SP.add_batch(batch, k, out)
     return SP.totals(t.spark, out)
+
+
+@query("sample_sheet_resumed", "J1", """SELECT sample, step, n AS n, step IN ('tracks', 'p_s', 'summary') OR sample = 's3' AS run_again
+FROM (SELECT DISTINCT sample FROM v_sizes) s CROSS JOIN (SELECT unnest(['boundaries', 'domains', 'tracks', 'p_s', 'summary']) AS step, 1 AS n) t""")
+def _(t):
+    # stopped after two steps of all samples but s3; the second run does what is left, the third nothing
+    out = scratch(t.spark, "sheet")
+    sheet = t("v_sizes").select("sample").distinct()
+    run = lambda s, *steps: J.run_sheet(t.spark, t("v_pairs"), s, t("v_sizes"), 20_000, 12, out, *steps)         # noqa: E731
+    run(sheet.filter("sample <> 's3'"), ("boundaries", "domains"))
+    again = run(sheet)
+    third = run(sheet)
+    markers = t.spark.read.schema(J.MARKERS).parquet(f"{out}/steps").groupBy("sample", "step").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    done = again.withColumn("run_again", F.lit(True)).unionByName(third.withColumn("run_again", F.lit(None).cast("boolean")))
+    return markers.join(done, ["sample", "step"], "left").na.fill(False, ["run_again"])
+
+
+@query("sample_sheet_comparison", "J1, B18", f"WITH {TESTED} SELECT chrom, i, j, round(mean_count, 6) AS mean_count FROM tested")
+def _(t):
+    out = scratch(t.spark, "sheet")
+    sheet = t("v_sizes").select("sample").distinct().select("sample", F.when(F.col("sample").isin("s0", "s1"), "untreated").otherwise("treated").alias("condition"),
+                                                            F.substring("sample", 2, 9).cast("int").alias("row_no"), F.lit("all").alias("region"))
+    run = lambda: J.run_comparison(t.spark, t("v_pairs"), sheet, t("v_sizes"), 20_000, 12, out, min_count=2.0, max_sep_bp=1_200_000)          # noqa: E731
+    if not run() or run():
+        raise RuntimeError("the comparison runs once")
+    return r(t.spark.read.parquet(f"{out}/comparison/pixels").select("chrom", "i", "j", "mean_count"), "mean_count")
+
+
+@query("graph_contacts", "J2", f"""WITH nodes AS ({ORACLES["graph_nodes"]}),
+c AS (SELECT contig, least(i, j) AS i, greatest(i, j) AS j, max(cnt) AS cnt FROM (SELECT user_id AS contig, event_id % 900 // 170 AS i, event_id * 7 % 900 // 170 AS j, cast(count(*) AS DOUBLE) AS cnt FROM events GROUP BY ALL) e
+  WHERE i <> j GROUP BY contig, least(i, j), greatest(i, j))
+SELECT c.* FROM c JOIN nodes a ON a.contig = c.contig AND a.bin = c.i AND a.valid JOIN nodes b ON b.contig = c.contig AND b.bin = c.j AND b.valid""")
+def _(t):
+    e = t("events")
+    at = lambda k: F.floor(F.col("event_id") * k % 900 / 170).cast("long")               # noqa: E731
+    contacts = e.select(F.col("user_id").alias("contig"), at(1).alias("i"), at(7).alias("j")).groupBy("contig", "i", "j").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    return J.graph_table(t("v_sequence"), e.select(F.col("user_id").alias("contig"), (F.col("event_id") % 900).alias("pos"), "value"), contacts, 170)[1]
+
+
+@query("suite_boundaries", "B18", f"""WITH RECURSIVE {INS}, {BOUND_TAIL}
+SELECT sample, chrom, bin * 20000 AS start, (bin + 1) * 20000 AS "end", 'insulation' AS method FROM bounds
+UNION ALL SELECT sample, chrom, bin * 20000, (bin + 1) * 20000, 'rank sum' FROM ({ORACLES["rank_sum_boundaries"]}) k""")
+def _(t):
+    # the two callers at the windows of their own queries
+    table = lambda w, m: SU.analyze(t("v_contacts"), t("v_sizes"), 20_000, w, call=False)["boundaries"].filter(F.col("method") == m)         # noqa: E731
+    return table(12, "insulation").unionByName(table(10, "rank sum"))
+
+
+@query("suite_p_s", "B18", f"WITH {PS} SELECT sample, chrom, d, separation_bp, round(p, 9) AS p FROM ps")
+def _(t):
+    tables = SU.analyze(t("v_contacts"), t("v_sizes"), 20_000, 12, t("v_weights"), call=False)
+    return r(tables["p_s"].drop("max_d"), "p", digits=9)
+
+
+@query("analysis_written", "B18, A27", f"""WITH RECURSIVE {INS}, {BOUND_TAIL}
+SELECT 'bed' AS kind, concat_ws(chr(9), chrom, bin * 20000, (bin + 1) * 20000, 'insulation') AS line, count(*) AS times FROM bounds GROUP BY chrom, bin
+UNION ALL SELECT 'p_of_s', concat_ws(chr(9), sample, chrom, d), 1 FROM (SELECT sample, chrom, unnest(generate_series(cast(0 AS BIGINT), n - 1)) AS d FROM v_sizes) s""")
+def _(t):
+    # the files of a whole analysis, read back: boundaries of one caller, keys of the P(s) table
+    out = scratch(t.spark, "analysis")
+    SU.write_analysis(SU.analyze(t("v_contacts"), t("v_sizes"), 20_000, 12, call=False), out)
+    bed = t.spark.read.text(f"{out}/boundaries.bed").filter(F.col("value").endswith("insulation")).select(F.lit("bed").alias("kind"), F.col("value").alias("line"))
+    ps = t.spark.read.option("sep", "\t").option("header", True).csv(f"{out}/p_of_s").select(F.lit("p_of_s").alias("kind"), F.concat_ws("\t", "sample", "chrom", "d").alias("line"))
+    return bed.unionByName(ps).groupBy("kind", "line").agg(F.count(F.lit(1)).alias("times"))

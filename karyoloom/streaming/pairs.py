@@ -13,11 +13,11 @@ folder that the present manifest or the one before it lists, so readers of eithe
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..core import read_if_there
 from ..operators.contacts import bin_pairs
 
 FAN = 4                          # runs of a level that make one of the next
@@ -31,12 +31,7 @@ def pair_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str =
 
 def _read(spark: SparkSession, path: str) -> list:
     """Rows of a manifest; none if it was never written, or was lost while being replaced."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(path).collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
+    return read_if_there(spark, path, MANIFEST).collect()
 
 
 def manifest(spark: SparkSession, out: str) -> tuple[int, list]:
