@@ -93,12 +93,12 @@ def _(t):
     return X.feature_changes(m.filter("sample = 'a'"), m.filter("sample = 'b'"), ["chrom"], ["bin"])
 
 
-@query("loop_changes", "C9", """WITH s AS (SELECT sample, chrom, i, j FROM v_pooled WHERE cnt >= 8 AND j - i >= 3),
+@query("loop_changes", "C9", """WITH s AS (SELECT sample, chrom, i, j FROM v_pooled WHERE j - i >= 3),
 a AS (SELECT * FROM s WHERE sample = 'a'), b AS (SELECT * FROM s WHERE sample = 'b')
 SELECT chrom, i, j, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.chrom = a.chrom AND abs(b.i - a.i) <= 1 AND abs(b.j - a.j) <= 1) THEN 'kept' ELSE 'lost in B' END AS change FROM a
 UNION ALL SELECT chrom, i, j, 'gained in B' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.chrom = b.chrom AND abs(b.i - a.i) <= 1 AND abs(b.j - a.j) <= 1)""")
 def _(t):
-    s = t("v_pooled").filter((F.col("cnt") >= 8) & (F.col("j") - F.col("i") >= 3))
+    s = t("v_pooled").filter(F.col("j") - F.col("i") >= 3)
     return X.feature_changes(s.filter("sample = 'a'"), s.filter("sample = 'b'"), ["chrom"], ["i", "j"], 1)
 
 

@@ -28,8 +28,7 @@ SELECT o + bin AS bin_id, chrom, bin * 20000 AS start, (bin + 1) * 20000 AS end
   SELECT DISTINCT chrom, bin, CASE chrom WHEN 'chrA' THEN 0 WHEN 'chrN' THEN 100 ELSE 200 END AS o FROM {v_bins}) t""")
 view("v_gaps", """
 SELECT event_type AS chrom, s AS gap_start, s + 4000 AS gap_end FROM (
-  SELECT chrom AS event_type, start - start % 5000 AS s FROM {v_intervals} GROUP BY chrom, start - start % 5000) t
-WHERE s > 1000000""")
+  SELECT chrom AS event_type, start - start % 5000 AS s FROM {v_intervals} GROUP BY chrom, start - start % 5000) t""")
 view("v_bands", """
 SELECT chrom, n_nationkey * 110000 AS band_start, (n_nationkey + 1) * 110000 AS band_end, n_name AS band
 FROM {v_chroms} CROSS JOIN (SELECT n_nationkey, n_name FROM {nation}) n""")
