@@ -179,7 +179,7 @@ WHERE cov < l AND cov < r""")
 
 @query("domain_scores", "B17", """WITH edges AS (SELECT sample, chrom, bin FROM v_grid_bounds UNION SELECT sample, chrom, 0 FROM v_sizes UNION SELECT sample, chrom, n FROM v_sizes),
 cand AS (SELECT a.sample, a.chrom, a.bin AS a, b.bin AS b, greatest(0, 2 * a.bin - b.bin) AS lo, least(100, 2 * b.bin - a.bin) AS hi
-  FROM edges a JOIN edges b ON a.sample = b.sample AND a.chrom = b.chrom AND b.bin - a.bin BETWEEN 3 AND 40),
+  FROM edges a JOIN edges b ON a.sample = b.sample AND a.chrom = b.chrom AND b.bin - a.bin >= 3),
 px AS (SELECT q.*, j - i AS d, i, j, cnt, sum(cnt) OVER (PARTITION BY q.sample, q.chrom, a, b, j - i) / (hi - lo - (j - i)) AS mu
   FROM cand q JOIN v_off c ON c.sample = q.sample AND c.chrom = q.chrom AND i >= lo AND j < hi),
 s AS (SELECT sample, chrom, a, b, lo, hi, sum(CASE WHEN i >= a AND j < b THEN cnt / mu ELSE 0 END) AS si,
@@ -187,7 +187,7 @@ s AS (SELECT sample, chrom, a, b, lo, hi, sum(CASE WHEN i >= a AND j < b THEN cn
 SELECT sample, chrom, a AS start, b AS "end", round(ratio, 6) AS ratio FROM (
   SELECT *, (si / ((b - a) * (b - a - 1) / 2)) / (so / ((b - a) * ((a - lo) + (hi - b)))) AS ratio FROM s WHERE so > 0) f WHERE ratio >= 1.1""")
 def _(t):
-    return r(D.domain_scores(t("v_contacts"), t("v_grid_bounds"), t("v_sizes"), min_ratio=1.1, max_bins=40), "ratio")
+    return r(D.domain_scores(t("v_contacts"), t("v_grid_bounds"), t("v_sizes"), min_ratio=1.1), "ratio")
 
 
 @query("copy_number", "B19", """WITH cov AS (SELECT b.sample, b.chrom, b.bin, coalesce(sum(c.cnt), 0) AS cov FROM v_bins b LEFT JOIN (
