@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..core import once
 from .common import field, rows_of, whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,10 +56,12 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, d
                .groupBy("_id", "_tie").agg(F.collect_list("pos").alias("_gone")))
     rows = rows_of(docs, _id=F.col(doc_id), _tie=F.xxhash64(whole(text)))
     joined = rows.alias("d").join(dropped.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id")) & (F.col("d._tie") == F.col("g._tie")), "left")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    joined = joined.select("_row", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
     old = whole(field(text))
-    all_lines = _lines(old)
-    kept = F.filter(all_lines, lambda _, k: ~F.array_contains(gone, k))
-    new = F.when(F.size(gone) == 0, old).otherwise(F.array_join(kept, "\n"))
+    # lines are split once, and what stays is a difference of position sets: linear in the lines of a document
+    joined = once(joined, _lines=F.when(F.size("_gone") > 0, _lines(old)), _n=F.length(old) - F.length(F.translate(old, "\n", "")) + 1)
+    gone = F.col("_gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), gone)
+    new = F.when(F.size(gone) == 0, old).otherwise(F.array_join(F.transform(stay, lambda k: F.col("_lines")[k]), "\n"))
     same = [(new if c == text else field(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*same, F.size(all_lines).cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"))
+    return joined.select(*same, F.col("_n").cast("bigint").alias("n_lines"), F.size(gone).cast("bigint").alias("n_dropped"))

@@ -167,3 +167,17 @@ def test_pipeline_stages(spark, docs, empty, benchmark, tmp_path):
             out.write.parquet(path)
             df = spark.read.parquet(path)
         assert (df.count() > 0) == (start is docs)
+
+
+def test_documents_of_many_shared_lines(spark):
+    import time
+    n = 200_000
+    text = "\n".join(f"line {k}" if k % 3 else f"own {k}" for k in range(n))
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, F.lit(text)).otherwise(F.lit("line 1\nx\n\nline 2")).alias("text")).repartition(4).cache()
+    docs.count()
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.drop_shared_lines(docs, min_docs=11).select("doc_id", "n_lines", "n_dropped", "text").collect()}
+    assert time.time() - began < 60                                # with a scan of all dropped lines for each line it takes many minutes
+    assert (got[0].n_lines, got[0].n_dropped) == (n, 2) and (got[11].n_lines, got[11].n_dropped, got[11].text) == (4, 2, "x\n")
+    got = line_dedup.drop_shared_lines(docs, min_docs=10).filter("doc_id = 3").first()
+    assert (got.n_lines, got.n_dropped, got.text) == (n, n, "")
