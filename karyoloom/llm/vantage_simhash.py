@@ -15,10 +15,20 @@ Defined cases: a null text is empty; a text without words has fingerprint zero,
 shingle: the whole sequence; rows with equal ids are rows of one class or not, by their text; a null id has a fingerprint and
 the class of its text, and counts as no smallest id (a class of null ids only has a null id); an empty table gives an empty
 result; other columns are kept by `keep_one` and ignored by the others. Texts of any length are read whole.
+
+`similar_documents` and `keep_similar` link by the Jaccard similarity of the sets of shingles instead, 0.8 with five words.
+Their fingerprints are wider (512 bits over distinct shingles), as a bit of two texts differs with probability acos(cosine)/pi,
+15 % at a similarity of 0.8. Each tree has its own drawn bits, log2(texts / rows of a leaf) of them, and as many trees grow as
+bring two texts of that similarity into one leaf with probability `recall`, at every size of the corpus. In a leaf, pairs far
+closer than the limit (four standard deviations of the distance) are links; pairs within four deviations of it, thinned to a
+minimum spanning forest, are links if the shingles of their whole texts say so. Equal sets of shingles are one class before
+the search; texts without words have equal (empty) sets; the other defined cases are those above.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,13 +36,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.groups import components
-from .common import free_memory, rows_of, slices, stored, whole
+from .common import free_memory, mix64, rows_of, slices, stored, whole
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 SAMPLE, LEAF_ROWS = 8_192, 2_048
 HOME_ROWS, VISIT_ROWS = 8_192, 32_768
 PIECE = 400_000                     # shingles whose bits are unpacked at a time
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+SIMILAR_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
+WIDE = 8                            # 64-bit words of a wide fingerprint
+DEVIATIONS = 4.0
 
 
 def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,3 +246,187 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     chosen = best.select(F.col("m.tie").alias("_tie")).distinct()
     keyed = rows_of(docs, _tie=F.xxhash64(doc_id, whole(text)))
     return keyed.join(chosen, "_tie", "left_semi").dropDuplicates(["_tie"]).select("_row.*")
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes of every text; offsets of the texts)."""
+    hashes, offsets = shingle_hashes(texts, words)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(offsets) - 1))]).astype(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(id, tie, key, fp): key is a hash of the set of shingles, fp the bytes of its wide fingerprint."""
+    def of(batches):
+        import xxhash
+        for batch in batches:
+            for a, b in slices(batch.column(2), 2_000_000):
+                part = batch.slice(a, b - a)
+                hashes, offsets = shingle_sets(part.column(2), words)
+                data = hashes.tobytes()
+                key = np.array([xxhash.xxh64_intdigest(data[8 * x:8 * y], 1) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
+                fp = np.stack([majority(mix64(hashes, k), offsets) for k in range(WIDE)], axis=1).astype("<u8")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key.view(np.int64)),
+                                                  pa.array([row.tobytes() for row in fp], pa.binary())], ["id", "tie", "key", "fp"])
+        free_memory()
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(doc_id, whole(text)).alias("tie"), whole(text).alias("text"))
+    return rows.mapInArrow(of, "id bigint, tie bigint, key bigint, fp binary")
+
+
+def differing(similarity: float) -> float:
+    """Largest expected share of differing bits of two sets with this Jaccard similarity (sets of equal size have it)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bounds(bits: int, share: float) -> tuple[int, int]:
+    """Distances over `bits` bits up to which a pair surely is similar, and beyond which it surely is not."""
+    spread = DEVIATIONS * math.sqrt(bits * share * (1 - share))
+    return math.floor(bits * share - spread), math.ceil(bits * share + spread)
+
+
+def forest(u: np.ndarray, v: np.ndarray, far: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (u, v) of a minimum spanning forest over the classes of `label`, nearest pairs first."""
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort((v, u, far))] = np.arange(len(u))
+    at = np.argsort(rank)
+    chosen = []
+    while True:
+        open_ = np.flatnonzero(label[u] != label[v])
+        if not len(open_):
+            return at[np.concatenate(chosen)] if chosen else np.empty(0, np.int64)
+        best = np.full(len(label), len(u), np.int64)
+        np.minimum.at(best, label[u[open_]], rank[open_])
+        np.minimum.at(best, label[v[open_]], rank[open_])
+        pick = np.unique(best[best < len(u)])
+        chosen.append(pick)
+        label = _joined(label, u[at[pick]], v[at[pick]])
+
+
+def near_pairs(fp: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of every row after all sure links, then the pairs of a spanning forest of the unsure ones: u, v)."""
+    n = len(fp)
+    sure, most = bounds(64 * WIDE, share)
+    first = bounds(64, share)[1]
+    label, u, v, far = np.arange(n), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    step = max(1, 1_000_000 // max(n, 1))
+    for a in range(0, n, step):
+        i, j = np.nonzero(_bits(fp[a:a + step, None, 0] ^ fp[None, a:, 0]) <= first)
+        i, j = i[i < j] + a, j[i < j] + a
+        d = _bits(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+        close = d <= sure
+        if (label[i[close]] != label[j[close]]).any():
+            label = _joined(label, i[close], j[close])
+        unsure = ~close & (d <= most) & (label[i] != label[j])
+        u, v, far = np.concatenate([u, i[unsure]]), np.concatenate([v, j[unsure]]), np.concatenate([far, d[unsure]])
+        left = forest(u, v, far, label)
+        u, v, far = u[left], v[left], far[left]
+    return label, u, v
+
+
+def candidate_links(classes: DataFrame, similarity: float, recall: float, sample: int, leaf_rows: int) -> DataFrame:
+    """Edges (a, b, sure) between keys of the classes (key, fp)."""
+    share, total = differing(similarity), classes.count()
+    depth = max(0, math.ceil(math.log2(max(total, 1) / leaf_rows)))
+    together = (1 - share) ** depth
+    count = 1 if together == 1 else math.ceil(math.log(1 - recall) / math.log1p(-together))
+    rng = np.random.default_rng(0)
+    places = [rng.choice(64 * WIDE, depth, replace=False) for _ in range(count)]
+    picked = classes.orderBy(F.xxhash64("key")).select("fp").limit(sample).toArrow().column(0)       # at most `sample` fingerprints
+
+    def read(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+
+    def block(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bits = (fp[:, at // 8] >> (at % 8).astype(np.uint8)) & 1
+        return (bits.astype(np.uint64) << np.arange(len(at), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    heads = read(picked)
+    trees = [grow(block(heads, at), (1 << depth) - 1, total, leaf_rows, k) for k, at in enumerate(places)]
+
+    def route(batches):
+        for batch in batches:
+            fp = read(batch.column(1))
+            for tree, (at, nodes) in enumerate(zip(places, trees)):
+                leaf_of = np.empty(len(fp), np.int32)
+                for leaf, rows, _ in visit(block(fp, at), nodes, 0):
+                    leaf_of[rows] = leaf
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), tree, np.int32)), pa.array(leaf_of), batch.column(0), batch.column(1)],
+                                                 ["tree", "leaf", "key", "fp"])
+
+    by = ["tree", "leaf"]
+    routed = stored(classes.select("key", "fp").mapInArrow(route, "tree int, leaf int, key bigint, fp binary"))
+    sizes = routed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_rows)).cast("int").alias("_n"))
+    own, other = F.pmod(F.xxhash64("key"), "_n").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    dealt = (routed.join(sizes, by).withColumn("_own", own).withColumn("_other", other)
+             .select(*by, "key", "fp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, fp = key[order], read(table.column("fp"))[order].view("<u8")
+        label, u, v = near_pairs(fp, share)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": np.concatenate([key[label[moved]], key[u]]), "b": np.concatenate([key[moved], key[v]]),
+                         "sure": np.repeat([True, False], [len(moved), len(u)])})
+
+    edges = dealt.groupBy(*by, "_a", "_b").applyInArrow(compare, "a bigint, b bigint, sure boolean")
+    return edges.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts (key, text) have at least this Jaccard similarity of their shingles."""
+    def check(batches):
+        for batch in batches:
+            for x, y in slices(batch.column(2), 1_000_000):
+                part = batch.slice(x, y - x)
+                left, right = shingle_sets(part.column(2), words), shingle_sets(part.column(3), words)
+                keep = []
+                for k in range(part.num_rows):
+                    p, q = left[0][left[1][k]:left[1][k + 1]], right[0][right[1][k]:right[1][k + 1]]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(both >= similarity * (len(p) + len(q) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        free_memory()
+
+    with_a = edges.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+
+
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
+                    recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, tie, key) of the documents, and (key, root, first) of their classes: root names the group of a class, first is
+    its smallest (id is null, id, tie)."""
+    made = stored(wide_fingerprints(docs, doc_id, text, words))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
+    classes = stored(made.groupBy("key").agg(first, F.max("fp").alias("fp")))
+    edges = stored(candidate_links(classes, similarity, recall, sample, leaf_rows))
+    open_ = edges.filter(~F.col("sure")).select("a", "b")
+    ends = open_.select(F.col("a").alias("key")).union(open_.select(F.col("b").alias("key"))).distinct()
+    ties = classes.join(ends, "key", "left_semi").select("key", F.col("first.tie").alias("tie"))
+    texts = docs.select(F.xxhash64(doc_id, whole(text)).alias("tie"), whole(text).alias("text")).join(ties, "tie").dropDuplicates(["key"])
+    linked = stored(edges.filter("sure").select("a", "b").union(verified(open_, stored(texts.select("key", "text")), words, similarity)))
+    nodes = linked.select(F.col("a").alias("node")).union(linked.select(F.col("b").alias("node"))).distinct()
+    found = components(nodes, linked, []).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    groups = classes.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
+    return made.select("id", "tie", "key"), groups
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, component_id) per document: component_id is the smallest id of its group."""
+    rows, groups = similar_classes(docs, doc_id, text, **options)
+    least = groups.groupBy("root").agg(F.min("first.id").alias("component_id"))
+    return rows.join(groups.join(least, "root").select("key", "component_id"), "key").select("id", "component_id")
+
+
+def keep_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without all but one of each group of similar ones: the one with the smallest id (null last), ties by text."""
+    _, groups = similar_classes(docs, doc_id, text, **options)
+    chosen = groups.groupBy("root").agg(F.min("first").alias("m")).select(F.col("m.tie").alias("_tie")).distinct()
+    keyed = rows_of(docs, _tie=F.xxhash64(doc_id, whole(text)))
+    return keyed.join(chosen, "_tie", "left_semi").dropDuplicates(["_tie"]).select("_row.*")

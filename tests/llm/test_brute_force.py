@@ -306,6 +306,74 @@ def test_simhash(spark, rows):
     assert {r.id: r.component_id for r in split} == {i: groups.find(i) for i in ids}
 
 
+def shingle_set(text, n=5):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
+    return {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard_groups(texts, least=0.8):
+    """Groups of the ids of `texts` by links of this similarity, and every link."""
+    sets, groups, links = {i: shingle_set(t) for i, t in texts.items()}, Groups(texts), []
+    having = defaultdict(list)
+    for i in sorted(sets):
+        shared = defaultdict(int)
+        for s in sets[i]:
+            for j in having[s]:
+                shared[j] += 1
+            having[s].append(i)
+        links += [(i, j) for j, n in shared.items() if n >= least * (len(sets[i]) + len(sets[j]) - n)]
+    empty = [i for i in sorted(sets) if not sets[i]]
+    for i, j in [*links, *zip(empty, empty[1:])]:
+        groups.join(i, j)
+    return groups, links
+
+
+def changed(text, share, rng):
+    """`text` with this share of its words replaced, one after another."""
+    w = text.split()
+    a, n = int(rng.integers(0, max(1, len(w) - int(len(w) * share)))), int(len(w) * share)
+    return " ".join([*w[:a], *(f"new{k}x{rng.integers(1 << 30)}" for k in range(n)), *w[a + n:]])
+
+
+def test_similar_documents(spark, rows):
+    """Groups equal those of all pairs by the Jaccard similarity of whole texts, with one leaf and with many."""
+    rng = np.random.default_rng(5)
+    texts = {r.doc_id: r.text for r in rows}
+    base = [t for t in texts.values() if t and len(t.split()) >= 60][:300]
+    for k, t in enumerate(base):
+        texts[1_000_000 + k] = changed(t, 0.02 + 0.12 * (k % 30) / 30, rng)
+    for k in range(400):                                 # one group, far from any other text of the table
+        texts[2_000_000 + k] = changed(" ".join(f"hot{m}" for m in range(300)), 0.04, rng)
+    groups, links = jaccard_groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8).cache()
+    for leaf_rows in (100_000, 64):
+        got = {r.id: r.component_id for r in vantage_simhash.similar_documents(docs, leaf_rows=leaf_rows).collect()}
+        assert got.keys() == texts.keys()
+        lost = sum(got[i] != got[j] for i, j in links)
+        assert lost <= 0.002 * len(links), (leaf_rows, lost, len(links))
+        assert not [i for i in texts if groups.find(got[i]) != groups.find(i)], leaf_rows      # nothing joins dissimilar texts
+        kept = {r.doc_id for r in vantage_simhash.keep_similar(docs, leaf_rows=leaf_rows).collect()}
+        assert kept == {i for i in got if got[i] == i}
+
+
+def test_spanning_forest_of_unsure_pairs():
+    rng = np.random.default_rng(2)
+    u, v, far = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    u, v, far = u[u != v], v[u != v], far[u != v]
+    picked = vantage_simhash.forest(u, v, far, np.arange(60))
+    want, weight = Groups(range(60)), 0
+    for k in np.lexsort((v, u, far)):
+        if want.find(int(u[k])) != want.find(int(v[k])):
+            want.join(int(u[k]), int(v[k]))
+            weight += int(far[k])
+    got = Groups(range(60))
+    for k in picked:
+        got.join(int(u[k]), int(v[k]))
+    assert [got.find(i) for i in range(60)] == [want.find(i) for i in range(60)]
+    assert int(far[picked].sum()) == weight and len(picked) == 60 - len({want.find(i) for i in range(60)})
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -386,8 +454,9 @@ def test_pipeline(spark, rows):
     kept = stages["language"](spark, docs, FOLDER).cache()
     assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in rows)
     one = stages["near_duplicates"](spark, kept, FOLDER).cache()
-    groups = {r.id: r.component_id for r in vantage_simhash.near_duplicates(kept).collect()}
-    assert {r.doc_id for r in one.collect()} == set(groups.values())
+    groups, links = jaccard_groups({r.doc_id: r.text for r in kept.collect()})
+    want, got = {groups.find(i) for i in groups.up}, {r.doc_id for r in one.collect()}
+    assert want <= got and len(got - want) <= 0.002 * len(links)
     clean = stages["decontamination"](spark, one, FOLDER).cache()
     bad = {r.doc_id for r in ran(spark, "op5_latent_decontam")}
     left = {r.doc_id for r in clean.collect()}

@@ -136,6 +136,16 @@ def test_simhash(docs, empty):
     assert vantage_simhash.near_duplicates(empty).count() == 0 and vantage_simhash.keep_one(empty).count() == 0
 
 
+def test_similar_documents(docs, empty):
+    got = vantage_simhash.similar_documents(docs).collect()
+    assert len(got) == len(TEXTS)
+    assert {r.component_id for r in got if r.id in (6, 7)} == {6}
+    kept = vantage_simhash.keep_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 5, 6, 8, 9]
+    assert vantage_simhash.similar_documents(empty).count() == 0 and vantage_simhash.keep_similar(empty).count() == 0
+
+
 def test_sanitise(docs, empty):
     got = disclosure.sanitise(docs).collect()
     assert len(got) == len(TEXTS)
