@@ -39,6 +39,7 @@ MIN_COSINE, COPY_SHARE, NEAR_SHARE, ANSWER_SHARE = 0.25, 0.7, 0.45, 0.6
 EDGES = ".,;:!?\"'()[]{}<>*#$%&-_"
 PIECE_ROWS = 200                      # documents whose passages a worker holds at a time
 MOST_PAIRS = 2_000_000                # terms with an item, or passages with an item, that are held at a time
+ENTRIES = 100_000                     # terms of items that are multiplied at a time
 PARTS = 16                            # row blocks in which the sums of the range finder are added up
 
 
@@ -207,15 +208,46 @@ def _pieces(batches):
             yield batch.slice(a, PIECE_ROWS)
 
 
+class ItemRows:
+    """The tf-idf rows of the items as (item, term, weight) entries: a dense matrix would grow with items times words."""
+
+    def __init__(self, terms: list[np.ndarray], weight: np.ndarray):
+        n, self.words = len(terms), len(weight)
+        entry, times = np.unique(np.repeat(np.arange(n), [len(x) for x in terms]) * self.words + np.concatenate(terms), return_counts=True)
+        self.item, self.term = entry // self.words, entry % self.words
+        value = weight[self.term] * times
+        norm = np.sqrt(np.bincount(self.item, value ** 2, n))
+        self.value = (value / (np.maximum(norm, 1e-9) * np.sqrt(n))[self.item]).astype(np.float32)
+        self.rows = np.searchsorted(self.item, np.arange(n + 1))
+        self.order = np.argsort(self.term, kind="stable")
+        self.columns = np.searchsorted(self.term[self.order], np.arange(self.words + 1))
+
+    @staticmethod
+    def _sums(ends: np.ndarray, at: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Row k: the sum of value * x[at] over the entries ends[k] .. ends[k + 1], a bounded number of entries at a time."""
+        out, a, n = np.zeros((len(ends) - 1, x.shape[1]), np.float32), 0, len(ends) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + ENTRIES, "right")) - 1)
+            of = slice(ends[a], ends[b])
+            out[a:b] = segment_sums(value[of, None] * x[at[of]], ends[a:b + 1] - ends[a])
+            a = b
+        return out
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """(items, k) from (words, k)."""
+        return self._sums(self.rows, self.term, self.value, x)
+
+    def transposed(self, y: np.ndarray) -> np.ndarray:
+        """(words, k) from (items, k)."""
+        return self._sums(self.columns, self.item[self.order], self.value[self.order], y)
+
+
 def latent(rows: DataFrame, items: Items, weight: np.ndarray, total: int, rank: int, seed: int = 0) -> np.ndarray:
     """Right singular vectors (terms, rank) of the tf-idf matrix of all passages and items; corpus and benchmark have
     equal say."""
     d = len(items.vocabulary)
     k = min(d, rank + OVERSAMPLE)
-    own = np.zeros((len(items.terms), d), np.float32)
-    for i, x in enumerate(items.terms):
-        np.add.at(own[i], x, weight[x])
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9) * np.sqrt(len(items.terms))
+    own = ItemRows(items.terms, weight)
     w = (weight / np.sqrt(max(total, 1) * max(items.half, 1) * (weight.max() ** 2 or 1))).astype(np.float32)
     omega = np.random.default_rng(seed).standard_normal((d, k)).astype(np.float32)
 
@@ -226,7 +258,7 @@ def latent(rows: DataFrame, items: Items, weight: np.ndarray, total: int, rank:
             z += w[:, None] * p.spread(p.sums(by), d)
         yield _in_parts(z)
 
-    z = _sum_matrices(rows.mapInArrow(find, "part int, data binary"), d, k) + own.T @ (own @ omega)
+    z = _sum_matrices(rows.mapInArrow(find, "part int, data binary"), d, k) + own.transposed(own.times(omega))
     q = np.linalg.qr(z)[0].astype(np.float32)
 
     def gram(batches):
@@ -237,7 +269,7 @@ def latent(rows: DataFrame, items: Items, weight: np.ndarray, total: int, rank:
         yield _in_parts(g)
 
     g = _sum_matrices(rows.mapInArrow(gram, "part int, data binary"), k, k)
-    b = own @ q
+    b = own.times(q)
     values, vectors = np.linalg.eigh(g + b.T @ b)
     return (q @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
 

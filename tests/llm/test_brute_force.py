@@ -286,6 +286,32 @@ def test_vectors_of_a_large_group(spark):
     assert all(small[k] == want[k] for k in [0, *range(300, 4_800)])
 
 
+def test_item_rows_equal_the_dense_matrix(monkeypatch):
+    rng = np.random.default_rng(3)
+    terms, weight = [rng.integers(0, 90, rng.integers(1, 30)) for _ in range(40)], rng.random(100)
+    dense = np.zeros((40, 100))
+    for i, x in enumerate(terms):
+        np.add.at(dense[i], x, weight[x])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True) * np.sqrt(40)
+    own, x, y = latent_decontam.ItemRows(terms, weight), rng.random((100, 5)), rng.random((40, 5))
+    for most in (latent_decontam.ENTRIES, 7):
+        monkeypatch.setattr(latent_decontam, "ENTRIES", most)
+        assert np.allclose(own.times(x), dense @ x, atol=1e-5) and np.allclose(own.transposed(y), dense.T @ y, atol=1e-5)
+
+
+def test_item_rows_stay_small():
+    """20,000 items of 38 words over 130,000 words: 10 GB as a dense matrix."""
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    terms = [rng.integers(0, 130_000, 38) for _ in range(20_000)]
+    tracemalloc.start()
+    own = latent_decontam.ItemRows(terms, rng.random(130_000))
+    made = own.transposed(own.times(rng.standard_normal((130_000, 144)).astype(np.float32)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.shape == (130_000, 144) and peak < 700e6, peak
+
+
 def test_simhash(spark, rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     prints = {}
