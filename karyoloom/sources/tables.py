@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core import idiv, once
 from ..operators.contacts import sum_contacts
-from .lines import at, data_lines, fields, number, read_lines, whole
+from .lines import SCAN_ROWS, at, data_lines, fields, number, read_lines, running, whole
 from .names import simple_name
 
 DEFAULT_PAIR_COLUMNS = ["readID", "chrom1", "pos1", "chrom2", "pos2", "strand1", "strand2"]
@@ -73,18 +73,17 @@ def peak_positions(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("mid", mid)
 
 
-def parse_chain(lines: DataFrame) -> DataFrame:
+def parse_chain(lines: DataFrame, rows: int = SCAN_ROWS) -> DataFrame:
     """Blocks of UCSC chain text: positions run along each chain by the sizes and gaps of the lines above. Chains are
-    numbered per file (a chain file describes one pair of assemblies)."""
-    d = lines.filter(F.length(F.trim("value")) > 0).withColumn("p", F.split(F.trim("value"), r"\s+"))
-    head = at("p", 0) == "chain"
-    d = d.withColumn("_c", F.sum(F.when(head, 1).otherwise(0)).over(W.partitionBy("file").orderBy("line_no")))
-    h = d.filter(head).select("file", "_c", at("p", 2).alias("chrom"), whole(at("p", 5)).alias("_t0"), at("p", 7).alias("q_chrom"), whole(at("p", 8)).alias("q_size"),
-                              at("p", 9).alias("q_strand"), whole(at("p", 10)).alias("_q0"))
-    b = d.filter(~head).select("file", "_c", "line_no", whole(at("p", 0)).alias("_n"), F.coalesce(whole(at("p", 1)), F.lit(0)).alias("_dt"), F.coalesce(whole(at("p", 2)), F.lit(0)).alias("_dq"))
-    before = W.partitionBy("file", "_c").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    run = lambda gap: F.coalesce(F.sum(F.col("_n") + F.col(gap)).over(before), F.lit(0))                                         # noqa: E731
-    b = b.withColumns({"_t": run("_dt"), "_q": run("_dq")}).join(h, ["file", "_c"])
+    numbered per file (a chain file describes one pair of assemblies). The sums run over a whole file in blocks of `rows`
+    lines; a position is the sum at its line less that at its header."""
+    d = lines.filter(F.length(F.trim("value")) > 0).withColumn("p", F.split(F.trim("value"), r"\s+")).withColumn("_head", at("p", 0) == "chain")
+    size, gap = whole(at("p", 0)), lambda k: F.coalesce(whole(at("p", k)), F.lit(0))                                              # noqa: E731
+    step = lambda k: F.when(~F.col("_head"), size + gap(k))                                                                      # noqa: E731
+    d = running(d, {"_heads": F.col("_head").cast("int"), "_t": step(1), "_q": step(2)}, rows)
+    h = d.filter("_head").select("file", (F.col("_heads") + 1).alias("_c"), at("p", 2).alias("chrom"), (whole(at("p", 5)) - F.col("_t")).alias("_t0"),
+                                 at("p", 7).alias("q_chrom"), whole(at("p", 8)).alias("q_size"), at("p", 9).alias("q_strand"), (whole(at("p", 10)) - F.col("_q")).alias("_q0"))
+    b = d.filter(~F.col("_head")).select("file", F.col("_heads").alias("_c"), size.alias("_n"), "_t", "_q").join(h, ["file", "_c"])
     t = F.col("_t0") + F.col("_t")
     return b.select("file", "chrom", t.alias("t_start"), (t + F.col("_n")).alias("t_end"), "q_chrom", (F.col("_q0") + F.col("_q")).alias("q_start"), "q_strand", "q_size")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from karyoloom.functions import groups, intervals, ranks, special
 from karyoloom.operators import balance, bins, contacts, liftover, variants as V
+from karyoloom.sources.lines import read_lines
 from karyoloom.sources import names, sinks, tables, variants as RV
 
 
@@ -15,6 +16,38 @@ def lines(spark, text, file="x"):
     return spark.createDataFrame([(file, k, v) for k, v in enumerate(text.split("\n"), 1)], "file string, line_no long, value string")
 
 
+def test_chain_of_many_splits(spark, tmp_path):
+    """Line numbers and blocks of two files, one over many splits, equal those of one pass in order."""
+    rng = np.random.default_rng(1)
+    want, numbers, folder = set(), {}, tmp_path / "chains"
+    folder.mkdir()
+    for name, chains in (("long.chain", 400), ("short.chain", 3)):
+        text = ["# no chain line counts before the first header", "7 1 1"] if chains == 3 else []
+        for c in range(chains):
+            t, q = int(rng.integers(0, 10**6)), int(rng.integers(0, 10**6))
+            text += ["", f"chain 9 chr{c % 5} 9 + {t} 9 q{c} 1000 - {q} 9 {c}"]
+            for n in rng.integers(1, 90, rng.integers(1, 40)):
+                dt, dq = rng.integers(0, 50, 2)
+                want.add((name, f"chr{c % 5}", t, t + n, f"q{c}", q))
+                text.append(f"{n} {dt} {dq}")
+                t, q = t + int(n) + int(dt), q + int(n) + int(dq)
+        (folder / name).write_text("\n".join(text) + "\n")
+        numbers |= {(name, k): v for k, v in enumerate(text, 1)}
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in sizes:
+            spark.conf.set(k, "4096")
+        read = read_lines(spark, str(folder)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+        assert read.rdd.getNumPartitions() > 3
+        assert {(r.file, r.line_no): r.value for r in read.collect()} == numbers
+        for rows in (10, 65_536):
+            got = tables.parse_chain(read, rows).collect()
+            assert {(r.file, r.chrom, r.t_start, r.t_end, r.q_chrom, r.q_start) for r in got} == want and len(got) == len(want)
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+
+
 def test_chain_positions_and_intervals(spark):
     chain = "chain 1 chr1 9999 + 100 300 chrA 9999 + 500 710 1\n100 50 60\n50\n\nchain 1 chr2 9999 + 0 100 chrB 1000 - 0 100 2\n100\n"
     blocks = tables.parse_chain(lines(spark, chain)).drop("file")
