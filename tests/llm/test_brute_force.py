@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from karyoloom.llm import crf_language, disclosure, latent_decontam, lookup_shards, mixing, projection_dedup, queries, token_store, vantage_simhash
+from karyoloom.llm import crf_language, disclosure, latent_decontam, lookup_shards, mixing, projection_dedup, queries, token_store, toxicity, vantage_simhash
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -252,6 +252,76 @@ def test_toxicity_held_out(spark):
     assert auc > 0.75                        # 300 labelled rows teach it here
 
 
+def spelled_plainly(word):
+    core = word.strip(".,;:!?\"'()[]{}<>-*#&%").lower()
+    if core.isalpha():
+        return core, False
+    if not any(c.isalpha() for c in core):
+        return "", False
+    signs = dict(zip("013457@$!|", "oieastasii"))
+    letters = "".join(c for c in (signs.get(c, c) for c in core) if c.isalpha())
+    return letters, len(letters) >= 3
+
+
+def lexicon_counts(pairs):
+    """Documents of either label that have each word (=) or beginning of a word (^), from (text, label)."""
+    yes, no = defaultdict(int), defaultdict(int)
+    for text, label in pairs:
+        have = set()
+        for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            core = spelled_plainly(w)[0]
+            if len(core) > 2:
+                have |= {"=" + core} | {"^" + core[:n] for n in (4, 5, 6) if len(core) > n}
+        for k in have:
+            (yes if label == 1 else no)[k] += 1
+    return yes, no
+
+
+def features_of(text, lexicon):
+    """The 15 features of a text, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, core = len(words), [spelled_plainly(w) for w in words]
+    odds = [lexicon.get("=" + w, 0.0) for w, _ in core]
+    stem = [max([lexicon.get("^" + w[:k], 0.0) for k in (4, 5, 6) if len(w) > k], default=0.0) for w, _ in core]
+    hit = [a > 0 or b > 0 for a, b in zip(odds, stem)]
+    person = [k for k, (w, _) in enumerate(core) if w in toxicity.SECOND_PERSON]
+    near = sum(hit[k] and any(abs(k - p) <= 4 for p in person) for k in range(n))
+    letters = [sum(c.isalpha() for c in w) for w in words]
+    upper = [sum(c.isupper() for c in w) for w in words]
+    mark = [sum(c in "!?*#$%&@" for c in w) for w in words]
+    twice = [any(m in w for m in ("!!", "??", "***", "###")) for w in words]
+    each = lambda x: sum(x) / max(n, 1)                                                           # noqa: E731
+    return [each(odds), np.log1p(sum(x > 0 for x in odds)), max(odds, default=0), each(stem), np.log1p(sum(x > 0 for x in stem)), max(stem, default=0),
+            np.log1p(near), sum(upper) / max(sum(letters), 1), each([u == m and m > 2 for u, m in zip(upper, letters)]), each(mark), each(twice),
+            each([h for _, h in core]), np.log1p(sum(h and x for (_, h), x in zip(core, hit))), np.log1p(n), len(set(words)) / max(n, 1)]
+
+
+HARSH = ["You are an IDIOT!! 1d10t, id!ot...", "", "...", "!!! ??? ***", "dich und Dein Haß-Dummkopf", "tú eres t0nt0 TONTO tontos", "a@b 12 x",
+         "STOP stop STOP you", "İ ß ẞ ǅ Σ you", "idiots " * 40 + "your"]
+
+
+def test_toxicity_lexicon_and_features(spark, rows):
+    """Lexicon and features against counts word by word, over the labelled documents and some odd texts."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    pairs = [(r.text, labels[r.doc_id]) for r in rows if labels.get(r.doc_id) in (0, 1)]
+    pairs += [(t, k % 2) for k in range(24) for t in HARSH[k % 2::2]]
+    got = toxicity.learn_lexicon(spark.createDataFrame(pairs, "text string, label int").repartition(5))
+    yes, no = lexicon_counts(pairs)
+    toxic = sum(x == 1 for _, x in pairs)
+    base = np.log((toxic + 1) / (len(pairs) - toxic + 1))
+    odds = {k: np.log((n + 0.5) / (no.get(k, 0) + 0.5)) - base for k, n in yes.items() if n >= toxicity.MIN_DOCS}
+    strong = {k: v for k, v in odds.items() if v >= toxicity.MIN_ODDS}
+    top = sorted(strong, key=lambda k: (-strong[k] * np.sqrt(yes[k]), k))[:toxicity.LEXICON_SIZE]
+    assert got.keys() == set(top) and len(got) > 3 and all(abs(got[k] - strong[k]) < 1e-9 for k in got)
+    texts = [*HARSH, None, *(r.text for r in rows[:400])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    told = {r.doc_id: r.features for r in toxicity.describe(table, got, "doc_id", "text").collect()}
+    assert len(told) == len(texts) and len(toxicity.NAMES) == len(told[0])
+    for k, t in enumerate(texts):
+        want = features_of(t, got)
+        assert np.allclose(told[k], want, atol=1e-9), (t, [(a, b, c) for a, b, c in zip(toxicity.NAMES, told[k], want) if abs(b - c) > 1e-9])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(150, 16))
