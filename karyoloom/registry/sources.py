@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..core import scratch
 from ..sources import catalog as CAT, names as N, sinks as SK, tables as T
+from ..sources.lines import read_lines
 from .base import query, view
 from .maps import r
 
@@ -97,6 +99,21 @@ def _(t):
     return CAT.describe(t("v_paths"))
 
 
+@query("files_by_state", "A13", """SELECT CASE l_returnflag WHEN 'A' THEN 'Healthy Control' WHEN 'N' THEN 'Disease State / Cancer' END AS state, concat('chr', l_linenumber) AS chrom, CASE WHEN l_linestatus = 'O' THEN 'table' ELSE 'unsupported' END AS kind,
+ count(*) AS lines, sum(length(concat(l_orderkey, '')) + 1) AS bytes FROM lineitem GROUP BY ALL""")
+def _(t):
+    rows = t("lineitem").select(F.concat(F.when(F.col("l_returnflag") == "A", "control").when(F.col("l_returnflag") == "N", "tumor").otherwise("run"), F.lit("_chr"), F.col("l_linenumber").cast("string")).alias("folder"),
+                                F.col("l_orderkey").cast("string").alias("value"), "l_linestatus")
+    root = scratch(t.spark, "catalogue")
+    for status, end in (("O", "csv"), ("F", "dat")):
+        at = rows.filter(F.col("l_linestatus") == status).drop("l_linestatus")
+        at.write.partitionBy("folder").option("extension", end).csv(f"{root}/{end}")
+    files = CAT.scan_folder(t.spark, root)
+    counts = read_lines(t.spark, f"{root}/*/*", numbered=False).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
+    named = files.withColumn("_f", F.regexp_replace("file", "^file:/+", "/")).join(counts.withColumn("_f", F.regexp_replace("file", "^file:/+", "/")).drop("file"), "_f")
+    return named.groupBy("state", "chrom", "kind").agg(F.sum("lines").alias("lines"), F.sum("length").alias("bytes"))
+
+
 view("v_files", "SELECT concat('b', cast(p_size AS varchar(9))) AS state, concat('dir', cast(p_partkey % 3 AS varchar(3)), '/', replace(p_name, ' ', '_'), '_', cast(p_partkey % 5 AS varchar(3)), '.bed') AS path, p_partkey % 4 AS n, p_partkey, p_partkey % 6 = 0 AS genomic FROM {part}")
 
 

@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 from karyoloom.functions import groups, intervals, ranks, special
 from karyoloom.operators import balance, bins, contacts, liftover, variants as V
 from karyoloom.sources.lines import read_lines
-from karyoloom.sources import names, sinks, tables, variants as RV
+from karyoloom.sources import catalog, names, sinks, tables, variants as RV
 
 
 def lines(spark, text, file="x"):
     return spark.createDataFrame([(file, k, v) for k, v in enumerate(text.split("\n"), 1)], "file string, line_no long, value string")
 
 
+def test_folder_catalogue(spark, tmp_path):
+    """Kind, state and chromosome from the places below the folder, not from the folder's own name."""
+    root = tmp_path / "cancer chr9 (x).d"
+    for name in ("wt/map_chr3.cool", "a b/tumor.v2/chrX.bed", "plain.txt", "wt/deep/senescent_chr22.npy", "notes.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"12345")
+    found = catalog.scan_folder(spark, f"{root}/")
+    assert {(r.path, r.kind, r.state, r.chrom, r.length) for r in found.collect()} == {
+        ("wt/map_chr3.cool", "contacts", catalog.HEALTHY, "chr3", 5), ("a b/tumor.v2/chrX.bed", "track", catalog.DISEASE, "chrX", 5),
+        ("plain.txt", "table", None, None, 5), ("wt/deep/senescent_chr22.npy", "structure", catalog.SENESCENT, "chr22", 5), ("notes.md", "unsupported", None, None, 5)}
+
+
 def test_chain_of_many_splits(spark, tmp_path):
     """Line numbers and blocks of two files, one over many splits, equal those of one pass in order."""
     rng = np.random.default_rng(1)
