@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..core import idiv
+from ..core import cut, idiv
 from ..functions.groups import runs
 from ..functions.intervals import overlaps, points_in_intervals
-from ..functions.ranks import spearman, top_k
+from ..functions.ranks import count_below, spearman, top_k
 from ..functions.stats import zscore
 from .structures import local_density, neighbor_pairs
 
@@ -153,18 +153,23 @@ def touching_pairs(gene_beads: DataFrame, beads: DataFrame, b0: float, resolutio
 
 
 def neighbours_within(genes: DataFrame, reach: int = 250_000, by: list[str] = ("chrom",)) -> DataFrame:
-    """Other genes whose TSS lies within `reach`: TSS counts per place meet the places around them, so a dense place is
-    joined once."""
-    c = genes.groupBy(*by, "tss").agg(F.count(F.lit(1)).alias("_c"))
-    spans = c.select(*by, F.col("tss").alias("_at"), (F.col("tss") - reach).alias("_lo"), (F.col("tss") + reach + 1).alias("_hi"))
-    k = points_in_intervals(c, spans, list(by), "tss", "_lo", "_hi").groupBy(*by, "_at").agg(F.sum("_c").alias("_k"))
-    return genes.join(k.withColumnRenamed("_at", "tss"), [*by, "tss"]).withColumn("neighbours", F.col("_k") - 1).drop("_k")
+    """Other genes whose TSS lies within `reach`: the running count of TSS at the upper end of the reach less that below its
+    lower end, so no pair of genes is made."""
+    by = list(by)
+    placed = genes.filter(F.col("tss").isNotNull()).select(*by, "tss")
+    low, high = F.col("tss") - reach, F.col("tss") + reach + 1
+    below = cut(count_below(placed.select(*by, F.explode(F.array(low, high)).alias("_at")), placed, by, "_at", "tss", "_below"))
+    side = lambda k: below.select(*by, F.col("_at").alias(f"_at{k}"), F.col("_below").alias(f"_{k}"))             # noqa: E731
+    c = placed.distinct().withColumns({"_atlow": low, "_athigh": high}).join(side("low"), [*by, "_atlow"]).join(side("high"), [*by, "_athigh"])
+    k = c.select(*by, "tss", (F.col("_high") - F.col("_low") - 1).alias("neighbours"))
+    return genes.join(k, [*by, "tss"])
 
 
 def feature_rows(genes: DataFrame, bins: DataFrame, bounds: DataFrame, oe: DataFrame, resolution: int, window_bp: int, by: list[str] = ("sample", "chrom")) -> DataFrame:
     """Feature row per gene: compartment, insulation, z of log coverage, log distance to the nearest boundary, gene density,
     local log2 O/E within 10 bins, strand-aware insulation slope, and expression. Rows with a missing feature are left out.
-    bins: (by, bin, compartment, insulation, cov); oe: (by, bin, local_oe); genes carry tss, strand, tpm and neighbours."""
+    bins: (by, bin, compartment, insulation, cov); oe: (by, bin, local_oe); genes carry tss, strand, tpm and neighbours. Genes
+    without some column of `by` (the sample) stand in every map that agrees in the others and has their bin."""
     by = list(by)
     cov = F.when(F.col("cov") > 0, F.log1p("cov"))
     w = W.partitionBy(*by)
@@ -178,7 +183,8 @@ def feature_rows(genes: DataFrame, bins: DataFrame, bounds: DataFrame, oe: DataF
     b = b.withColumns({"_l": left, "_r": right})
     gap = F.least(F.col("bin") - F.col("_l"), F.col("_r") - F.col("bin")) * resolution
     b = b.withColumn("log_dist_boundary", F.log10(F.coalesce(gap, F.lit(window_bp)) + resolution)).filter(F.col("cov") > 0)
-    g = genes.withColumn("bin", idiv("tss", resolution)).join(b, [*by, "bin"]).join(oe, [*by, "bin"])
+    own = [c for c in by if c in genes.columns]
+    g = genes.withColumn("bin", idiv("tss", resolution)).join(b.join(oe, [*by, "bin"]), [*own, "bin"])
     g = g.withColumns({"gene_density": F.log1p("neighbours"), "insulation_slope": F.when(F.col("strand") == "+", F.col("_up")).otherwise(-F.col("_up"))})
     cols = ["compartment", "insulation", "coverage", "log_dist_boundary", "gene_density", "local_oe", "insulation_slope", "tpm"]
     return g.select(*by, "name", "tss", *cols).dropna(subset=cols)

@@ -170,7 +170,7 @@ def _(t):
     ev = COMP.compartments(c, s).select("sample", "chrom", "bin", F.col("eigenvector").alias("compartment"))
     bins = ins.join(ev, ["sample", "chrom", "bin"]).join(t("v_cover").select("sample", "chrom", "bin", "cov"), ["sample", "chrom", "bin"])
     genes = G.neighbours_within(t("v_genes").withColumn("chrom", F.when(F.col("chrom") == "chr1", "chrA").when(F.col("chrom") == "chr2", "chrN").otherwise("chrR")))
-    genes = genes.join(t("v_expression").select(F.col("row_no").alias("gene_id"), F.col("value").alias("tpm")), "gene_id").join(t("v_samples"), "chrom")
+    genes = genes.join(t("v_expression").select(F.col("row_no").alias("gene_id"), F.col("value").alias("tpm")), "gene_id")
     return r(G.feature_rows(genes, bins, t("v_grid_bounds"), G.local_enrichment(c, s), 20_000, 2_000_000),
              "compartment", "insulation", "coverage", "log_dist_boundary", "gene_density", "local_oe", "insulation_slope", digits=4)
 
