@@ -90,3 +90,62 @@ def test_best_track_makes_no_pairs_of_files(spark):
     t = f.select("state", F.col("path").alias("track"), F.col("n").alias("track_n"), F.lit(False).alias("genomic"))
     got, most = most_rows(catalog.best_track(s, t))
     assert len(got) == 600 and {(r.length_score, r.same_folder, r.shared) for r in got} == {(2, 1, 2)} and all(r.track == r.structure for r in got) and most <= 6000
+
+
+# ---- traces
+def traces_of(spark, rows):
+    return spark.createDataFrame(rows, "dataset string, copy string, locus int, x double, y double, z double")
+
+
+def pair_lists(rows):
+    found = defaultdict(list)
+    for d, c, i, *p in rows:
+        for e, k, j, *q in rows:
+            if d is not None and c is not None and (d, c) == (e, k) and i < j and None not in (*p, *q):
+                found[d, i, j].append(math.dist(p, q))
+    return found
+
+
+@pytest.fixture
+def copies():
+    """Two datasets with undetected loci, a repeated row and rows without a key."""
+    rng = np.random.default_rng(4)
+    rows = [(f"set{c % 2}", f"c{c}", k, *(None if rng.integers(9) == 0 else float(v) for v in rng.normal(0, 100, 3))) for c in range(7) for k in range(11)]
+    return [*rows, rows[3], rows[40], (None, "c0", 1, 0.0, 0.0, 0.0), ("set0", None, 1, 0.0, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("tile, strip", [(256, 2_000_000), (4, 5)])
+def test_half_stats_by_tiles(spark, copies, monkeypatch, tile, strip):
+    monkeypatch.setattr(blocks, "PAIRS", strip)
+    monkeypatch.setattr(blocks, "TILE", tile)
+    monkeypatch.setattr(imaging, "TILE", tile)
+    got = imaging.half_stats(traces_of(spark, copies), 90.0).collect()
+    want = {k: (len(d), sum(x < 90 for x in d) / len(d), float(np.median(d))) for k, d in pair_lists(copies).items()}
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.seen, r.freq, r.median) == pytest.approx(want[r.dataset, r.i, r.j])
+
+
+@pytest.mark.parametrize("tile, together", [(256, 64), (4, 2)])
+def test_distances_with_spreads_by_tiles(spark, copies, monkeypatch, tile, together):
+    monkeypatch.setattr(blocks, "TILE", tile)
+    monkeypatch.setattr(imaging, "TILE", tile)
+    monkeypatch.setattr(imaging, "COPIES", together)
+    sigma = [(d, i, j, s) for d in ("set0", "set1") for i in range(11) for j in range(i, 11) if (i + j) % 5 for s in ([2.0 + i] if (i, j) != (1, 2) else [2.0, 5.0, 0.0, None])]
+    got = sorted((r.dataset, round(r.z, 9)) for r in imaging.standard_distances(traces_of(spark, copies), spark.createDataFrame(sigma, "dataset string, i int, j int, sigma double")).collect())
+    want = sorted((d, round(x / s, 9)) for (d, i, j), xs in pair_lists(copies).items() for x in xs for e, a, b, s in sigma if (d, i, j) == (e, a, b) and s)
+    assert got == want
+
+
+def test_pairs_of_copies_are_never_shuffled(spark):
+    """30 copies of 60 loci have 53,100 pairs; a task gives back the 1770 pairs of loci."""
+    t = traces_of(spark, [("s", f"c{c}", k, float(k * c), 1.0, float(k)) for c in range(30) for k in range(60)])
+    got, most = most_rows(imaging.half_stats(t, 10.0))
+    assert len(got) == 1770 and most <= 1800
+    sigma = t.select("dataset", F.col("locus").alias("i")).distinct().crossJoin(t.select(F.col("locus").alias("j")).distinct()).filter("i < j").withColumn("sigma", F.lit(20.0))
+    h = imaging.pit_histogram(imaging.standard_distances(t, sigma))
+    assert sum(r.n for r in h.collect()) == 53_100
+    plan = imaging.standard_distances(t, sigma)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan
+    cover = imaging.recalibrated_coverage(imaging.standard_distances(t, sigma), imaging.recalibrate(imaging.pit_histogram(imaging.standard_distances(t, sigma))))
+    assert "broadcast" in cover._jdf.queryExecution().optimizedPlan().toString().lower()
