@@ -149,3 +149,36 @@ def test_pairs_of_copies_are_never_shuffled(spark):
     assert "FlatMapCoGroups" in plan
     cover = imaging.recalibrated_coverage(imaging.standard_distances(t, sigma), imaging.recalibrate(imaging.pit_histogram(imaging.standard_distances(t, sigma))))
     assert "broadcast" in cover._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+# ---- ranks
+def test_buckets_come_from_one_sort(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 1500).cast("double").alias("v"))
+    b = ranks.value_buckets(df, ["g"], "v")
+    assert "percentile" not in b._jdf.queryExecution().optimizedPlan().toString()
+    rows, spans = b.collect(), defaultdict(list)
+    for r in rows:
+        spans[r.g, r._b].append(r.v)
+    ordered = sorted((g, n, min(v), max(v)) for (g, n), v in spans.items())
+    assert len(rows) == 3000 and all(x[3] < y[2] for x, y in zip(ordered, ordered[1:]) if x[0] == y[0])
+    assert max(map(len, spans.values())) <= 400
+
+
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_rank_correlation_of_small_and_large_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", most)
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 50 == 0 else f"g{k % 3}", *(None if rng.integers(15) == 0 else float(v) for v in rng.integers(0, 12, 2))) for k in range(400)]
+    got = {r.g: (r.n, round(r.rho, 9)) for r in ranks.spearman(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    import pandas as pd
+    full = pd.DataFrame(rows, columns=["g", "x", "y"]).dropna()
+    assert got == {g: (len(p), round(p.x.rank().corr(p.y.rank()), 9)) for g, p in full.groupby("g")}
+
+
+def test_contact_fit_keeps_beads_out_of_the_samples(spark):
+    """50 samples over 3 bins, 200 beads: distances are made once for the pixels that occur."""
+    px = spark.range(50).select(F.concat(F.lit("s"), "id").alias("sample"), F.lit("c").alias("chrom"), F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(n)).alias("cnt")) for i, j, n in ((0, 1, 9), (0, 2, 4), (1, 2, 7))])))
+    beads = spark.range(200).select(F.lit("c").alias("chrom"), F.lit("m").alias("structure"), F.col("id").alias("bead"), (F.col("id") * F.col("id")).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    got, most = most_rows(maps.contact_fit(px, beads, ["sample", "chrom"]))
+    assert len(got) == 50 and {(r.structure, r.n, r.rho) for r in got} == {("m", 3, 1.0)} and most <= 200
