@@ -20,8 +20,9 @@ result; other columns are kept by `keep_one` and ignored by the others. Texts of
 Their fingerprints are wider (512 bits over distinct shingles), as a bit of two texts differs with probability acos(cosine)/pi,
 15 % at a similarity of 0.8. Each tree has its own drawn bits, log2(texts / rows of a leaf) of them, and as many trees grow as
 bring two texts of that similarity into one leaf with probability `recall`, at every size of the corpus. In a leaf, pairs far
-closer than the limit (four standard deviations of the distance) are links; pairs within four deviations of it, thinned to a
-minimum spanning forest, are links if the shingles of their whole texts say so. Equal sets of shingles are one class before
+closer than the limit (four standard deviations of the distance) are links; all others up to six deviations beyond it are links
+if the shingles of their whole texts say so: first those of a minimum spanning forest, then every pair that is still in two
+groups. Equal sets of shingles are one class before
 the search; texts without words have equal (empty) sets; the other defined cases are those above.
 """
 
@@ -45,7 +46,9 @@ PIECE = 400_000                     # shingles whose bits are unpacked at a time
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 SIMILAR_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.995
 WIDE = 8                            # 64-bit words of a wide fingerprint
-DEVIATIONS = 4.0
+DEVIATIONS, BEYOND = 4.0, 6.0       # of the distance: a link without a look at the texts, no link without one
+PART = 5                            # words of a wide fingerprint that rule out most pairs
+SURE, FOREST, REST = 0, 1, 2        # kinds of candidate links
 
 
 def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,8 +288,8 @@ def differing(similarity: float) -> float:
 
 def bounds(bits: int, share: float) -> tuple[int, int]:
     """Distances over `bits` bits up to which a pair surely is similar, and beyond which it surely is not."""
-    spread = DEVIATIONS * math.sqrt(bits * share * (1 - share))
-    return math.floor(bits * share - spread), math.ceil(bits * share + spread)
+    spread = math.sqrt(bits * share * (1 - share))
+    return math.floor(bits * share - DEVIATIONS * spread), math.ceil(bits * share + BEYOND * spread)
 
 
 def forest(u: np.ndarray, v: np.ndarray, far: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -307,29 +310,34 @@ def forest(u: np.ndarray, v: np.ndarray, far: np.ndarray, label: np.ndarray) ->
         label = _joined(label, u[at[pick]], v[at[pick]])
 
 
-def near_pairs(fp: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label of every row after all sure links, then the pairs of a spanning forest of the unsure ones: u, v)."""
+def near_pairs(fp: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(label of every row after all sure links, then all unsure pairs of two labels: u, v, whether a spanning forest has them)."""
     n = len(fp)
     sure, most = bounds(64 * WIDE, share)
-    first = bounds(64, share)[1]
-    label, u, v, far = np.arange(n), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    label, found = np.arange(n), [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int16))]
     step = max(1, 1_000_000 // max(n, 1))
     for a in range(0, n, step):
-        i, j = np.nonzero(_bits(fp[a:a + step, None, 0] ^ fp[None, a:, 0]) <= first)
+        # no distance is smaller than over some of the words; a sum that runs over a byte only lets a pair pass
+        part = _bits(fp[a:a + step, None, 0] ^ fp[None, a:, 0])
+        for k in range(1, PART):
+            part += _bits(fp[a:a + step, None, k] ^ fp[None, a:, k])
+        i, j = np.nonzero(part <= most)
         i, j = i[i < j] + a, j[i < j] + a
-        d = _bits(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+        d = _bits(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int16)
         close = d <= sure
         if (label[i[close]] != label[j[close]]).any():
             label = _joined(label, i[close], j[close])
+            found = [tuple(x[label[u] != label[v]] for x in (u, v, far)) for u, v, far in found]
         unsure = ~close & (d <= most) & (label[i] != label[j])
-        u, v, far = np.concatenate([u, i[unsure]]), np.concatenate([v, j[unsure]]), np.concatenate([far, d[unsure]])
-        left = forest(u, v, far, label)
-        u, v, far = u[left], v[left], far[left]
-    return label, u, v
+        found.append((i[unsure].astype(np.int32), j[unsure].astype(np.int32), d[unsure]))
+    u, v, far = (np.concatenate(x) for x in zip(*found))
+    first = np.zeros(len(u), bool)
+    first[forest(u, v, far, label)] = True
+    return label, u, v, first
 
 
 def candidate_links(classes: DataFrame, similarity: float, recall: float, sample: int, leaf_rows: int) -> DataFrame:
-    """Edges (a, b, sure) between keys of the classes (key, fp)."""
+    """Edges (a, b, kind) between keys of the classes (key, fp)."""
     share, total = differing(similarity), classes.count()
     depth = max(0, math.ceil(math.log2(max(total, 1) / leaf_rows)))
     together = (1 - share) ** depth
@@ -369,13 +377,13 @@ def candidate_links(classes: DataFrame, similarity: float, recall: float, sample
         key = table.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         key, fp = key[order], read(table.column("fp"))[order].view("<u8")
-        label, u, v = near_pairs(fp, share)
+        label, u, v, first = near_pairs(fp, share)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": np.concatenate([key[label[moved]], key[u]]), "b": np.concatenate([key[moved], key[v]]),
-                         "sure": np.repeat([True, False], [len(moved), len(u)])})
+                         "kind": np.concatenate([np.full(len(moved), SURE, np.int32), np.where(first, FOREST, REST).astype(np.int32)])})
 
-    edges = dealt.groupBy(*by, "_a", "_b").applyInArrow(compare, "a bigint, b bigint, sure boolean")
-    return edges.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    edges = dealt.groupBy(*by, "_a", "_b").applyInArrow(compare, "a bigint, b bigint, kind int")
+    return edges.groupBy("a", "b").agg(F.min("kind").alias("kind"))
 
 
 def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -398,6 +406,12 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def roots(edges: DataFrame) -> DataFrame:
+    """(key, root) of the keys that edges (a, b) link."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    return stored(components(nodes, edges, []).select(F.col("node").alias("key"), F.col("component").alias("root")))
+
+
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY,
                     recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rows (id, tie, key) of the documents, and (key, root, first) of their classes: root names the group of a class, first is
@@ -406,13 +420,19 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
     classes = stored(made.groupBy("key").agg(first, F.max("fp").alias("fp")))
     edges = stored(candidate_links(classes, similarity, recall, sample, leaf_rows))
-    open_ = edges.filter(~F.col("sure")).select("a", "b")
+    of = lambda kind: edges.filter(F.col("kind") == kind).select("a", "b")                             # noqa: E731
+    open_ = edges.filter(F.col("kind") != SURE)
     ends = open_.select(F.col("a").alias("key")).union(open_.select(F.col("b").alias("key"))).distinct()
     ties = classes.join(ends, "key", "left_semi").select("key", F.col("first.tie").alias("tie"))
     texts = docs.select(F.xxhash64(doc_id, whole(text)).alias("tie"), whole(text).alias("text")).join(ties, "tie").dropDuplicates(["key"])
-    linked = stored(edges.filter("sure").select("a", "b").union(verified(open_, stored(texts.select("key", "text")), words, similarity)))
-    nodes = linked.select(F.col("a").alias("node")).union(linked.select(F.col("b").alias("node"))).distinct()
-    found = components(nodes, linked, []).select(F.col("node").alias("key"), F.col("component").alias("root"))
+    texts = stored(texts.select("key", "text"))
+    linked = stored(of(SURE).union(verified(of(FOREST), texts, words, similarity)))
+    found, rest = roots(linked), of(REST)
+    if not rest.isEmpty():
+        # a pair inside one group changes nothing; any other may link two groups that the forest left apart
+        side = lambda k: found.select(F.col("key").alias(k), F.col("root").alias(f"_{k}"))             # noqa: E731
+        apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+        found = roots(stored(linked.union(verified(apart.select("a", "b"), texts, words, similarity))))
     groups = classes.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
     return made.select("id", "tie", "key"), groups
 

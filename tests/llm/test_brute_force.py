@@ -470,6 +470,39 @@ def test_spanning_forest_of_unsure_pairs():
     assert int(far[picked].sum()) == weight and len(picked) == 60 - len({want.find(i) for i in range(60)})
 
 
+def test_no_unsure_pair_is_left_out():
+    """All pairs up to the limit come back, those of no spanning forest and those that differ in one word most."""
+    rng = np.random.default_rng(6)
+    share = vantage_simhash.differing(0.8)
+    sure, most = vantage_simhash.bounds(64 * vantage_simhash.WIDE, share)
+    bits = rng.integers(0, 2, (1, 512)).astype(np.uint8).repeat(40, axis=0)
+    for k in range(1, 40):
+        at = rng.choice(512, int(rng.integers(10, 70)), replace=False) if k % 4 else rng.choice(64, 50, replace=False)
+        bits[k, at] ^= 1
+    fp = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    far = {(i, j): int((bits[i] != bits[j]).sum()) for i in range(40) for j in range(i + 1, 40)}
+    label, u, v, first = vantage_simhash.near_pairs(fp, share)
+    groups = Groups(range(40))
+    for (i, j), d in far.items():
+        if d <= sure:
+            groups.join(i, j)
+    assert all((label[i] == label[j]) == (groups.find(i) == groups.find(j)) for i, j in far)
+    want = {p for p, d in far.items() if sure < d <= most and label[p[0]] != label[p[1]]}
+    assert {(int(i), int(j)) for i, j in zip(u, v)} == want and len(u) == len(want)
+    assert 0 < first.sum() < len(u) and any((bits[i, :64] != bits[j, :64]).sum() > 40 for i, j in want)
+
+
+def test_link_that_no_forest_has(spark, monkeypatch):
+    """Two groups stay linked when the pair of the forest fails the look at the texts and a farther one passes."""
+    words = [f"w{k}" for k in range(120)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:114], *(f"x{k}" for k in range(6))])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    real = vantage_simhash.candidate_links
+    kinds = lambda *a: real(*a).withColumn("kind", F.lit(vantage_simhash.REST))                          # noqa: E731
+    monkeypatch.setattr(vantage_simhash, "candidate_links", kinds)
+    assert {r.component_id for r in vantage_simhash.similar_documents(docs).collect()} == {1}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
