@@ -80,6 +80,15 @@ def test_encoder_forgets_words(monkeypatch):
         assert encoder.encode(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_learns_a_stem_once():
+    import pyarrow as pa
+    encoder, texts = token_store.Encoder(queries.TOKENIZER), ["Zug zug, ZUG. zug", "zUg Ñandú ñandú, ÑANDÚ.", "Zug., x1 Ⱥb ⱥb,"]
+    ids, ends = encoder.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[ends[k]:ends[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert {"zug", "ñandú"} < set(encoder.places) and not {"Zug", "zug,", "ZUG.", "ÑANDÚ."} & set(encoder.places)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-2**62, 2**62, 5_000))
     levels = token_store._levels(keys)
