@@ -196,3 +196,38 @@ def test_kept_bins(spark):
         want += [(name, x, k, sum(j for y, j in zip(left, jumps) if y <= x)) for k, x in enumerate(left)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_domain_scores_by_running_sums(spark):
+    # windows over several blocks of bins, against a plain sum over the pixels of each window
+    import random
+    from collections import defaultdict
+
+    from karyoloom.operators import domains
+    rng, n, most = random.Random(4), 41, 7
+    px = {(i, j): float(rng.randint(1, 9)) for i in range(n) for j in range(i, n) if rng.random() < 0.6}
+    bounds = sorted(rng.sample(range(1, n), 17))
+    c = spark.createDataFrame([("s", "c", i, j, v) for (i, j), v in px.items()] + [("s", "c", 1, 2, None), ("t", "c", 0, 1, 1.0)], "sample string, chrom string, i long, j long, cnt double")
+    b = spark.createDataFrame([("s", "c", k) for k in bounds], "sample string, chrom string, bin long")
+    z = spark.createDataFrame([("s", "c", n), ("t", "c", 2)], "sample string, chrom string, n long")
+    want, edges = {}, sorted({0, n, *bounds})
+    for a in edges:
+        for e in edges:
+            size, (lo, hi) = e - a, (max(0, 2 * a - e), min(n, 2 * e - a))
+            if not 3 <= size <= most:
+                continue
+            every, part, out = defaultdict(float), defaultdict(float), defaultdict(float)
+            for (i, j), v in px.items():
+                if i >= lo and j < hi and j > i:
+                    every[j - i] += v
+                    part[j - i] += v * (i >= a and j < e)
+                    out[j - i] += v * ((i < a <= j < e) or (a <= i < e <= j))
+            over = lambda x: sum(x[d] / (every[d] / (hi - lo - d)) for d in every)          # noqa: B023, E731
+            flank = size * ((a - lo) + (hi - e))
+            if flank and over(out) > 0:
+                ratio = (over(part) / (size * (size - 1) / 2)) / (over(out) / flank)
+                if ratio >= 0.9:
+                    want[a, e] = round(ratio, 9)
+    scored = domains.domain_scores(c, b, z, min_ratio=0.9, max_bins=most)
+    assert {(r.start, r.end): round(r.ratio, 9) for r in scored.collect()} == want and want
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 1
