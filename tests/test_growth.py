@@ -231,3 +231,26 @@ def test_domain_scores_by_running_sums(spark):
     scored = domains.domain_scores(c, b, z, min_ratio=0.9, max_bins=most)
     assert {(r.start, r.end): round(r.ratio, 9) for r in scored.collect()} == want and want
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_touching_genes_travel_with_their_beads(spark):
+    # more genes on a bead than a bundle holds, a crowded cell, repeated genes; a search carries columns and needs no join after
+    import math
+    import random
+    from collections import Counter
+
+    from karyoloom.operators import structures
+    rng = random.Random(5)
+    at = [(k, *(rng.random() * (0.2 if k % 2 else 4.0) for _ in range(3))) for k in range(330)]
+    beads = spark.createDataFrame([("m", *b) for b in at] + [("m", 999, 0.0, 0.0, 0.0)], "structure string, bead long, x double, y double, z double")
+    held = [(7, g) for g in range(150)] + [(7, 3)] + [(k, 1000 + k) for k in range(0, 330, 6)] + [(2, 5), (12345, 6)]
+    got = genes.touching_pairs(spark.createDataFrame([("m", *h) for h in held], "structure string, bead long, gene long"), beads, 0.25, 1_000_000)
+    where, want = {b[0]: b[1:] for b in at}, Counter()
+    for n, (p, g) in enumerate(held):
+        for q, h in held[n + 1:]:
+            if p in where and q in where and (p != q or g != h) and math.dist(where[p], where[q]) < 0.5:
+                want[min(g, h), max(g, h), float(abs(p - q))] += 1
+    assert Counter((r.gene_a, r.gene_b, r.apart_mb) for r in got.collect()) == want
+    tagged = beads.withColumn("tag", F.col("bead") * 10)
+    pairs = structures.neighbor_pairs(tagged, 0.5, 1, ["structure"], ["tag"])
+    assert pairs.filter("tag_i <> i * 10 OR tag_j <> j * 10").count() == 0 < pairs.count()
