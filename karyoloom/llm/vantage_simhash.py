@@ -22,8 +22,9 @@ Their fingerprints are wider (512 bits over distinct shingles), as a bit of two
 bring two texts of that similarity into one leaf with probability `recall`, at every size of the corpus. In a leaf, pairs far
 closer than the limit (four standard deviations of the distance) are links; all others up to six deviations beyond it are links
 if the shingles of their whole texts say so: first those of a minimum spanning forest, then every pair that is still in two
-groups. Equal sets of shingles are one class before
-the search; texts without words have equal (empty) sets; the other defined cases are those above.
+groups. A leaf returns a row for each document in such pairs, not one for each pair; the pairs left between two groups are
+compared in the task of their leaf, which is sent the shingles of the documents in them, SET_BYTES at a time. Equal sets of
+shingles are one class before the search; texts without words have equal (empty) sets; the other defined cases are those above.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.groups import components
-from .common import free_memory, mix64, rows_of, slices, stored, whole
+from .common import free_memory, mix64, ragged, rows_of, segment_sums, slices, stored, whole
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 SAMPLE, LEAF_ROWS = 8_192, 2_048
@@ -49,6 +50,7 @@ WIDE = 8                            # 64-bit words of a wide fingerprint
 DEVIATIONS, BEYOND = 4.0, 6.0       # of the distance: a link without a look at the texts, no link without one
 PART = 5                            # words of a wide fingerprint that rule out most pairs
 SURE, FOREST, REST = 0, 1, 2        # kinds of candidate links
+SET_BYTES = 16_000_000              # shingles that one part of a leaf holds; two parts meet in a task
 
 
 def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,8 +338,61 @@ def near_pairs(fp: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np
     return label, u, v, first
 
 
+def crossing(fp: np.ndarray, group: np.ndarray, share: float) -> np.ndarray:
+    """Indices of the rows that have an unsure pair with a row of another group."""
+    n, most = len(fp), bounds(64 * WIDE, share)[1]
+    out = np.zeros(n, bool)
+    step = max(1, 1_000_000 // max(n, 1))
+    for a in range(0, n, step):
+        near = (group[a:a + step, None] != group[None, a:]) & (_bits(fp[a:a + step, None, 0] ^ fp[None, a:, 0]) <= most)
+        i, j = np.nonzero(near)
+        i, j = i[i < j] + a, j[i < j] + a
+        for k in range(0, len(i), PIECE):
+            x, y = i[k:k + PIECE], j[k:k + PIECE]
+            hit = _bits(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int16) <= most
+            out[x[hit]] = out[y[hit]] = True
+    return np.flatnonzero(out)
+
+
+def similar_pairs(fp: np.ndarray, group: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, share: float, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that join the groups which some unsure pair joins whose sets of shingles have this Jaccard similarity."""
+    most, size = bounds(64 * WIDE, share)[1], np.diff(offsets)
+    label = np.unique(group, return_inverse=True)[1]
+    names, codes = np.unique(hashes, return_inverse=True)
+    mine = np.zeros(len(names), bool)
+    found = []
+    for k in range(len(fp)):
+        rest = k + 1 + np.flatnonzero((label[k + 1:] != label[k]) & (np.minimum(size[k + 1:], size[k]) >= similarity * np.maximum(size[k + 1:], size[k])))
+        rest = rest[_bits(fp[rest] ^ fp[k]).sum(axis=1, dtype=np.int16) <= most]
+        if not len(rest):
+            continue
+        own = codes[offsets[k]:offsets[k + 1]]
+        mine[own] = True
+        both = segment_sums(mine[codes[ragged(offsets[rest], size[rest])]].astype(np.int64), np.concatenate([[0], np.cumsum(size[rest])]))
+        mine[own] = False
+        rest = rest[both >= similarity * (size[rest] + size[k] - both)]
+        joined, first = np.unique(label[rest], return_index=True)
+        found.extend((k, int(x)) for x in rest[first])
+        label[np.isin(label, joined)] = label[k]
+    u, v = np.array(found, np.int64).reshape(-1, 2).T
+    return u, v
+
+
+def paired(rows: DataFrame, by: list[str], parts: DataFrame) -> DataFrame:
+    """`rows` dealt by key to the parts of their group, `_n` in `parts`, and sent to every pair (_a, _b) of parts with their own."""
+    own, other = F.pmod(F.xxhash64("key"), "_n").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    return (rows.join(parts, by).withColumn("_own", own).withColumn("_other", other)
+            .select(*rows.columns, F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b")))
+
+
+def wide(column) -> np.ndarray:
+    """The bytes of wide fingerprints, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+
+
 def candidate_links(classes: DataFrame, similarity: float, recall: float, sample: int, leaf_rows: int) -> DataFrame:
-    """Edges (a, b, kind) between keys of the classes (key, fp)."""
+    """Edges (a, b, kind, at) between keys of the classes (key, fp), at names the part of a leaf that saw them. The unsure pairs
+    beyond the forest (REST) can be many times the rows: every row in them comes with one of its pairs."""
     share, total = differing(similarity), classes.count()
     depth = max(0, math.ceil(math.log2(max(total, 1) / leaf_rows)))
     together = (1 - share) ** depth
@@ -346,19 +401,16 @@ def candidate_links(classes: DataFrame, similarity: float, recall: float, sample
     places = [rng.choice(64 * WIDE, depth, replace=False) for _ in range(count)]
     picked = classes.orderBy(F.xxhash64("key")).select("fp").limit(sample).toArrow().column(0)       # at most `sample` fingerprints
 
-    def read(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-
     def block(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
         bits = (fp[:, at // 8] >> (at % 8).astype(np.uint8)) & 1
         return (bits.astype(np.uint64) << np.arange(len(at), dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
-    heads = read(picked)
+    heads = wide(picked)
     trees = [grow(block(heads, at), (1 << depth) - 1, total, leaf_rows, k) for k, at in enumerate(places)]
 
     def route(batches):
         for batch in batches:
-            fp = read(batch.column(1))
+            fp = wide(batch.column(1))
             for tree, (at, nodes) in enumerate(zip(places, trees)):
                 leaf_of = np.empty(len(fp), np.int32)
                 for leaf, rows, _ in visit(block(fp, at), nodes, 0):
@@ -369,21 +421,23 @@ def candidate_links(classes: DataFrame, similarity: float, recall: float, sample
     by = ["tree", "leaf"]
     routed = stored(classes.select("key", "fp").mapInArrow(route, "tree int, leaf int, key bigint, fp binary"))
     sizes = routed.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_rows)).cast("int").alias("_n"))
-    own, other = F.pmod(F.xxhash64("key"), "_n").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    dealt = (routed.join(sizes, by).withColumn("_own", own).withColumn("_other", other)
-             .select(*by, "key", "fp", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b")))
+    dealt = paired(routed, by, sizes)
 
     def compare(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
-        key, fp = key[order], read(table.column("fp"))[order].view("<u8")
+        key, fp = key[order], wide(table.column("fp"))[order].view("<u8")
         label, u, v, first = near_pairs(fp, share)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": np.concatenate([key[label[moved]], key[u]]), "b": np.concatenate([key[moved], key[v]]),
-                         "kind": np.concatenate([np.full(len(moved), SURE, np.int32), np.where(first, FOREST, REST).astype(np.int32)])})
+        rest = np.flatnonzero(~first)
+        rest = rest[np.union1d(*(np.unique(x[rest], return_index=True)[1] for x in (u, v)))]
+        some = np.concatenate([np.flatnonzero(first), rest])
+        kind = np.repeat(np.array([SURE, FOREST, REST], np.int32), [len(moved), len(some) - len(rest), len(rest)])
+        at = "-".join(str(table.column(c)[0]) for c in (*by, "_a", "_b"))
+        return pa.table({"a": np.concatenate([key[label[moved]], key[u[some]]]), "b": np.concatenate([key[moved], key[v[some]]]),
+                         "kind": kind, "at": pa.array([at] * len(kind), pa.string())})
 
-    edges = dealt.groupBy(*by, "_a", "_b").applyInArrow(compare, "a bigint, b bigint, kind int")
-    return edges.groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    return dealt.groupBy(*by, "_a", "_b").applyInArrow(compare, "a bigint, b bigint, kind int, at string")
 
 
 def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -406,6 +460,36 @@ def verified(edges: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def links_between(rest: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all groups of `found` (key, root) with a similar pair among the rows that meet in `rest` (a, b, at)."""
+    share = differing(similarity)
+
+    def open_rows(table: pa.Table) -> pa.Table:
+        return table.select(["at", "key", "fp", "root"]).take(pa.array(crossing(wide(table.column("fp")).view("<u8"), table.column("root").to_numpy(), share)))
+
+    def sets(batches):
+        for batch in batches:
+            for x, y in slices(batch.column(1), 1_000_000):
+                hashes, offsets = shingle_sets(batch.column(1).slice(x, y - x), words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array([hashes[p:q].tobytes() for p, q in zip(offsets[:-1], offsets[1:])], pa.binary())],
+                                                 ["key", "hashes"])
+        free_memory()
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, data = table.column("key").to_numpy(), table.column("hashes").to_pylist()
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in data])]).astype(np.int64)
+        u, v = similar_pairs(wide(table.column("fp")).view("<u8"), table.column("root").to_numpy(), np.frombuffer(b"".join(data), np.uint64), offsets, share, similarity)
+        return pa.table({"a": key[u], "b": key[v]})
+
+    rows = rest.select("at", F.col("a").alias("key")).union(rest.select("at", F.col("b").alias("key"))).distinct()
+    rows = rows.join(classes.select("key", "fp"), "key").join(found, "key", "left").select("at", "key", "fp", F.coalesce("root", "key").alias("root"))
+    open_ = stored(rows.groupBy("at").applyInArrow(open_rows, "at string, key bigint, fp binary, root bigint"))
+    used = stored(texts.join(open_.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, hashes binary"))
+    full = open_.join(used, "key").select("at", "key", "fp", "root", "hashes")
+    parts = open_.join(used.select("key", F.length("hashes").alias("_size")), "key").groupBy("at").agg(F.greatest(F.lit(1), F.ceil(F.sum("_size") / SET_BYTES)).cast("int").alias("_n"))
+    return paired(full, ["at"], parts).groupBy("at", "_a", "_b").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(key, root) of the keys that edges (a, b) link."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
@@ -420,19 +504,17 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
     classes = stored(made.groupBy("key").agg(first, F.max("fp").alias("fp")))
     edges = stored(candidate_links(classes, similarity, recall, sample, leaf_rows))
-    of = lambda kind: edges.filter(F.col("kind") == kind).select("a", "b")                             # noqa: E731
+    of = lambda kind: edges.filter(F.col("kind") == kind).select("a", "b").distinct()                  # noqa: E731
     open_ = edges.filter(F.col("kind") != SURE)
     ends = open_.select(F.col("a").alias("key")).union(open_.select(F.col("b").alias("key"))).distinct()
     ties = classes.join(ends, "key", "left_semi").select("key", F.col("first.tie").alias("tie"))
     texts = docs.select(F.xxhash64(doc_id, whole(text)).alias("tie"), whole(text).alias("text")).join(ties, "tie").dropDuplicates(["key"])
     texts = stored(texts.select("key", "text"))
     linked = stored(of(SURE).union(verified(of(FOREST), texts, words, similarity)))
-    found, rest = roots(linked), of(REST)
+    found, rest = roots(linked), edges.filter(F.col("kind") == REST)
     if not rest.isEmpty():
         # a pair inside one group changes nothing; any other may link two groups that the forest left apart
-        side = lambda k: found.select(F.col("key").alias(k), F.col("root").alias(f"_{k}"))             # noqa: E731
-        apart = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-        found = roots(stored(linked.union(verified(apart.select("a", "b"), texts, words, similarity))))
+        found = roots(stored(linked.union(links_between(rest, classes, found, texts, words, similarity))))
     groups = classes.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first")
     return made.select("id", "tie", "key"), groups
 

@@ -512,6 +512,53 @@ def test_link_that_no_forest_has(spark, monkeypatch):
     assert {r.component_id for r in vantage_simhash.similar_documents(docs).collect()} == {1}
 
 
+def test_unsure_pairs_give_a_row_for_each_document(spark, monkeypatch):
+    """A group of near copies that no fingerprint is sure of: candidates grow with its documents, not with their pairs, and the
+    pairs left after the forest are compared in parts of any size."""
+    rng = np.random.default_rng(8)
+    base = [[f"{c}{k}" for k in range(200)] for c in "ab"]
+    texts = {k: changed(" ".join(base[k % 2]), 0.03, rng) for k in range(240)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    seen = []
+    real = vantage_simhash.candidate_links
+    monkeypatch.setattr(vantage_simhash, "candidate_links", lambda *a: seen.append(real(*a)) or seen[-1])
+    groups, links = jaccard_groups(texts)
+    for size in (vantage_simhash.SET_BYTES, 4_000):
+        monkeypatch.setattr(vantage_simhash, "SET_BYTES", size)
+        got = {r.id: r.component_id for r in vantage_simhash.similar_documents(docs).collect()}
+        assert sum(got[i] != got[j] for i, j in links) <= 0.002 * len(links)
+        assert not [i for i in texts if groups.find(got[i]) != groups.find(i)]
+    kinds = {r.kind: r["count"] for r in seen[0].groupBy("kind").count().collect()}
+    assert 0 < kinds[vantage_simhash.REST] and sum(kinds.values()) <= 4 * len(texts)
+
+
+def test_pairs_between_groups_are_compared_on_their_sets():
+    """Links join the groups that a similar pair joins, and no others."""
+    rng = np.random.default_rng(9)
+    share, pool = vantage_simhash.differing(0.8), rng.integers(0, 1 << 62, 90).astype(np.uint64)
+    sets = [np.sort(rng.choice(pool[:45] if k % 3 else pool[40:], int(rng.integers(28, 42)), replace=False)) for k in range(60)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    fp, group = np.zeros((60, vantage_simhash.WIDE), np.uint64), np.arange(60) // 2 + 7
+    u, v = vantage_simhash.similar_pairs(fp, group, np.concatenate(sets), offsets, share, 0.8)
+    want, got = Groups(range(60)), Groups(range(60))
+    for k in range(0, 60, 2):
+        want.join(k, k + 1)
+        got.join(k, k + 1)
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                want.join(i, j)
+    for i, j in zip(u.tolist(), v.tolist()):
+        got.join(i, j)
+    assert len(u) < 30 and [got.find(i) == got.find(j) for i in range(60) for j in range(i)] == [want.find(i) == want.find(j) for i in range(60) for j in range(i)]
+    assert 1 < len({want.find(i) for i in range(60)}) < 30
+    fp[::2] = np.uint64(0xFFFFFFFFFFFFFFFF)                                  # rows too far apart by their fingerprints are no pair
+    far = vantage_simhash.similar_pairs(fp[:2], np.arange(2), np.concatenate([sets[1], sets[1]]), np.array([0, len(sets[1]), 2 * len(sets[1])]), share, 0.8)
+    assert len(far[0]) == 0
+    assert vantage_simhash.crossing(fp[:4], np.array([1, 2, 1, 3]), share).tolist() == [1, 3]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
