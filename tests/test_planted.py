@@ -69,6 +69,20 @@ def test_compartments(spark):
     assert np.mean([(ev[k] > 0) == (lab[k] == 1) for k in range(n)]) > 0.95
 
 
+def test_compartments_carry_the_track_once(spark):
+    """No pixel carries the orientation track of its map, and maps are ordered by no window over their pixels."""
+    n = 40
+    m = np.fromfunction(lambda i, j: 10.0 + 5 * ((i < 20) == (j < 20)) + (i * 7 + j * 7) % 3, (n, n))
+    for sign in (1, -1):
+        track = spark.createDataFrame([("s", "c", k, float(sign * k)) for k in range(n)], "sample string, chrom string, bin long, value double")
+        df = compartments.compartments(frame(spark, m), sizes(spark, n), track)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_from_entries" not in plan and "Window" not in plan
+        ev = {r.bin: r.eigenvector for r in df.collect()}
+        assert len(ev) == n and sign * np.cov([ev[k] for k in range(n)], np.arange(n))[0, 1] > 0
+
+
+
 def test_differential_pixels(spark):
     rng = np.random.default_rng(8)
     n = 80
