@@ -22,10 +22,8 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str],
     width = F.element_at(F.array(*[F.lit(w).cast("long") for w in WIDTHS]), F.col("_lv") + 1)
     sized = intervals.filter(size > 0).withColumn("_lv", level)
     iv = sized.withColumn("_bk", F.explode(F.sequence(idiv(F.col(start), width), idiv(F.col(end) - 1, width))))
-    present = sized.agg(F.collect_set("_lv").alias("_present"))                        # one row of at most six numbers
-    cells = F.array(*[F.struct(F.lit(k).alias("_lv"), idiv(F.col(pos), w).alias("_bk")) for k, w in enumerate(WIDTHS)])
-    used = F.filter(cells, lambda c: F.array_contains("_present", c["_lv"]))
-    pt = points.join(F.broadcast(present), F.lit(True)).select(*points.columns, F.inline(used))
+    present = sized.select("_lv").distinct()                                           # six rows at most
+    pt = points.join(F.broadcast(present), F.lit(True)).withColumn("_bk", idiv(F.col(pos), width))
     hit = pt.join(iv, [*by, "_lv", "_bk"])
     return hit.filter((F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))).drop("_lv", "_bk")
 

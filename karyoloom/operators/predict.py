@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..core import cut
 from ..functions.intervals import pair_tiles, points_in_intervals
-from ..functions.ranks import count_below, quantiles, spearman
+from ..functions.ranks import quantiles, spearman
 from ..functions.regress import least_squares, ridge, ridge_with_missing
 from .ensemble import median_distance
 
@@ -17,15 +17,36 @@ def log10_sep(c: str = "sep") -> Column:
     return F.log10(F.greatest(F.col(c).cast("double"), F.lit(1.0)))
 
 
-def loci_with_counts(loci: DataFrame, peaks: DataFrame, by: list[str] = ("chrom",)) -> DataFrame:
-    """Peaks below the start and below the end of each locus, for counts between two loci."""
-    by = list(by)
-    ends = loci.select(*by, F.explode(F.array("start", "end")).alias("_at"))
-    c = cut(count_below(ends, peaks, by, "_at", "mid", "_below"))
+def axis_cells(loci: DataFrame, by: list[str]) -> DataFrame:
+    """The axis of each group cut at all starts and ends of its loci: (by, _at, _end), the last cell without an end."""
+    edges = loci.select(*by, F.explode(F.array("start", "end")).alias("_at")).dropna().distinct()
+    return edges.withColumn("_end", F.lead("_at").over(W.partitionBy(*by).orderBy("_at")))
+
+
+def in_cells(points: DataFrame, cells: DataFrame, by: list[str], pos: str, *also: str) -> DataFrame:
+    """(by, also, _at, _n, _v): number and summed `value` of the points of each cell that holds some. A point meets its cell
+    once; all later steps work on cells."""
+    hit = points_in_intervals(points.withColumnRenamed(pos, "_pos"), cells.filter("_end IS NOT NULL"), by, "_pos", "_at", "_end")
+    return hit.groupBy(*by, *also, "_at").agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_v"))
+
+
+def with_counts(loci: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """Loci with n_start and n_end, the points from the first edge of the group up to the start and up to the end of a locus,
+    for counts between two loci. `cells`: a row (by, _at, _n) for every edge."""
+    before = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    c = cells.select(*by, "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
     side = lambda k, n: c.select(*by, F.col("_at").alias(k), F.col("_below").alias(n))              # noqa: E731
     return loci.join(side("start", "n_start"), [*by, "start"]).join(side("end", "n_end"), [*by, "end"])
 
 
+def loci_with_counts(loci: DataFrame, peaks: DataFrame, by: list[str] = ("chrom",)) -> DataFrame:
+    """Peaks up to the start and up to the end of each locus, for counts between two loci."""
+    by = list(by)
+    cells = axis_cells(loci, by)
+    held = in_cells(peaks.select(*by, "mid", F.lit(0).alias("value")), cells, by, "mid")
+    return with_counts(loci, cut(cells.join(held, [*by, "_at"], "left").select(*by, "_at", F.coalesce("_n", F.lit(0)).alias("_n"))), by)
+
+
 def pair_features(loci: DataFrame, peaks: DataFrame, by: list[str] = ("chrom",), max_sep: int | None = None) -> DataFrame:
     """Six features of each locus pair i < j and each of them times log10 s (loci: by, locus, start, end, fwd, rev, unk, gc)."""
     by = list(by)
@@ -47,14 +68,15 @@ FEATURES = [*BASE, *[f"{k}_s" for k in BASE]]
 def mark_features(loci: DataFrame, marks: DataFrame, cohesin: str = "rad21", by: list[str] = ("chrom",)) -> DataFrame:
     """Per mark (mark, by, pos, value): similarity and sum of the log signals of both loci, each also times log10 s, and for
     the cohesin mark the log count of peaks between them."""
-    by = list(by)
-    named = loci.select(*by, "locus", "start", "end").join(marks.select(*by, "mark").distinct(), by)
-    s = points_in_intervals(marks.withColumnRenamed("pos", "_pos"), loci.select(*by, "locus", "start", "end"), by, "_pos").groupBy(
-        *by, "mark", "locus").agg(F.sum("value").alias("_s"))
-    d = named.join(s, [*by, "mark", "locus"], "left").withColumn("s", F.log1p(F.coalesce("_s", F.lit(0.0))))
-    d = d.join(d.groupBy(*by, "mark").agg(F.avg("s").alias("_m")), [*by, "mark"]).withColumn("d", F.col("s") - F.col("_m"))
-    key = [*by, "mark"]
-    d = loci_with_counts(d, marks.withColumnRenamed("pos", "mid"), key).withColumn("c", (F.col("start") + F.col("end")) / 2)
+    by, key = list(by), [*by, "mark"]
+    loci, cells = loci.select(*by, "locus", "start", "end"), axis_cells(loci, by)
+    names = marks.select(*key).distinct()
+    held = cut(in_cells(marks.select(*key, "pos", "value"), cells, by, "pos", "mark"))
+    s = points_in_intervals(held.select(*key, "_at", "_v"), loci, by, "_at").groupBy(*key, "locus").agg(F.sum("_v").alias("_s"))
+    d = loci.join(names, by).join(s, [*key, "locus"], "left").filter("mark IS NOT NULL").withColumn("s", F.log1p(F.coalesce("_s", F.lit(0.0))))
+    d = d.withColumn("d", F.col("s") - F.avg("s").over(W.partitionBy(*key))).withColumn("c", (F.col("start") + F.col("end")) / 2)
+    grid = cells.join(names, by).join(held, [*key, "_at"], "left").select(*key, "_at", F.coalesce("_n", F.lit(0)).alias("_n"))
+    d = cut(with_counts(d, grid, key).select(*key, "locus", "s", "d", "c", "n_start", "n_end"))
     p = pair_tiles(d, key, "locus", ["s", "d", "c", "n_start", "n_end"]).withColumn("sep", F.abs(F.col("c_j") - F.col("c_i")))
     between = F.when(F.col("mark") == cohesin, F.log1p(F.greatest(F.col("n_start_j") - F.col("n_end_i"), F.lit(0))))
     p = p.withColumns({"similarity": F.col("d_i") * F.col("d_j"), "anchor": F.col("s_i") + F.col("s_j"), "between": between})

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from karyoloom.functions import blocks, ranks
-from karyoloom.operators import genes, imaging, maps, variants
+from karyoloom.operators import genes, imaging, maps, predict, variants
+from karyoloom.registry.base import rounded
 from karyoloom.sources import catalog
 
 
@@ -254,3 +255,51 @@ def test_touching_genes_travel_with_their_beads(spark):
     tagged = beads.withColumn("tag", F.col("bead") * 10)
     pairs = structures.neighbor_pairs(tagged, 0.5, 1, ["structure"], ["tag"])
     assert pairs.filter("tag_i <> i * 10 OR tag_j <> j * 10").count() == 0 < pairs.count()
+
+
+# ---- pair features
+def test_marks_between_loci(spark):
+    """Overlapping, repeated, reversed and incomplete loci; marks beyond the loci, on their edges, repeated and incomplete."""
+    rng = np.random.default_rng(5)
+    loci = [(c, k, 10 * k, 10 * k + [10, 25, 0, -5][k % 7 % 4]) for c in "ab" for k in range(9)]
+    loci += [loci[1], ("a", None, 0, 10), ("a", 20, None, 90), ("a", 21, 5, None), (None, 1, 0, 10), ("c", 1, 0, 10)]
+    marks = [(["rad21", "h3k27ac"][rng.integers(2)], "ab"[rng.integers(2)], int(rng.integers(-20, 130)), float(rng.integers(1, 9))) for _ in range(150)]
+    marks += [*marks[:9], ("rad21", "a", None, 3.0), ("rad21", "b", 12, None), (None, "a", 3, 1.0), ("rad21", None, 3, 1.0), ("other", "a", None, 2.0)]
+    want = []
+    for mark, c in {m[:2] for m in marks if m[0] and m[1]}:
+        at = [(p, v) for m, k, p, v in marks if (m, k) == (mark, c) and p is not None]
+        mine = [r for r in loci if r[0] == c]
+        held = lambda k: sum(v or 0 for r in mine if r[1] == k and None not in r for p, v in at if r[2] <= p < r[3])                  # noqa: E731
+        s = [math.log1p(held(r[1])) for r in mine]
+        mean = sum(s) / len(s) if s else 0
+        full = [(r, x, x - mean) for r, x in zip(mine, s) if None not in r]
+        below = lambda x: sum(p < x for p, _ in at)                                                                                  # noqa: E731
+        for (_, i, a1, e1), x, dx in full:
+            for (_, j, a2, e2), y, dy in full:
+                if i < j:
+                    log = math.log10(max(abs((a2 + e2) / 2 - (a1 + e1) / 2), 1.0))
+                    base = [dx * dy, x + y, math.log1p(max(below(a2) - below(e1), 0)) if mark == "rad21" else -1.0]
+                    want.append((c, mark, i, j, *(round(v, 6) for v in base), *(round(v * log, 6) if k < 2 or mark == "rad21" else -1.0 for k, v in enumerate(base))))
+    got = predict.mark_features(spark.createDataFrame(loci, "chrom string, locus long, start long, end long"), spark.createDataFrame(marks, "mark string, chrom string, pos long, value double"))
+    got, want = sorted(tuple(-1.0 if v is None else v for v in r) for r in got.collect()), sorted(want)
+    assert len(got) == len(want) and [r[:4] for r in got] == [r[:4] for r in want]
+    # equal keys stand for repeated loci, whose rows can differ in the last digits only
+    assert all(x[4:] == pytest.approx(y[4:], abs=2e-6) for x, y in zip(got, want))
+
+
+def test_pairs_of_loci_start_from_cells(spark):
+    """20,000 marks over 30 loci: what the pairs are made from has a row for each locus and mark, the marks are not read again."""
+    marks = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "rad21").otherwise("h3k27ac").alias("mark"), F.lit("a").alias("chrom"), F.col("id").alias("pos"), F.lit(1.0).alias("value"))
+    loci = spark.range(30).select(F.lit("a").alias("chrom"), F.col("id").alias("locus"), (F.col("id") * 500).alias("start"), (F.col("id") * 500 + 500).alias("end"))
+    got, most = most_rows(predict.mark_features(loci, marks))
+    assert len(got) == 2 * 435 and most <= 2000
+    assert {(r.mark, r.between and round(r.between, 9)) for r in got if (r.i, r.j) == (3, 7)} == {("rad21", round(math.log1p(750), 9)), ("h3k27ac", None)}
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(1)
+    values = [None, float("nan"), math.inf, -math.inf, 0.0, -0.0, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 1.0000005, 4.35e-5 + 5e-7, 123456.7890125, 1e10 + 0.1234565, 1e15 + 0.3, 1e300, -4e-7]
+    values += [float(v) for v in rng.normal(0, 1, 2000)] + [float(k) / 2e6 for k in range(-500, 500)] + [float(v) for v in 10.0 ** rng.uniform(-9, 14, 2000)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    assert d.filter(~rounded("v").eqNullSafe(F.round("v", 6) + 0.0)).collect() == []
+    assert "-0.0" not in {str(r[0]) for r in d.select(rounded("v")).collect()}
