@@ -41,6 +41,7 @@ BLOCK = 512                      # feature rows sent together
 ROUNDS, BATCH, RATE = 2, 8_192, 0.3
 LEARNER = 2_000_000              # training tokens that a task should have at least: what it sends doesn't shrink with its share
 SALTS = 16
+FEW = 6                          # gradients of a feature row that are added up side by side
 SMOOTH = 0.1
 
 
@@ -65,17 +66,11 @@ def shape_of(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % SHAPES
 
 
-class _Shapes(dict):
-    """Shape by the last two characters; a worker meets few of them."""
-
-    def __missing__(self, end: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[end] = shape_of(end)
-        return self[end]
-
-
-SHAPE_OF = _Shapes()
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """Shape of each word; every pair of last characters is hashed once."""
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    of = np.fromiter(map(shape_of, ends.dictionary.to_pylist()), np.int8, len(ends.dictionary))
+    return of[ends.indices.to_numpy(zero_copy_only=False)]
 
 
 # ---------------------------------------------------------------- tokens of a slice of texts
@@ -280,12 +275,12 @@ class Coded:
         v = model.vocab
         words = tokens.words
         self.place = pc.fill_null(pc.index_in(words, value_set=v.words), -1).to_numpy(zero_copy_only=False) if len(v.words) else np.full(len(words), -1)
-        texts = words.to_pylist()
-        name = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.uint64, len(texts))
+        name = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
         head = (self.place >= 0) & (self.place < v.heads)
-        cls = np.fromiter((GROUPS + SHAPE_OF[w[-2:]] for w in texts), np.int8, len(texts))
+        cls = shapes_of(words)
+        cls += GROUPS
         cls[head] = v.group[self.place[head]]
-        slot = np.zeros(len(texts), np.int8)
+        slot = np.zeros(len(words), np.int8)
         slot[head] = v.slot[self.place[head]]
         self.codes, self.offsets = tokens.codes, tokens.offsets
         self.cls, self.slot, self.head = cls[tokens.codes], slot[tokens.codes], head[tokens.codes]
@@ -302,9 +297,17 @@ class Coded:
         return tuple((mix64(x + c, k + 7) & np.uint64(SLOT_ROWS - 1)).astype(np.int64) for k, x in enumerate((self.one[at], self.two[at])))
 
 
+def _top(logits: np.ndarray) -> np.ndarray:
+    """Largest logit of each row, as a column; the columns are halved, which numpy does faster than reducing short rows."""
+    while logits.shape[1] > 1 and logits.shape[1] % 2 == 0:
+        half = logits.shape[1] // 2
+        logits = np.maximum(logits[:, :half], logits[:, half:])
+    return logits.max(axis=1, keepdims=True)
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Probabilities, in the place of the logits."""
-    logits -= logits.max(axis=1, keepdims=True)
+    logits -= _top(logits)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -312,12 +315,28 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def _log_total(logits: np.ndarray) -> np.ndarray:
     """Log normaliser of each row; the logits are used up."""
-    top = logits.max(axis=1, keepdims=True)
+    top = _top(logits)
     logits -= top
     np.exp(logits, out=logits)
     return top[:, 0] + np.log(logits.sum(axis=1))
 
 
+def _run_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of values[at] over runs of `n` places from `first`, runs of more than FEW before the others and these by falling
+    length. Most runs are short: they are added up place by place, all runs at once, in the order that reduceat has (the
+    first to the sum of the rest), so the sums are the same to the last bit."""
+    longer = [int((n > k).sum()) for k in range(FEW + 1)]                     # runs of more than k places
+    many, out = longer[FEW], values[at[first]]
+    if many:
+        ends = np.cumsum(n[:many])
+        out[:many] = np.add.reduceat(values[at[ragged(first[:many], n[:many])]], ends - n[:many], axis=0)
+    rest = values[at[first[many:longer[1]] + 1]]
+    for k in range(2, FEW):
+        rest[:longer[k] - many] += values[at[first[many:longer[k]] + k]]
+    out[many:longer[1]] += rest
+    return out
+
+
 class _Steps:
     """AdaGrad on the rows of a table; remembers how often each row was met."""
 
@@ -330,8 +349,10 @@ class _Steps:
         order = np.argsort(hit.astype(np.uint16), kind="stable")         # tables have at most 65,536 rows: a radix sort
         sorted_hit = hit[order]
         first = np.flatnonzero(np.diff(sorted_hit, prepend=-1))
-        rows, n = sorted_hit[first], np.diff(first, append=len(hit))
-        g = np.add.reduceat(gradient[order % len(gradient)], first, axis=0)
+        n = np.diff(first, append=len(hit))
+        longest = np.argsort(-np.minimum(n, FEW + 1).astype(np.int8), kind="stable")
+        first, n = first[longest], n[longest]
+        rows, g = sorted_hit[first], _run_sums(gradient, order % len(gradient), first, n)
         self.square[rows] += (g * g).sum(axis=1)
         self.met[rows] += n
         self.table[rows] -= self.rate * g / np.sqrt(self.square[rows])[:, None]

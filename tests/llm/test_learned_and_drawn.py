@@ -252,3 +252,30 @@ def test_scores_without_training_documents(spark, docs):
     got = lm.score_corpus(docs, F.lit(False), F.lit(0), keep=["doc_id"]).collect()
     assert len(got) == len(TEXTS) and all(x.train_tokens == 0 and x.n_known == 0 for x in got)
     assert lm.score_corpus(docs.limit(0), F.lit(True), F.lit(0)).count() == 0
+
+
+def test_gradient_sums_of_runs_are_exact():
+    """Runs of one to forty gradients, sums equal to the last bit; a step moves every row by the sum of its gradients."""
+    rng = np.random.default_rng(4)
+    n = np.sort(rng.integers(1, 41, 300) ** rng.integers(0, 2, 300))[::-1]
+    n = np.concatenate([n[n > lm.FEW], n[n <= lm.FEW]])
+    at, values = rng.integers(0, 500, n.sum()), rng.normal(0, 1, (500, 24)).astype(np.float32)
+    first = np.cumsum(n) - n
+    assert np.array_equal(lm._run_sums(values, at, first, n), np.add.reduceat(values[at], first, axis=0))
+    for hit in (rng.integers(0, 60, 900), np.arange(900) % 900, np.zeros(900, np.int64)):
+        steps = lm._Steps(np.zeros((1000, 16), np.float32), 0.5)
+        gradient = rng.normal(0, 1, (300, 16)).astype(np.float32)
+        steps.step(hit, gradient)
+        total = np.zeros((1000, 16))
+        np.add.at(total, hit, np.concatenate([gradient] * 3).astype(np.float64))
+        assert np.allclose(steps.table, -0.5 * total / np.sqrt(1 + (total ** 2).sum(axis=1, keepdims=True)), atol=1e-5)
+        assert np.array_equal(steps.met, np.bincount(hit, minlength=1000))
+
+
+def test_shapes_and_largest_logits():
+    words = ["", "a", "ab", "xab", "é", "né", "日本語", "😀x", "x😀", "a b"]
+    assert lm.shapes_of(pa.array(words, pa.string())).tolist() == [lm.shape_of(w) for w in words]
+    assert lm.shapes_of(pa.array([], pa.string())).tolist() == []
+    for width in (1, 3, 16, 24):
+        x = np.random.default_rng(width).normal(0, 1, (50, width)).astype(np.float32)
+        assert np.array_equal(lm._top(x), x.max(axis=1, keepdims=True))
