@@ -152,6 +152,13 @@ def test_pairs_of_copies_are_never_shuffled(spark):
     assert "broadcast" in cover._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_bead_medians(spark):
+    rows = [("a", 0, 1, 2.0, 1.0), ("a", 0, 2, 4.0, None), ("a", 1, 2, 9.0, 5.0), ("a", 0, 3, 7.0, None), ("b", 0, 1, None, 3.0), (None, 0, 1, 1.0, 1.0)]
+    got = imaging.bead_medians(spark.createDataFrame(rows, "chrom string, i long, j long, pred double, other double"), ["chrom"], ["pred", "other"]).collect()
+    assert {(r.chrom, r.bead): (r.pred, r.other) for r in got} == {
+        ("a", 0): (4.0, 1.0), ("a", 1): (5.5, 3.0), ("a", 2): (6.5, 5.0), ("a", 3): (7.0, None), ("b", 0): (None, 3.0), ("b", 1): (None, 3.0), (None, 0): (1.0, 1.0), (None, 1): (1.0, 1.0)}
+
+
 # ---- ranks
 def test_buckets_come_from_one_sort(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
