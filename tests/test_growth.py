@@ -159,6 +159,43 @@ def test_bead_medians(spark):
         ("a", 0): (4.0, 1.0), ("a", 1): (5.5, 3.0), ("a", 2): (6.5, 5.0), ("a", 3): (7.0, None), ("b", 0): (None, 3.0), ("b", 1): (None, 3.0), (None, 0): (1.0, 1.0), (None, 1): (1.0, 1.0)}
 
 
+def test_counts_of_distances_are_made_once_where_they_arise(spark, copies, monkeypatch):
+    """Bins and coverages by tiles equal those of the single distances; the pairs are dealt out in arrays, the distances made once."""
+    monkeypatch.setattr(blocks, "TILE", 4)
+    monkeypatch.setattr(imaging, "TILE", 4)
+    monkeypatch.setattr(imaging, "COPIES", 2)
+    rows = [(d, i, j, 20.0 + 3 * i + j) for d in ("set0", "set1") for i in range(11) for j in range(i, 11) if (i + j) % 5]
+    np.random.default_rng(5).shuffle(rows)
+    sigma = spark.createDataFrame([(d, int(i), int(j), float(s)) for d, i, j, s in rows], "dataset string, i int, j int, sigma double")
+    t = traces_of(spark, copies)
+    z = imaging.standard_distances(t, sigma)
+    plain = z.select("dataset", "z")                                                   # the same rows, counted one by one
+    counts = lambda h: {(r.dataset, r.bin): r.n for r in h.collect()}                   # noqa: E731
+    h = imaging.pit_histogram(z, 50)
+    assert counts(h) == counts(imaging.pit_histogram(plain, 50)) and sum(counts(h).values()) == z.count() > 50 and len(counts(h)) == 100
+    assert h._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1
+    bounds = spark.createDataFrame([("set0", 0.5, 0.5, 2.0), ("set0", 0.8, None, 3.0), ("set0", 0.9, 0.2, None), ("set1", 0.5, 1.0, 1.5)], "dataset string, level double, low_sigma double, high_sigma double")
+    cover = lambda x: sorted((r.dataset, r.level, f"{r.coverage or 0:.12f}", r.measurements) for r in imaging.recalibrated_coverage(x, bounds).collect())          # noqa: E731
+    assert cover(z) == cover(plain) and len(cover(z)) == 4
+    medians = sigma.withColumns({"median": F.col("sigma"), "sep": (F.col("j") - F.col("i")) * 10}).withColumnRenamed("dataset", "unit")
+    got = imaging.log_ratio_histogram(t.withColumnRenamed("dataset", "unit"), medians, [0.0, 30.0, 60.0, 1e9], -1.0, 1.0, 8)
+    want = defaultdict(int)
+    for (d, i, j), xs in pair_lists(copies).items():
+        for x in xs:
+            for s in [s for e, a, b, s in rows if (d, i, j) == (e, a, b)]:
+                r = min(1.0, max(-1.0, math.log(x / s))) if x else -1.0
+                want[d, sum((j - i) * 10 >= e for e in (30, 60)), min(7, math.floor((r + 1) / 2 * 8))] += 1
+    assert {(r.unit, r.band, r.bin): r.n for r in got.collect()} == want
+
+
+def test_bins_of_probability_by_the_table():
+    from karyoloom.operators.ensemble import maxwell_p, maxwell_x
+    near = maxwell_x(np.arange(1, 200) / 200)
+    z = np.concatenate([np.random.default_rng(1).uniform(0, 6, 20_000), near, np.nextafter(near, 0), np.nextafter(near, 9), near * (1 + 1e-10), [0.0, 40.0, 1e12]])
+    assert (imaging._pit_bins(200)(z) == np.minimum(np.floor(maxwell_p(z) * 200), 199)).all()
+    assert list(imaging._pit_bins(200)(np.array([np.nan, 0.0]))) == [199, 0] and list(imaging._pit_bins(1)(z[:3])) == [0, 0, 0]
+
+
 # ---- ranks
 def test_buckets_come_from_one_sort(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BUCKET_ROWS", 50)
