@@ -1,8 +1,8 @@
 """Matrix balancing of all maps at once.
 
-Every round needs one join (partner bin -> its bias) and one aggregation. The mirrored pixels are written once, hashed by
-their join key, so a round shuffles bias values and partial row sums but never the pixels. Rounds are grouped between
-checkpoints. A map that has converged is set aside, so its weights do not depend on the other maps of the job; a map that
+Every round needs one join (block of partner bins -> their bias) and one aggregation. The mirrored pixels are written once, in
+tiles of SIDE x SIDE bins that are hashed by their join key, so a round shuffles bias values and row sums but never the pixels;
+the sums of a map of up to SIDE bins are complete in one task. Rounds are grouped between checkpoints. A map that has converged is set aside, so its weights do not depend on the other maps of the job; a map that
 does not converge within the rounds it is given gets no weights, and the report says so.
 """
 
@@ -10,21 +10,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..core import MAP, cut
+from ..core import MAP, cut, cut_as_dealt, idiv
 from .maps import balanced, bins_of, median_scale, mirrored
 
 
+SIDE = 256                # bins along a side of a tile of pixels
+
+
 def _row_sums(px: DataFrame, bias: DataFrame, by: list[str], power: int) -> DataFrame:
-    """(by, bin, b, _s): each bin's own value and the sum over partners of cnt * b(partner)^power. The pixels carry one
-    empty self pixel per bin, so the own value comes with the same join and the plan stays linear in the rounds."""
-    v = px.join(bias.select(*by, F.col("bin").alias("partner"), "b"), [*by, "partner"])
-    return v.groupBy(*by, "bin").agg(F.max(F.when(F.col("bin") == F.col("partner"), F.col("b"))).alias("b"),
-                                     F.sum(F.col("cnt") * F.pow("b", F.lit(power))).alias("_s"))
+    """(by, bin, b, _s): each bin's own value and the sum over partners of cnt * b(partner)^power, for the bins of `bias`. The
+    tiles carry one empty self pixel per bin, so the own value comes with the same join and the plan stays linear in the rounds."""
+    entry = F.struct(F.pmod("bin", F.lit(SIDE)).alias("at"), "b")
+    held = bias.groupBy(*by, idiv("bin", SIDE).alias("_block")).agg(F.array_sort(F.collect_list(entry)).alias("_e"))            # at most SIDE entries
+    # a value at the place of each bin of the block, NULL for those that are not balanced
+    before = lambda k: F.coalesce(F.get(F.col("_e"), k - 1)["at"], F.lit(-1))                           # noqa: E731
+    dense = F.flatten(F.transform("_e", lambda e, k: F.concat(F.array_repeat(F.lit(None).cast("double"), (e["at"] - before(k) - 1).cast("int")), F.array(e["b"]))))
+    v = px.join(held.select(*by, "_block", dense.alias("_b")), [*by, "_block"]).select(*by, "_block", "_to", "_b", F.inline(F.arrays_zip("cell", "cnt")))
+    cell = F.col("cell").cast("int") + SIDE * SIDE // 2
+    v = v.select(*by, (F.col("_to") * SIDE + F.floor(cell / SIDE)).alias("bin"), (F.col("_block") * SIDE + cell % SIDE).alias("partner"), "cnt", F.get("_b", cell % SIDE).alias("b"))
+    s = v.groupBy(*by, "bin").agg(F.max(F.when(F.col("bin") == F.col("partner"), F.col("b"))).alias("b"),
+                                  F.sum(F.col("cnt") * F.pow("b", F.lit(power))).alias("_s"))
+    return s.filter(F.col("b").isNotNull())
 
 
 def _prepare(px: DataFrame, good: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _block, _to, cell, cnt): the pixels between block _block of partners and block _to of bins as arrays. Pixels of other
+    bins than the good ones stay: they meet no value and add nothing."""
     own = good.select(*by, "bin", F.col("bin").alias("partner"), F.lit(0.0).alias("cnt"))
-    return cut(_keep_pixels(px.select(*by, "bin", "partner", "cnt"), good, by).unionByName(own).repartition(*by, "partner"))
+    cell = (F.pmod("bin", F.lit(SIDE)) * SIDE + F.pmod("partner", F.lit(SIDE)) - SIDE * SIDE // 2).cast("short")
+    t = px.select(*by, "bin", "partner", F.coalesce("cnt", F.lit(0.0)).cast("double").alias("cnt")).unionByName(own).select(
+        *by, idiv("partner", SIDE).alias("_block"), idiv("bin", SIDE).alias("_to"), F.struct(cell.alias("cell"), "cnt").alias("_p"))
+    tiles = t.repartition(*by, "_block").groupBy(*by, "_block", "_to").agg(F.collect_list("_p").alias("_p"))       # at most SIDE^2 pixels
+    return cut_as_dealt(tiles.select(*by, "_block", "_to", "_p.cell", "_p.cnt"))
 
 
 def _keep_pixels(px: DataFrame, good: DataFrame, by: list[str]) -> DataFrame:
@@ -113,7 +130,7 @@ def kr(contacts: DataFrame, sizes: DataFrame, ignore_diags: int = 1, min_coverag
     good = cut(cov.join(thr, by).filter((F.col("_k") <= 10) | (F.col("cov") >= F.col("_t"))).select(*by, "bin"))
     px = _prepare(px, good, by)
     # start at one over the root of the mean row sum
-    m = px.groupBy(*by).agg(F.sum("cnt").alias("_t"), F.count_if(F.col("bin") == F.col("partner")).alias("_m")).filter("_m >= 3")
+    m = _row_sums(px, good.withColumn("b", F.lit(1.0)), by, 1).groupBy(*by).agg(F.sum("_s").alias("_t"), F.count(F.lit(1)).alias("_m")).filter("_m >= 3")
     x = good.join(m, by).select(*by, "bin", F.sqrt(F.col("_m") / F.col("_t")).alias("b"))
 
     def step(x: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from karyoloom.functions import blocks, ranks
-from karyoloom.operators import genes, imaging, maps, predict, variants
+from karyoloom.operators import balance, genes, imaging, maps, predict, variants
 from karyoloom.registry.base import rounded
 from karyoloom.sources import catalog
 
@@ -347,3 +347,32 @@ def test_rounded_is_round(spark):
     d = spark.createDataFrame([(v,) for v in values], "v double")
     assert d.filter(~rounded("v").eqNullSafe(F.round("v", 6) + 0.0)).collect() == []
     assert "-0.0" not in {str(r[0]) for r in d.select(rounded("v")).collect()}
+
+
+# ---- balancing
+@pytest.mark.parametrize("side", [256, 4])
+def test_row_sums_in_tiles_leave_the_pixels_where_they_are(spark, monkeypatch, side):
+    monkeypatch.setattr(balance, "SIDE", side)
+    rng = np.random.default_rng(8)
+    full = {name: np.triu(rng.integers(0, 5, (n, n)), 1) for name, n in (("a", 11), ("b", 3))}
+    rows = [(name, "c", int(i), int(j), float(m[i, j])) for name, m in full.items() for i, j in zip(*np.nonzero(m))] + [("a", "c", 0, 1, None), ("a", "c", 2, 9, 4.0), (None, "c", 0, 1, 3.0)]
+    full["a"][2, 9] += 4                                                               # a pixel that comes twice
+    px = maps.mirrored(spark.createDataFrame(rows, "sample string, chrom string, i long, j long, cnt double"))
+    kept = {"a": [0, 1, 2, 5, 8, 9, 10], "b": [0, 1, 2]}
+    good = spark.createDataFrame([(name, "c", b) for name, bs in kept.items() for b in bs], "sample string, chrom string, bin long")
+    tiles = balance._prepare(px, good, ["sample", "chrom"])
+    bias = good.withColumn("b", F.col("bin") / 4 + 1)
+    s = balance._row_sums(tiles, bias, ["sample", "chrom"], -1)
+    want = {}
+    for name, m in full.items():
+        sym, b = m + m.T, np.array([k / 4 + 1 for k in range(len(m))])
+        want |= {(name, k): (b[k], sum(sym[k, o] / b[o] for o in kept[name])) for k in kept[name]}
+    got = {(r["sample"], r.bin): (r.b, r._s) for r in s.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = balance._row_sums(tiles, bias, ["sample", "chrom"], -1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2                                                             # the values of the bins and the sums, not the tiles
