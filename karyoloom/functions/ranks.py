@@ -79,9 +79,15 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 3, out:
     return s.select(*by, n.alias(n_out), F.when((n >= min_n) & (va > 0) & (vb > 0), rho).alias(out))
 
 
-def bh_table(df: DataFrame, by: list[str], p: str = "p", out: str = "q") -> DataFrame:
-    """(by, p, out): false-discovery q-value of every distinct p of each family."""
+def bh_table(df: DataFrame, by: list[str], p: str = "p", out: str = "q", most: int | None = None) -> DataFrame:
+    """(by, p, out): false-discovery q-value of every distinct p of each family. Where the caller knows that no family has more
+    than `most` rows, and a window orders as many, nothing is written in between."""
     counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
+    if most is not None and most <= BUCKET_ROWS:
+        w = W.partitionBy(*by)
+        up, down = w.orderBy(p).rowsBetween(W.unboundedPreceding, 0), w.orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+        cum = counts.dropna(subset=by).withColumns({"_cum": F.sum("_c").over(up), "_m": F.sum("_c").over(w)})
+        return cum.select(*by, p, F.least(F.min(F.col(p) * F.col("_m") / F.col("_cum")).over(down), F.lit(1.0)).alias(out))
     b = value_buckets(counts, by, p)
     b = cut(scan(b, by, p, F.col("_c"), "_cum").join(b.groupBy(*by).agg(F.sum("_c").alias("_m")), by))
     q = scan(b, by, p, F.col(p) * F.col("_m") / F.col("_cum"), "_q", "min", reverse=True)

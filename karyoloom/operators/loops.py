@@ -62,10 +62,23 @@ def _neighbourhoods(m: np.ndarray, p: int, w: int) -> dict[str, np.ndarray]:
             "vertical": b(-w, w, -1, 1) - b(-p, p, -1, 1)}
 
 
+LEAST_OE, FLOORS = 2.0, dict(zip(KERNELS, (1.75, 1.75, 1.5, 1.5)))          # fixed values: enrichment of a peak over its neighbourhoods
+TESTED = ("i", "j", "obs", *(f"{c}_{k}" for k in KERNELS for c in "ep"))
+
+
 def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFrame, resolution: int, max_sep_bp: int = 2_000_000,
                         min_sep_bp: int = 30_000, p: int | None = None, w: int | None = None, tile: int = 256,
                         by: list[str] = MAP) -> DataFrame:
-    """(by, i, j, obs, e_<kernel>, p_<kernel>) of every non-zero pixel of the band between valid bins.
+    """(by, i, j, obs, e_<kernel>, p_<kernel>) of every non-zero pixel of the band between valid bins."""
+    tests = _tested_tiles(contacts, sizes, weights, resolution, max_sep_bp, min_sep_bp, p, w, tile, by, False)
+    return tests.select(*by, F.inline(F.arrays_zip(*TESTED)))
+
+
+def _tested_tiles(contacts: DataFrame, sizes: DataFrame, weights: DataFrame, resolution: int, max_sep_bp: int = 2_000_000,
+                  min_sep_bp: int = 30_000, p: int | None = None, w: int | None = None, tile: int = 256,
+                  by: list[str] = MAP, peaks_only: bool = True) -> DataFrame:
+    """One row per tile of a map with the columns of neighbourhood_tests as arrays, for all tested pixels or only those that stand
+    out of their neighbourhoods, and the p-values of all tested pixels as arrays all_<kernel>.
 
     The map is cut into tiles with a margin of w bins; each pixel travels once, a few percent twice, and one task sees at
     most (tile + 2 w)^2 cells of any map however deep it is sequenced."""
@@ -97,8 +110,8 @@ def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFram
     rows = (cells.withColumns({"n": none("long"), "ed": none("array<double>")})
             .unionByName(bad_r.unionByName(bad_c), allowMissingColumns=True).unionByName(head, allowMissingColumns=True))
     types = {f.name: f.dataType.simpleString() for f in sizes.schema.fields}
-    schema = ", ".join(f"{b} {types[b]}" for b in by) + ", i long, j long, obs double" + "".join(
-        f", e_{k} double, p_{k} double" for k in KERNELS)
+    schema = ", ".join(f"{b} {types[b]}" for b in by) + ", i array<long>, j array<long>, obs array<double>" + "".join(
+        f", e_{k} array<double>, p_{k} array<double>" for k in KERNELS) + "".join(f", all_{k} array<double>" for k in KERNELS)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
@@ -123,7 +136,7 @@ def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFram
         up = (cols[None, inner] - rows[inner, None])
         hit = (up >= dmin) & (up < depth) & (raw[inner, inner] > 0) & ok_r[inner, None] & ok_c[None, inner]
         ty, tx = np.nonzero(hit)
-        out = {b: np.full(len(ty), pdf[b].iloc[0], dtype=object) for b in by}
+        out, whole = {}, {}
         obs, here = raw[inner, inner][ty, tx], ex[inner, inner][ty, tx]
         scale = np.zeros((size, size))
         scale[y, x] = np.nan_to_num(d["wr"] * d["wc"])
@@ -139,7 +152,14 @@ def neighbourhood_tests(contacts: DataFrame, sizes: DataFrame, weights: DataFram
             pv = np.ones(len(ty))
             pv[use] = poisson_upper(obs[use], lam[use])
             out[f"e_{k}"], out[f"p_{k}"] = np.where(use, lam, 0.0), pv
-        return pd.DataFrame(out)
+            whole[f"all_{k}"] = pv if peaks_only else pv[:0]
+        if peaks_only:
+            oe = {k: np.divide(obs, out[f"e_{k}"], out=np.zeros(len(ty)), where=out[f"e_{k}"] > 0) for k in KERNELS}
+            ok = np.maximum(oe["donut"], oe["lower_left"]) >= LEAST_OE
+            for k in KERNELS:
+                ok &= oe[k] >= FLOORS[k]
+            out = {c: v[ok] for c, v in out.items()}
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, **{c: [v] for c, v in (out | whole).items()}})
 
     return rows.groupBy(*by, "ti", "tj").applyInPandas(test, schema)
 
@@ -149,17 +169,17 @@ def call_loops(contacts: DataFrame, sizes: DataFrame, weights: DataFrame, resolu
     """Pixels above all four neighbourhoods, clustered; the best pixel of each cluster with its cluster size. The p-values
     of each neighbourhood form one false-discovery family per map."""
     by = list(by)
-    tests = cut(neighbourhood_tests(contacts, sizes, weights, resolution, by=by, **settings))
+    # arrays per tile, of which the pixels that are no peaks keep their p-values only
+    tiles = cut(_tested_tiles(contacts, sizes, weights, resolution, by=by, **settings))
+    tests = tiles.select(*by, F.inline(F.arrays_zip(*TESTED)))
     # all four families in one pass over the distinct p-values; only enriched pixels look their q-values up
-    long = tests.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("kernel"), F.col(f"p_{k}").alias("p")) for k in KERNELS])))
-    table = cut(bh_table(long, [*by, "kernel"], "p"))
+    long = tiles.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("kernel"), F.col(f"all_{k}").alias("_p")) for k in KERNELS]))).select(*by, "kernel", F.explode("_p").alias("p"))
+    largest = tiles.groupBy(*by).agg(F.sum(F.size("all_donut")).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    table = cut(bh_table(long, [*by, "kernel"], "p", most=largest).filter(F.col("q") <= fdr))
     oe = {k: F.when(F.col(f"e_{k}") > 0, F.col("obs") / F.col(f"e_{k}")).otherwise(0.0) for k in KERNELS}
-    ok = F.greatest(oe["donut"], oe["lower_left"]) >= 2.0
-    for k, floor in zip(KERNELS, (1.75, 1.75, 1.5, 1.5)):
-        ok = ok & (oe[k] >= floor)
-    q = tests.filter(ok)
+    q = tests
     for k in KERNELS:
-        one = table.filter((F.col("kernel") == k) & (F.col("q") <= fdr)).select(*by, F.col("p").alias(f"p_{k}"), F.col("q").alias(f"q_{k}"))
+        one = table.filter(F.col("kernel") == k).select(*by, F.col("p").alias(f"p_{k}"), F.col("q").alias(f"q_{k}"))
         q = q.join(one, [*by, f"p_{k}"])
     peaks = cut(q.select(*by, "i", "j", "obs", F.col("e_donut").alias("expected_donut"), oe["donut"].alias("oe_donut"),
                                     sum((F.col(f"q_{k}") for k in KERNELS), F.lit(0.0)).alias("q_sum"),

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from karyoloom.functions import blocks, ranks
-from karyoloom.operators import balance, evaluate, genes, imaging, maps, predict, variants
+from karyoloom.operators import balance, evaluate, genes, imaging, loops, maps, predict, variants
+from karyoloom.plans import jobs
 from karyoloom.registry.base import rounded
 from karyoloom.sources import catalog
 
@@ -401,3 +402,58 @@ def test_row_sums_in_tiles_leave_the_pixels_where_they_are(spark, monkeypatch, s
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(dealt) == 2                                                             # the values of the bins and the sums, not the tiles
+
+
+# ---- loops
+@pytest.mark.parametrize("most", [None, 200])
+def test_q_values_of_small_families_in_place(spark, monkeypatch, most):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{k % 3}", None if k % 40 == 0 else float(rng.integers(1, 60)) / 60) for k in range(500)] + [("one", 0.5), (None, 0.1)]
+    got = {(r.g, r.p): r.q for r in ranks.bh_table(spark.createDataFrame(rows, "g string, p double"), ["g"], most=most).collect()}
+    want = {}
+    for g in ("g0", "g1", "g2", "one"):
+        ps = sorted(p for h, p in rows if h == g and p is not None)
+        for p in set(ps):
+            want[g, p] = min(1.0, *(x * len(ps) / sum(y <= x for y in ps) for x in ps if x >= p), 1.0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    if most:
+        monkeypatch.setattr(ranks, "cut", None)                                        # nothing is written
+        ranks.bh_table(spark.createDataFrame(rows, "g string, p double"), ["g"], most=most).collect()
+
+
+def test_tested_pixels_are_written_by_tiles(spark):
+    """What is written of the pixels that are no peaks are their p-values, in a row per tile."""
+    rng = np.random.default_rng(7)
+    m = rng.poisson(3, (40, 40))
+    m[10, 22] = m[30, 18] = m[18, 30] = 60
+    px = spark.createDataFrame([("s", "c", i, j, float(m[i, j])) for i in range(40) for j in range(i, 40) if m[i, j]], "sample string, chrom string, i long, j long, cnt double")
+    size = spark.createDataFrame([("s", "c", 40)], "sample string, chrom string, n long")
+    w = maps.bins_of(size).select("sample", "chrom", "bin", F.lit(1.0).alias("weight"))
+    every = loops.neighbourhood_tests(px, size, w, 10_000, tile=16).toPandas()
+    tiles = loops._tested_tiles(px, size, w, 10_000, tile=16).toPandas()
+    assert len(tiles) <= 6 and 0 < tiles["i"].map(len).sum() < len(every) / 2
+    for k in loops.KERNELS:
+        assert sorted(p for ps in tiles[f"all_{k}"] for p in ps) == sorted(every[f"p_{k}"])
+    oe = {k: np.where(every[f"e_{k}"] > 0, every.obs / every[f"e_{k}"].where(every[f"e_{k}"] > 0, 1), 0) for k in loops.KERNELS}
+    ok = (np.maximum(oe["donut"], oe["lower_left"]) >= 2) & np.all([oe[k] >= f for k, f in loops.FLOORS.items()], axis=0)
+    assert sorted((i, j) for a, b in zip(tiles["i"], tiles["j"]) for i, j in zip(a, b)) == sorted(zip(every[ok].i, every[ok].j))
+
+
+# ---- sample sheets
+def test_the_summary_of_a_sheet_reads_the_steps_that_are_written(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(1)
+    at = rng.integers(0, 40_000, (3000, 2))
+    pairs = spark.createDataFrame([(f"0{k % 2}", "c", "c", int(a), int(b)) for k, (a, b) in enumerate(at)], "sample string, chrom1 string, chrom2 string, pos1 long, pos2 long")
+    sizes = spark.createDataFrame([("00", "c", 40), ("01", "c", 40)], "sample string, chrom string, n long")
+    seen, summary = [], jobs.suite.summary
+    monkeypatch.setattr(jobs.suite, "summary", lambda tables, n: seen.append({k: v._jdf.queryExecution().optimizedPlan().toString() for k, v in tables.items()}) or summary(tables, n))
+    run = lambda s, *steps: jobs.run_sheet(spark, pairs, s, sizes, 1000, 5, str(tmp_path), *steps)         # noqa: E731
+    sheet = sizes.select("sample")
+    run(sheet.filter("sample = '00'"), ("boundaries", "domains"))
+    assert not seen
+    assert {tuple(r) for r in run(sheet).collect()} == {("00", s) for s in ("tracks", "p_s", "summary")} | {("01", s) for s in jobs.STEPS}
+    assert all("parquet" in seen[0][k] and "Window" not in seen[0][k] for k in ("boundaries", "domains", "tracks", "p_s"))
+    c = jobs.C.bin_pairs(pairs, 1000)
+    want = summary(jobs.suite.analyze(c, sizes, 1000, 5, call=False), sizes).drop("slope").collect()
+    got = spark.read.schema("sample string, chrom string, bins long, insulation_boundaries long, rank_sum_boundaries long, scored_domains long, a_fraction double").parquet(f"{tmp_path}/summary").select(list(want[0].asDict())).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 2
